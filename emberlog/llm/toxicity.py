@@ -14,8 +14,8 @@
    VOCABULARY^2 / 2 edges at any size of the corpus, which is why it may go to the driver.
 4. Edges weigh positive pointwise mutual information.  Random walks with restart from either set of
    seeds give each term two visiting rates; the logarithm of their ratio is its polarity.
-5. A document is scored from the three strongest polarities among its terms by a logistic model fitted
-   on the sample.
+5. A document is scored from the three strongest polarities among its terms, each squashed around an
+   edge, by a logistic model; edge and model are fitted on the sample.
 
 Words are lower-cased and parted at white space and ASCII punctuation.  Null and empty texts
 have no words and get the score of such.  Without both labels every score is 0.5.
@@ -137,13 +137,17 @@ def _sample_terms(batches):
 class Lexicon:
     def __init__(self, index: dict[str, int], polarity: np.ndarray, model: np.ndarray) -> None:
         self.index, self.polarity, self.model = index, polarity, model
+        #: polarity at which a term counts half
+        self.edge = 1.0
         self.memo: Terms | None = None
 
     def inputs(self, hits: set[int]) -> list[float]:
         if not hits:
             return [1.0, 0.0, 0.0, 0.0]
-        found = np.sort(np.tanh(np.maximum(self.polarity[list(hits)], 0.0)) ** 2)[::-1]
-        return [1.0, found[0], found[1] if len(found) > 1 else 0.0, found[2] if len(found) > 2 else 0.0]
+        found = np.zeros(3)
+        top = np.sort(self.polarity[list(hits)])[::-1][:3]
+        found[: len(top)] = 1 / (1 + np.exp(-8.0 * (top - self.edge)))
+        return [1.0, *found]
 
     def score(self, raws: list[str]) -> np.ndarray:
         get = Terms(self.index).__getitem__ if self.memo is None else self.memo.__getitem__
@@ -308,8 +312,17 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, size: int = VO
     polarity = np.log((up + floor) / (down + floor))
     polarity[(up + down) == 0] = 0.0
     lexicon = Lexicon(index, polarity, np.zeros(4))
-    x = np.array([lexicon.inputs(set(np.flatnonzero(m).tolist())) for m in member])
-    lexicon.model = logistic(x, y.astype(float))
+    hits_of = [set(np.flatnonzero(m).tolist()) for m in member]
+    best = -np.inf
+    for edge in np.linspace(0.4, 2.2, 10):
+        lexicon.edge = float(edge)
+        x = np.array([lexicon.inputs(h) for h in hits_of])
+        model = logistic(x, y.astype(float))
+        p = np.clip(1 / (1 + np.exp(-x @ model)), 1e-9, 1 - 1e-9)
+        fits = (y * np.log(p) + (1 - y) * np.log(1 - p)).sum()
+        if fits > best + 1e-6:
+            best, kept = fits, (lexicon.edge, model)
+    lexicon.edge, lexicon.model = kept
     return lexicon
 
 
