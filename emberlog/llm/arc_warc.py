@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lookup, shared_path
+from .common import lookup, materialise, shared_path
 
 RECORDS_PER_FILE = 1000
 #: Payloads shorter than this are never revisits.
@@ -195,7 +195,7 @@ def with_revisits(pages: DataFrame, id_: str = "page_id", payload: str = "html",
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     keyed = pages.withColumn("__d", F.concat_ws(":", F.sha1(body), F.length(body)))
     first = keyed.select("__d", id_).groupBy("__d").agg(F.min(id_).alias("__first"), F.count("*").alias("__n"))
-    found = lookup(keyed, first, "__d", "__n", F.coalesce(F.col(id_), F.lit(0)))
+    found = lookup(keyed, materialise(first), "__d", "__n", F.coalesce(F.col(id_), F.lit(0)))
     other = (F.length(body) >= least) & ~F.col(id_).eqNullSafe(F.col("__first")) & (F.col("__n") > 1)
     return found.withColumn("refers_to", F.when(other, F.col("__first"))).drop("__d", "__first", "__n")
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, lookup
+from .common import byte_values, lookup, materialise
 
 FANOUT = 16
 NO_ID = -(2**63)
@@ -224,6 +224,7 @@ def report(docs: DataFrame, text: str = "text", id_: str = "doc_id", memory: int
     groups = distinct_contents(docs, text, id_, memory=memory).select(
         "digest", F.col("n").alias("group_size"), F.when(F.col("best") != NO_ID, F.col("best")).alias("keep_id")
     )
+    groups = materialise(groups)  # some fifty bytes a content, read three times
     kind = docs.schema[id_].dataType.simpleString()
     each = docs.select(F.col(text).alias("text"), F.col(id_).alias("id")).mapInArrow(_digests("text", ["id"]), f"id {kind}, digest binary")
     found = lookup(each, groups, "digest", "group_size", F.col("id"))

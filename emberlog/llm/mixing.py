@@ -178,9 +178,9 @@ def resample(docs: DataFrame, text: str = "text", id_: str = "doc_id", source: s
     keyed = docs.withColumn("__k", row)
     decided = mix(keyed, text, id_, source, extra=["__k"], **options)
     # equal rows are exchangeable, so one of them stands for all and is repeated as often as they are taken
-    each = materialise(decided.groupBy("__k").agg(F.count("*").alias("k"), F.sum("copies").alias("c")))
-    found = lookup(keyed, each, "__k", "k", F.rand(1)).where("c > 0")
-    single = found.where("k = 1").select(*docs.columns, "c")
-    repeated = found.where("k > 1").groupBy("__k").agg(F.first(F.struct(*docs.columns)).alias("row"), F.first("c").alias("c"))
-    rows = single.unionByName(repeated.select("row.*", "c"))
-    return rows.withColumn("__i", F.explode(F.array_repeat(F.lit(1), F.col("c").cast("int")))).select(docs.columns)
+    each = materialise(decided.groupBy("__k").agg(F.count("*").alias("__rows"), F.sum("copies").alias("__copies")))
+    found = lookup(keyed, each, "__k", "__rows", F.rand(1)).where("__copies > 0")
+    single = found.where("__rows = 1").select(*docs.columns, "__copies")
+    repeated = found.where("__rows > 1").groupBy("__k").agg(F.first(F.struct(*docs.columns)).alias("__row"), F.first("__copies").alias("__copies"))
+    rows = single.unionByName(repeated.select("__row.*", "__copies"))
+    return rows.withColumn("__i", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)

@@ -357,11 +357,10 @@ def dedup(docs: DataFrame, text: str = "text", id_: str = "doc_id", radius: int
     prints = materialise(with_fingerprint(keyed, text, [id_, "__k"]))
     found = lookup(prints, clusters(prints, id_, radius), "__fp", "n", F.col("__k"))
     alone = (F.col("n") == 1) & (F.col("near") == 0)
-    rows = found.select("__k", alone.alias("alone"), (alone | F.col(id_).eqNullSafe(F.col("component_id"))).alias("stays"), "component_id")
-    rows = materialise(
-        rows.groupBy("__k").agg(F.count("*").alias("k"), F.first("alone").alias("alone"), F.first("stays").alias("stays"), F.first("component_id").alias("component_id"))
-    )
-    kept = lookup(keyed, rows, "__k", "k", F.rand(SEED)).where("stays")
-    single = kept.where("alone").select(docs.columns)
-    chosen = kept.where("not alone").groupBy("component_id").agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return single.unionByName(chosen.select("row.*"))
+    stays = alone | F.col(id_).eqNullSafe(F.col("component_id"))
+    rows = found.select("__k", alone.alias("__alone"), stays.alias("__stays"), F.col("component_id").alias("__c")).groupBy("__k")
+    rows = materialise(rows.agg(F.count("*").alias("__rows"), *[F.first(c).alias(c) for c in ("__alone", "__stays", "__c")]))
+    kept = lookup(keyed, rows, "__k", "__rows", F.rand(SEED)).where("__stays")
+    single = kept.where("__alone").select(docs.columns)
+    chosen = kept.where("not __alone").groupBy("__c").agg(F.min(F.struct(*docs.columns)).alias("__row"))
+    return single.unionByName(chosen.select("__row.*"))
