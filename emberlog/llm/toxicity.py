@@ -14,8 +14,9 @@
    VOCABULARY^2 / 2 edges at any size of the corpus, which is why it may go to the driver.
 4. Edges weigh positive pointwise mutual information.  Random walks with restart from either set of
    seeds give each term two visiting rates; the logarithm of their ratio is its polarity.
-5. A document is scored from the three strongest polarities among its terms, each squashed around an
-   edge, by a logistic model; edge and model are fitted on the sample.
+5. A document is scored from the polarities of its distinct words, each squashed around an edge: the
+   four strongest, their sum and its share of the words, by a logistic model; edge and model are fitted
+   on the sample.
 
 Words are lower-cased and parted at white space and ASCII punctuation.  Null and empty texts
 have no words and get the score of such.  Without both labels every score is 0.5.
@@ -37,6 +38,7 @@ SAMPLE = 8000
 #: Lengths, in characters, of the beginnings of words that are terms.
 STEMS = (3, 4, 5, 6, 7)
 MEMO = 300_000
+INPUTS = 7
 VOCABULARY = 2048
 WINDOW = 4
 RESTART = 0.3
@@ -141,22 +143,21 @@ class Lexicon:
         self.edge = 1.0
         self.memo: Terms | None = None
 
-    def inputs(self, hits: set[int]) -> list[float]:
-        if not hits:
-            return [1.0, 0.0, 0.0, 0.0]
-        found = np.zeros(3)
-        top = np.sort(self.polarity[list(hits)])[::-1][:3]
-        found[: len(top)] = 1 / (1 + np.exp(-8.0 * (top - self.edge)))
-        return [1.0, *found]
+    def inputs(self, hits: list[int], distinct: int) -> list[float]:
+        """From the terms of a text's distinct words: the four strongest, their sum and its share of the words."""
+        held = 1 / (1 + np.exp(-8.0 * (self.polarity[hits] - self.edge))) if hits else np.zeros(0)
+        top = np.zeros(4)
+        best = np.sort(held)[::-1][:4]
+        top[: len(best)] = best
+        return [1.0, *top, np.log1p(held.sum()), min(5.0, 100 * held.sum() / max(distinct, 1))]
 
     def score(self, raws: list[str]) -> np.ndarray:
         get = Terms(self.index).__getitem__ if self.memo is None else self.memo.__getitem__
         rows = []
         for raw in raws:
-            hits = set(map(get, words_of(raw)))
-            hits.discard(-1)
-            rows.append(self.inputs(hits))
-        return 1 / (1 + np.exp(-np.clip(np.array(rows).reshape(-1, 4) @ self.model, -30, 30)))
+            words = set(words_of(raw))
+            rows.append(self.inputs([i for i in map(get, words) if i >= 0], len(words)))
+        return 1 / (1 + np.exp(-np.clip(np.array(rows).reshape(-1, INPUTS) @ self.model, -30, 30)))
 
 
 def _pairs(index: dict[str, int], size: int):
@@ -294,13 +295,17 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, size: int = VO
     def hits(batches):
         get = Terms(index).__getitem__
         for b in batches:
-            found = [sorted({*map(get, ws)} - {-1}) for ws in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.list_(pa.int32()))], names=["y", "weight", "hits"])
+            words = b.column(1).to_pylist()
+            found = [sorted(i for i in map(get, ws) if i >= 0) for ws in words]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(2), pa.array(found, pa.list_(pa.int32())), pa.array([len(w) for w in words], pa.int32())], names=["y", "weight", "hits", "distinct"]
+            )
 
-    made = sample.mapInArrow(hits, "y int, weight double, hits array<int>").toArrow()
+    made = sample.mapInArrow(hits, "y int, weight double, hits array<int>, distinct int").toArrow()
     y = made["y"].to_numpy()
     member = np.zeros((len(y), len(chosen)), bool)
-    for row, found in enumerate(made["hits"].to_pylist()):
+    hits_of, distinct = made["hits"].to_pylist(), made["distinct"].to_pylist()
+    for row, found in enumerate(hits_of):
         member[row, found] = True
     toxic, neutral = choose_seeds(member, y, made["weight"].to_numpy())
     if not toxic or not neutral:
@@ -311,12 +316,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, size: int = VO
     floor = FLOOR / len(index)
     polarity = np.log((up + floor) / (down + floor))
     polarity[(up + down) == 0] = 0.0
-    lexicon = Lexicon(index, polarity, np.zeros(4))
-    hits_of = [set(np.flatnonzero(m).tolist()) for m in member]
+    lexicon = Lexicon(index, polarity, np.zeros(INPUTS))
     best = -np.inf
     for edge in np.linspace(0.4, 2.2, 10):
         lexicon.edge = float(edge)
-        x = np.array([lexicon.inputs(h) for h in hits_of])
+        x = np.array([lexicon.inputs(h, n) for h, n in zip(hits_of, distinct)])
         model = logistic(x, y.astype(float))
         p = np.clip(1 / (1 + np.exp(-x @ model)), 1e-9, 1 - 1e-9)
         fits = (y * np.log(p) + (1 - y) * np.log(1 - p)).sum()
