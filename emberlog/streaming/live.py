@@ -119,3 +119,27 @@ def ingest(stream: DataFrame, path: str, checkpoint: str, on_update: Callable[[D
             on_update(batch, number)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+class LiveQuery:
+    """A tail whose query can be replaced: the old stream stops and the new one goes on from its checkpoint.
+
+    Both queries share the source's progress, so every row is judged once, by the query then in force.
+    """
+
+    def __init__(self, stream: DataFrame, query, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+        self.stream, self.query, self.sink, self.checkpoint, self.running = stream, query, sink, checkpoint, None
+
+    def start(self, **trigger):
+        def write(batch: DataFrame, number: int) -> None:
+            self.sink(where(batch, self.query), number)
+
+        writer = self.stream.writeStream.foreachBatch(write).option("checkpointLocation", self.checkpoint)
+        self.running = writer.trigger(**(trigger or {"availableNow": True})).start()
+        return self.running
+
+    def update(self, query, **trigger):
+        if self.running is not None:
+            self.running.stop()
+        self.query = query
+        return self.start(**trigger)
