@@ -80,6 +80,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_OP2 = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                  (CAST(('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS UBIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+           FROM documents),
+     s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+                  CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w
+           FROM d GROUP BY source),
+     t AS (SELECT *, source_size * 2.0::DOUBLE AS most, source_size * 2.0::DOUBLE / w AS turn FROM s),
+     a AS (SELECT 1.5::DOUBLE * sum(source_size) AS wanted, sum(w) AS weights FROM t),
+     f AS (SELECT row_number() OVER o AS n, sum(most) OVER o AS full_words, sum(w) OVER o AS full_weight, lead(turn) OVER (ORDER BY turn, source NULLS LAST) AS after FROM t
+           WINDOW o AS (ORDER BY turn, source NULLS LAST ROWS UNBOUNDED PRECEDING)
+           UNION ALL SELECT 0, 0.0, 0.0, min(turn) FROM t),
+     l AS (SELECT (wanted - full_words) / (weights - full_weight) AS level FROM f, a
+           WHERE full_weight < weights AND (wanted - full_words) / (weights - full_weight) < after ORDER BY n LIMIT 1),
+     g AS (SELECT source, source_size, least(most, coalesce((SELECT level FROM l), most / w) * w) AS target FROM t),
+     h AS (SELECT *, CAST(floor(target / greatest(source_size, 1)) AS BIGINT) AS sure, target - floor(target / greatest(source_size, 1)) * source_size AS goal FROM g),
+     r AS (SELECT d.*, source_size, target, sure, goal, row_number() OVER o AS k, sum(size) OVER o AS through
+           FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source WINDOW o AS (PARTITION BY d.source ORDER BY u, doc_id, size ROWS UNBOUNDED PRECEDING)),
+     e AS (SELECT source, min(k) AS edge, min_by(goal - through + size, k) AS room FROM r WHERE through > goal GROUP BY source),
+     x AS (SELECT r.*, edge, room, edge IS NOT NULL AND k > edge AND size <= room AND size > 0 AS later FROM r LEFT JOIN e ON r.source IS NOT DISTINCT FROM e.source),
+     y AS (SELECT *, CASE WHEN later THEN sum(CASE WHEN later THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY k ROWS UNBOUNDED PRECEDING) END AS filled FROM x),
+     z AS (SELECT *, min(CASE WHEN filled > room THEN k END) OVER (PARTITION BY source) AS edge2 FROM y)
+SELECT doc_id, size, source_size, target,
+       sure + CAST(goal > 0 AND (edge IS NULL OR k < edge OR later AND (edge2 IS NULL OR k < edge2 OR k = edge2 AND filled - room < room - filled + size)) AS BIGINT) AS copies,
+       size * (sure + CAST(goal > 0 AND (edge IS NULL OR k < edge OR later AND (edge2 IS NULL OR k < edge2 OR k = edge2 AND filled - room < room - filled + size)) AS BIGINT)) AS taken
+FROM z
+"""
+
 _OP5 = f"""
 WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents),
      g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
@@ -104,4 +132,4 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": _OP5, "op6_chat_format": _OP6}
+ORACLE_SQL: dict[str, str] = {"op2_mix_sources": _OP2, "op5_exact_dedup": _OP5, "op6_chat_format": _OP6}

@@ -167,6 +167,10 @@ def test_mix(request, which):
         assert again == sorted((r["doc_id"], r["taken"]) for r in got)
 
 
+def test_mix_sql(spark, sf_dir):
+    agree(queries.op2_mix_sources(spark, sf_dir), sf_dir, queries.ORACLE_SQL["op2_mix_sources"])
+
+
 def test_resample(odd):
     assert mixing.mix(empty(odd)).count() == 0 and mixing.resample(empty(odd)).count() == 0
     copies = collections.Counter()
