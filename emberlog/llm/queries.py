@@ -132,4 +132,15 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_mix_sources": _OP2, "op5_exact_dedup": _OP5, "op6_chat_format": _OP6}
+_OP8 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+     k AS (SELECT page_id, strlen(h) AS n, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p),
+     v AS (SELECT *, list_transform(range(8), lambda i: CAST('0x' || substr(x, CAST(5 * i + 1 AS BIGINT), 5) AS BIGINT)) AS w FROM k)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((w[j // 4 + 1] >> CAST(15 - 5 * (j % 4) AS BIGINT)) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM v
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_mix_sources": _OP2, "op5_exact_dedup": _OP5, "op6_chat_format": _OP6, "op8_arc_to_warc": _OP8}

@@ -406,6 +406,10 @@ def test_convert_arc_files(spark, tmp_path):
     assert len(got) == 3 and {bytes(r["payload"]) for r in got} == {a.payload}
 
 
+def test_archives_sql(spark, sf_dir):
+    agree(queries.op8_arc_to_warc(spark, sf_dir), sf_dir, queries.ORACLE_SQL["op8_arc_to_warc"])
+
+
 def test_archives_read_back(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").limit(40)
     more = spark.createDataFrame([(9001, "a b\n", None), (9002, None, ""), (9003, "u", "é" * 70_000), (9003, "u", "é" * 70_000), (None, "u", "lone")], "page_id long, url string, html string")
