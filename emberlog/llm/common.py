@@ -43,6 +43,12 @@ def shared_path(spark: SparkSession, stem: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder that nothing will read again."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def lookup(
     left: DataFrame,
     right: DataFrame,
