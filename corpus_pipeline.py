@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from emberlog.llm import exact_dedup, mixing, quality_fm, simhash, sp_wfst
-from emberlog.llm.common import shared_path
+from emberlog.llm.common import remove, shared_path
 from emberlog.llm.queries import PIECES, vocabulary
 from emberlog.session import ship
 
@@ -47,12 +47,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage keeps is written in the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            path = shared_path(spark, f"stage{i}")
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    """All stages over ``documents``.
+
+    What a stage keeps is written in the shared folder and read again; it goes when the next stage has
+    been written.
+    """
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        before, path = path, shared_path(spark, "stage")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+    return STAGES[-1][1](spark, docs, sf_dir)
