@@ -10,7 +10,9 @@ before.  Documents marked by ``labels.quality`` teach the field: lines of label
 0 boilerplate; it is fitted on a bounded sample of them (``SAMPLE``) by gradient steps on the exact
 log likelihood (forward-backward).  Without two classes of labels every line is content.
 
-Words are runs of anything but ASCII white space; a null text has none.  Lines end at line feeds.
+Words are runs of anything but ASCII white space; a null or empty text has none and fails.  Lines end at
+line feeds.  Equal rows are judged alike, other columns are carried through on request, and an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

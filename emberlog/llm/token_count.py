@@ -8,7 +8,7 @@ seen lately are kept in a bounded memo.  For other tokenizers whole texts are en
 balanced by bytes.
 
 Null and empty texts have no bytes and no tokens; special strings inside a text are recognised as the
-library does by default.
+library does by default.  Ids may be null or repeat, and an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -19,7 +19,9 @@
    on the sample.
 
 Words are lower-cased and parted at white space and ASCII punctuation.  Null and empty texts
-have no words and get the score of such.  Without both labels every score is 0.5.
+have no words and get the score of such.  Without both labels every score is 0.5; null labels and
+labels of null documents are not read, repeated ones count as the largest.  Equal rows score alike, and
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
