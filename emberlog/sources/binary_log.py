@@ -17,7 +17,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
-from emberlog.functions.model import CURRENT, END, LOGS, START, START_WITH_PARENT, Duration, Span, Stamp, record
+from emberlog.functions.model import CURRENT, END, LOGS, START, START_WITH_PARENT, Duration, Span, Stamp, record, value
 
 MAGIC = 0xE1
 CHUNK_MAGIC, SERVICE_MAGIC = 0x8910FC0E, 0xF745119E
@@ -242,16 +242,15 @@ class Dechunker:
         return bool(self.held or self.left)
 
 
+#: Field names that are also parameters of ``record``.
+_TAKEN = ("seq", "ts_ns", "level", "span", "service", "generation")
+
+
 def to_row(seq: int, raw: bytes, service: str | None, generation: int = 0) -> tuple:
     ts_ns, level, span, fields, _ = decode_record(raw)
-    # later writes win: fields come newest first
-    named = dict(reversed(fields))
-    row = record(seq, ts_ns, level, span=span, service=service, generation=generation, **{k: v for k, v in named.items() if k not in ("seq", "ts_ns", "level", "span", "service", "generation")})
-    for k in ("seq", "ts_ns", "level", "span", "service", "generation"):
-        if k in named:
-            from emberlog.functions.model import value
-
-            row["fields"][k] = value(named[k])
+    named = dict(reversed(fields))  # fields come newest first, and later writes win
+    row = record(seq, ts_ns, level, span=span, service=service, generation=generation, **{k: v for k, v in named.items() if k not in _TAKEN})
+    row["fields"] |= {k: value(named[k]) for k in _TAKEN if k in named}
     return tuple(row[f.name] for f in LOGS)
 
 
