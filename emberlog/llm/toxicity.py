@@ -1,20 +1,19 @@
 """Toxicity by lexicon induction on a word graph.
 
-1. A bounded sample of labelled documents (``SAMPLE``) gives the vocabulary: the ``VOCABULARY`` terms
-   whose document frequency depends most on the label (log-likelihood ratio), half on either side.
-   A term is a word or a beginning of words, so inflected forms share one; a word stands for the
-   strongest term that fits it.
-   Documents of the sample that are copies or near copies of one another share one document's weight,
-   so a rare term of a much copied document has no support.
-2. Seeds of the toxic side are the significant terms, and those found by covering: the term with the
-   largest ratio among the toxic documents that no seed is in, again and again.  Neutral seeds are the
-   commonest terms of the other side.
-3. All documents give the co-occurrence counts of vocabulary terms within ``WINDOW`` words.  Tasks
-   count into a matrix, so they pass on at most one row per pair; the graph has at most
-   VOCABULARY^2 / 2 edges at any size of the corpus, which is why it may go to the driver.
-4. Edges weigh positive pointwise mutual information.  Random walks with restart from either set of
-   seeds give each term two visiting rates; the logarithm of their ratio is its polarity.
-5. A document is scored from the polarities of its distinct words, each squashed around an edge: the
+1. All documents give the nodes: every word in at least ``SUPPORT`` documents.  Of rarer words, each
+   goes by its longest beginning that such words have in ``SUPPORT`` documents together, if any.
+2. All documents give the edges: how often two nodes stand within ``WINDOW`` words.  Tasks count into
+   sorted arrays, which travel and stay in a table as compressed blobs, one or more per bucket of nodes.
+3. A bounded sample of labelled documents (``SAMPLE``) gives only the seeds and the score model.  Terms
+   are its words and beginnings of words; the ``CANDIDATES`` whose document frequency depends most on
+   the label (log-likelihood ratio) may be seeds, half on either side.  Seeds of the toxic side are the
+   significant ones, and those found by covering: the term with the largest ratio among the toxic
+   documents that no seed is in, again and again.  Neutral seeds are the commonest terms of the other
+   side.  Documents of the sample that are copies or near copies share one document's weight.
+4. Edges weigh positive pointwise mutual information.  Random walks with restart from the nodes of
+   either set of seeds give each node two visiting rates; the logarithm of their ratio is its polarity.
+   A step is a pass over the table of edges; the driver holds a few numbers per node, never edges.
+5. A document is scored from the polarities of its distinct nodes, each squashed around an edge: the
    four strongest, their sum and its share of the words, by a logistic model; edge and model are fitted
    on the sample.
 
@@ -26,6 +25,7 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -41,12 +41,19 @@ SAMPLE = 8000
 STEMS = (3, 4, 5, 6, 7)
 MEMO = 300_000
 INPUTS = 7
-VOCABULARY = 2048
+#: Documents that a node stands in at least.
+SUPPORT = 3
+#: Terms of the sample among which seeds are sought.
+CANDIDATES = 2048
 WINDOW = 4
 RESTART = 0.3
 #: Visiting rate, in parts of the average, that both sides of the ratio get for free.
 FLOOR = 2.0
 STEPS = 60
+#: A walk ends when a step moves less than this part of it.
+SETTLED = 0.003
+#: Words of the corpus per bucket of edges, and pairs that a task holds before it passes them on.
+BUCKET_WORDS, HELD_PAIRS = 2_000_000, 6_000_000
 #: Log-likelihood ratio from which a term is a seed: among all documents, and among those left over.
 SIGNIFICANT = 24.0
 COVERING = 16.0
@@ -138,85 +145,315 @@ def _sample_terms(batches):
         )
 
 
-class Lexicon:
-    def __init__(self, index: dict[str, int], polarity: np.ndarray, model: np.ndarray) -> None:
-        self.index, self.polarity, self.model = index, polarity, model
-        #: polarity at which a term counts half
-        self.edge = 1.0
-        self.memo: Terms | None = None
+class Nodes(dict):
+    """Bounded memo from a word to the number of its node, or -1; the nodes are two arrays by hash."""
 
-    def inputs(self, hits: list[int], distinct: int) -> list[float]:
-        """From the terms of a text's distinct words: the four strongest, their sum and its share of the words."""
-        held = 1 / (1 + np.exp(-8.0 * (self.polarity[hits] - self.edge))) if hits else np.zeros(0)
-        top = np.zeros(4)
-        best = np.sort(held)[::-1][:4]
-        top[: len(best)] = best
-        return [1.0, *top, np.log1p(held.sum()), min(5.0, 100 * held.sum() / max(distinct, 1))]
+    def __init__(self, hashes: np.ndarray) -> None:
+        super().__init__()
+        order = np.argsort(hashes)
+        self.hashes, self.numbers = hashes[order], order.astype(np.int32)
+        self.view = memoryview(self.hashes)
 
-    def score(self, raws: list[str]) -> np.ndarray:
-        get = Terms(self.index).__getitem__ if self.memo is None else self.memo.__getitem__
-        rows = []
-        for raw in raws:
-            words = set(words_of(raw))
-            rows.append(self.inputs([i for i in map(get, words) if i >= 0], len(words)))
-        return 1 / (1 + np.exp(-np.clip(np.array(rows).reshape(-1, INPUTS) @ self.model, -30, 30)))
+    def __reduce__(self):
+        back = np.empty_like(self.hashes)
+        back[self.numbers] = self.hashes
+        return Nodes, (back,)
+
+    def find(self, term: str) -> int:
+        h = xxhash.xxh3_64_intdigest(term)
+        at = bisect_left(self.view, h)
+        return int(self.numbers[at]) if at < len(self.view) and self.view[at] == h else -1
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > MEMO:
+            self.clear()
+        found = self.find(word)
+        for k in reversed(STEMS):
+            if found >= 0:
+                break
+            if len(word) > k:
+                found = self.find(word[:k] + "*")
+        self[word] = found
+        return found
+
+
+def _word_counts(batches):
+    """Per word and task: documents it is in, and occurrences."""
+    docs, all_ = Counter(), Counter()
+
+    def rows():
+        terms = list(all_)
+        for low in range(0, len(terms), 50_000):
+            part = terms[low : low + 50_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part, pa.string()), pa.array([docs[t] for t in part], pa.int64()), pa.array([all_[t] for t in part], pa.int64())], names=["term", "docs", "n"]
+            )
+        docs.clear()
+        all_.clear()
+
+    for b in batches:
+        for raw in texts_of(b.column(0)):
+            words = words_of(raw)
+            docs.update(set(words))
+            all_.update(words)
+            if len(all_) > 2 * MEMO:
+                yield from rows()
+    yield from rows()
 
 
-def _pairs(index: dict[str, int], size: int):
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(term, docs, n) of every word of the corpus."""
+    each = docs.select("text").mapInArrow(_word_counts, "term string, docs long, n long")
+    return each.groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+
+
+def _hashed(batches):
+    for b in batches:
+        hashes = np.array([xxhash.xxh3_64_intdigest(t) for t in b.column(0).to_pylist()], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hashes, pa.int64())], names=["term", "n", "hash"])
+
+
+def _beginnings(support: int):
+    """Words that begin alike meet here: each goes by its longest beginning with support."""
+
     def run(batches):
-        dense = np.zeros(size * size, np.int64)
-        singles = np.zeros(size, np.int64)
-        get = Terms(index).__getitem__
+        words = [w for b in batches for w in zip(*(b.column(k).to_pylist() for k in range(3)))]
+        docs, n = Counter(), Counter()
+        for term, d, _ in words:
+            for k in STEMS:
+                if len(term) > k:
+                    docs[term[:k]] += d
+        for term, _, m in words:
+            for k in reversed(STEMS):
+                if len(term) > k and docs[term[:k]] >= support:
+                    n[term[:k] + "*"] += m
+                    break
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
+
+    return run
+
+
+def supported(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """(term, n, hash) of every node; a beginning ends in a star and counts the words that go by it."""
+    counts = materialise(word_counts(docs))
+    rare = counts.where((F.col("docs") < support) & (F.length("term") > STEMS[0]))
+    stems = rare.repartition(F.substring("term", 1, STEMS[0])).mapInArrow(_beginnings(support), "term string, n long")
+    both = counts.where(F.col("docs") >= support).select("term", "n").unionByName(stems)
+    return materialise(both.mapInArrow(_hashed, "term string, n long, hash long"))
+
+
+def _planes(values: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).ravel()
+
+
+def pack(x: np.ndarray, y: np.ndarray, n: np.ndarray, buckets: int) -> bytes:
+    """Pairs of one bucket, sorted by x and y: differences by byte planes, compressed."""
+    row = x // buckets
+    dx = np.diff(row, prepend=0)
+    dy = y.copy()
+    dy[1:] -= np.where(dx[1:] == 0, y[:-1], 0)
+    raw = np.concatenate([_planes(dx), _planes(dy), _planes(np.minimum(n, 0xFFFFFFFF))]).tobytes()
+    return len(x).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(blob: bytes, bucket: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = int.from_bytes(blob[:8], "little")
+    raw = np.frombuffer(pa.decompress(blob[8:], 12 * size, codec="zstd", asbytes=True), np.uint8).reshape(3, 4, size)
+    dx, dy, n = (np.ascontiguousarray(p.T).view("<u4").ravel().astype(np.int64) for p in raw)
+    starts = np.flatnonzero(np.concatenate([[True], dx[1:] != 0]))
+    through = np.cumsum(dy)
+    before = through[starts] - dy[starts]
+    y = through - np.repeat(before, np.diff(np.append(starts, size)))
+    return np.cumsum(dx) * buckets + bucket, y, n
+
+
+def folded(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[starts], np.add.reduceat(counts, starts)
+
+
+def _pairs(nodes: Nodes, buckets: int):
+    """Per task: blobs of pair counts by bucket, x the smaller number."""
+
+    def run(batches):
+        get = nodes.__getitem__
         gap = np.full(WINDOW, -1)
+        size = len(nodes.hashes)
+        # sorted by bucket, then x, then y
+        rows = -(-size // buckets)
+        keys: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+
+        def flush():
+            k, n = folded(np.concatenate(keys), np.concatenate(counts))
+            keys.clear()
+            counts.clear()
+            line, y = np.divmod(k, size)
+            bucket, row = np.divmod(line, rows)
+            edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+            blobs = [pack(row[i:j] * buckets + bucket[i], y[i:j], n[i:j], buckets) for i, j in zip(edges, edges[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "pairs"])
+
+        def count(held):
+            ids = np.concatenate(held)
+            found = []
+            for k in range(1, WINDOW + 1):
+                x, y = ids[:-k], ids[k:]
+                ok = (x >= 0) & (y >= 0)
+                x, y = np.minimum(x[ok], y[ok]), np.maximum(x[ok], y[ok])
+                found.append((x % buckets * rows + x // buckets) * size + y)
+            k, n = np.unique(np.concatenate(found), return_counts=True)
+            if len(k):
+                keys.append(k)
+                counts.append(n)
+
+        held, weight = [], 0
         for b in batches:
-            held, weight = [], 0
-            raws = texts_of(b.column(0))
-            for i, raw in enumerate(raws):
+            for raw in texts_of(b.column(0)):
                 words = words_of(raw)
                 held += [np.fromiter(map(get, words), np.int64, len(words)), gap]
                 weight += len(words)
-                if weight > 500_000 or i + 1 == len(raws):
-                    ids = np.concatenate(held)
-                    singles += np.bincount(ids[ids >= 0], minlength=size)
-                    for k in range(1, WINDOW + 1):
-                        x, y = ids[:-k], ids[k:]
-                        ok = (x >= 0) & (y >= 0)
-                        x, y = x[ok], y[ok]
-                        keys, counts = np.unique(np.minimum(x, y) * size + np.maximum(x, y), return_counts=True)
-                        dense[keys] += counts
+                if weight > 500_000:
+                    count(held)
                     held, weight = [], 0
-        at = np.flatnonzero(dense)
-        one = np.flatnonzero(singles)
-        keys, counts = np.concatenate([at, -1 - one]), np.concatenate([dense[at], singles[one]])
-        for low in range(0, len(keys), 100_000):
-            part = slice(low, low + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(counts[part])], names=["pair", "n"])
+                    if sum(map(len, keys)) > HELD_PAIRS:
+                        yield flush()
+        if held:
+            count(held)
+        if keys:
+            yield flush()
 
     return run
 
 
+def _merged(buckets: int):
+    def run(batches):
+        blobs: dict[int, list[bytes]] = {}
+        for b in batches:
+            for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                blobs.setdefault(k, []).append(blob)
+        for k in sorted(blobs):
+            parts = [unpack(blob, k, buckets) for blob in blobs.pop(k)]
+            keys, n = folded(np.concatenate([(x << 32) | y for x, y, _ in parts]), np.concatenate([n for _, _, n in parts]))
+            x, y = keys >> 32, keys & 0xFFFFFFFF
+            ordered = int(n.sum() + n[x != y].sum())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k], pa.int32()), pa.array([pack(x, y, n, buckets)], pa.binary()), pa.array([ordered], pa.int64())], names=["bucket", "pairs", "ordered"]
+            )
+
+    return run
+
+
+def pair_table(docs: DataFrame, nodes: Nodes, buckets: int) -> DataFrame:
+    """Pair counts of the nodes over all documents, a row per bucket; ``ordered`` counts both orders."""
+    each = docs.select("text").mapInArrow(_pairs(nodes, buckets), "bucket int, pairs binary")
+    return materialise(each.repartition("bucket").mapInArrow(_merged(buckets), "bucket int, pairs binary, ordered long"))
+
+
 def cooccurrence(docs: DataFrame, index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Symmetric pair counts within the window over all documents, and counts of the words."""
+    """Symmetric pair counts within the window over all documents, and counts of the words, of a few nodes."""
     size = len(index)
-    counted = docs.select("text").mapInArrow(_pairs(index, size), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    pair, n = counted["pair"].to_numpy(), counted["n"].to_numpy()
     together, single = np.zeros((size, size)), np.zeros(size)
-    edge = pair >= 0
-    a, b = np.divmod(pair[edge], size)
-    together[a, b] = n[edge]
-    together[b, a] = n[edge]
-    single[-1 - pair[~edge]] = n[~edge]
+    nodes = Nodes(np.array([xxhash.xxh3_64_intdigest(t) for t in sorted(index, key=index.get)], np.uint64))
+    for r in pair_table(docs, nodes, 2).collect():
+        x, y, n = unpack(bytes(r["pairs"]), r["bucket"], 2)
+        together[x, y] = together[y, x] = n
+    for r in word_counts(docs).where(F.col("term").isin(*index)).collect():
+        single[index[r["term"]]] = r["n"]
     return together, single
 
 
-def ppmi(together: np.ndarray) -> np.ndarray:
-    total = together.sum()
-    if not total:
-        return together
-    rate = together.sum(axis=1) / total
-    with np.errstate(divide="ignore", invalid="ignore"):
-        out = np.log(together / total / np.outer(rate, rate))
-    return np.where(together > 0, np.maximum(out, 0.0), 0.0)
+def _moved(buckets: int, share: np.ndarray, level: float, rates: np.ndarray):
+    """Per task: what its edges carry from ``rates`` (walks x nodes) to each node."""
+
+    def run(batches):
+        size = len(share)
+        out = np.zeros(rates.shape)
+        for b in batches:
+            for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x, y, n = unpack(blob, k, buckets)
+                weight = np.log(n).astype(np.float32) + np.float32(level) - share[x] - share[y]
+                ok = weight > 0
+                x, y, weight = x[ok], y[ok], weight[ok]
+                back = np.where(x != y, weight, 0)
+                for walk_, rate in zip(out, rates):
+                    walk_ += np.bincount(y, weight * rate[x], size)
+                    walk_ += np.bincount(x, back * rate[y], size)
+        yield pa.RecordBatch.from_arrays([pa.array([out.astype(np.float32).tobytes()], pa.binary())], names=["moved"])
+
+    return run
+
+
+def walks(pairs: DataFrame, counts: np.ndarray, buckets: int, starts: np.ndarray) -> np.ndarray:
+    """Visiting rates of random walks with restart at ``starts`` (walks x nodes) on the graph of mutual information."""
+    ordered = pairs.agg(F.sum("ordered")).first()[0]
+    if not ordered:
+        return starts
+    share = np.log(counts / counts.sum()).astype(np.float32)
+    level = -float(np.log(ordered))
+    tasks = pairs.select("bucket", "pairs").coalesce(pairs.sparkSession.sparkContext.defaultParallelism)
+
+    def moved(rates: np.ndarray) -> np.ndarray:
+        total = np.zeros(rates.shape)
+        for r in tasks.mapInArrow(_moved(buckets, share, level, rates.astype(np.float32)), "moved binary").collect():
+            total += np.frombuffer(r["moved"], np.float32).reshape(rates.shape)
+        return total
+
+    out = moved(np.ones((1, len(counts))))[0]
+    scale = np.divide(1.0, out, out=np.zeros_like(out), where=out > 0)
+    rates = starts
+    for _ in range(STEPS):
+        come = (1 - RESTART) * moved(rates * scale)
+        before, rates = rates, come + (1 - come.sum(axis=1, keepdims=True)) * starts
+        if np.abs(rates - before).sum(axis=1).max() < SETTLED:
+            break
+    return rates
+
+
+def _seeded(index: dict[str, int]):
+    """Of nodes that a candidate fits: the strongest candidate, the hash and the count."""
+
+    def run(batches):
+        get = Terms(index).__getitem__
+        for b in batches:
+            # a beginning is fitted by beginnings only
+            at = np.array([get(t[:-1] + "\0" if t[-1] == "*" else t) for t in b.column(0).to_pylist()], np.int64)
+            ok = pa.array(at >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()).filter(ok), b.column(1).filter(ok), b.column(2).filter(ok)], names=["candidate", "n", "hash"])
+
+    return run
+
+
+class Lexicon:
+    def __init__(self, nodes: Nodes, polarity: np.ndarray) -> None:
+        self.nodes, self.polarity = nodes, polarity.astype(np.float32)
+        self.fitted(1.0, np.zeros(INPUTS))
+
+    def fitted(self, edge: float, model: np.ndarray) -> None:
+        """``edge``: polarity at which a node counts half; only nodes that lean to the toxic side count."""
+        self.edge, self.model = edge, model
+        self.held = np.where(self.polarity > 0, 1 / (1 + np.exp(-8.0 * (self.polarity - edge))), 0)
+
+    def inputs(self, hits: list[int], distinct: int) -> list[float]:
+        """From the nodes of a text's distinct words: the four strongest, their sum and its share of the words."""
+        held = self.held[hits] if len(hits) else np.zeros(0)
+        top = np.zeros(4)
+        best = np.sort(held)[::-1][:4]
+        top[: len(best)] = best
+        return [1.0, *top, np.log1p(held.sum()), min(5.0, 100 * held.sum() / max(distinct, 1))]
+
+    def hits(self, words) -> list[int]:
+        return sorted({i for i in map(self.nodes.__getitem__, words) if i >= 0})
+
+    def score(self, raws: list[str]) -> np.ndarray:
+        rows = []
+        for raw in raws:
+            words = set(words_of(raw))
+            rows.append(self.inputs(self.hits(words), len(words)))
+        return 1 / (1 + np.exp(-np.clip(np.array(rows).reshape(-1, INPUTS) @ self.model, -30, 30)))
 
 
 def walk(graph: np.ndarray, seeds: list[int]) -> np.ndarray:
@@ -266,8 +503,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     return beta
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, size: int = VOCABULARY) -> Lexicon | None:
-    """Vocabulary, graph over all of ``docs``, polarities and score model; None without both labels."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, size: int = CANDIDATES) -> Lexicon | None:
+    """Graph over all of ``docs``, seeds, polarities and score model; None without both labels."""
     sample = labelled_sample(docs.select("doc_id", "text"), labels, "toxic", MODULUS, HELD, rows)
     sample = materialise(sample.select("text", "y").mapInArrow(_sample_words, "y int, words array<string>, sketch long"))
     copies = sample.groupBy("y", "sketch").count()
@@ -294,48 +531,65 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, size: int = VO
     chosen = [t for _, _, t in sorted(found)]  # numbers follow strength
     index = {w: i for i, w in enumerate(chosen)}
 
+    table = supported(docs)
+    known = table.select("hash", "n").orderBy(F.col("n").desc(), "hash").toArrow()  # commonest first, so that pairs pack well
+    if not known.num_rows:
+        return None
+    counts = known["n"].to_numpy().astype(np.float64)
+    nodes = Nodes(known["hash"].to_numpy().view(np.uint64))
+
     def hits(batches):
         get = Terms(index).__getitem__
         for b in batches:
             words = b.column(1).to_pylist()
             found = [sorted(i for i in map(get, ws) if i >= 0) for ws in words]
+            at = [sorted({i for i in map(nodes.__getitem__, ws) if i >= 0}) for ws in words]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(found, pa.list_(pa.int32())), pa.array([len(w) for w in words], pa.int32())], names=["y", "weight", "hits", "distinct"]
+                [b.column(0), b.column(2), pa.array(found, pa.list_(pa.int32())), pa.array(at, pa.list_(pa.int32())), pa.array([len(w) for w in words], pa.int32())], names=["y", "weight", "hits", "nodes", "distinct"]
             )
 
-    made = sample.mapInArrow(hits, "y int, weight double, hits array<int>, distinct int").toArrow()
+    made = sample.mapInArrow(hits, "y int, weight double, hits array<int>, nodes array<int>, distinct int").toArrow()
     y = made["y"].to_numpy()
     member = np.zeros((len(y), len(chosen)), bool)
-    hits_of, distinct = made["hits"].to_pylist(), made["distinct"].to_pylist()
-    for row, found in enumerate(hits_of):
+    for row, found in enumerate(made["hits"].to_pylist()):
         member[row, found] = True
     toxic, neutral = choose_seeds(member, y, made["weight"].to_numpy())
     if not toxic or not neutral:
         return None
-    together, _ = cooccurrence(docs, index)
-    graph = ppmi(together)
-    up, down = walk(graph, toxic), walk(graph, neutral)
-    floor = FLOOR / len(index)
+    # a seed's share of the restarts goes to its nodes by their counts
+    fits = table.mapInArrow(_seeded(index), "candidate long, n long, hash long").where(F.col("candidate").isin(*toxic, *neutral)).toArrow()
+    seed, weight = fits["candidate"].to_numpy(), fits["n"].to_numpy().astype(np.float64)
+    at = nodes.numbers[np.searchsorted(nodes.hashes, fits["hash"].to_numpy().view(np.uint64))]
+    weight /= np.bincount(seed, weight, len(chosen))[seed] if len(seed) else 1
+    starts = np.zeros((2, len(counts)))
+    for side, own in enumerate((toxic, neutral)):
+        ok = np.isin(seed, own)
+        np.add.at(starts[side], at[ok], weight[ok])
+    if not starts.any(axis=1).all():
+        return None
+    starts /= starts.sum(axis=1, keepdims=True)
+    buckets = 4 + int(counts.sum()) // BUCKET_WORDS
+    up, down = walks(pair_table(docs, nodes, buckets), counts, buckets, starts)
+    floor = FLOOR / len(counts)
     polarity = np.log((up + floor) / (down + floor))
     polarity[(up + down) == 0] = 0.0
-    lexicon = Lexicon(index, polarity, np.zeros(INPUTS))
+    lexicon = Lexicon(nodes, polarity)
+    hits_of, distinct = [np.array(h, np.int64) for h in made["nodes"].to_pylist()], made["distinct"].to_pylist()
     best = -np.inf
     for edge in np.linspace(0.4, 2.2, 10):
-        lexicon.edge = float(edge)
+        lexicon.fitted(float(edge), lexicon.model)
         x = np.array([lexicon.inputs(h, n) for h, n in zip(hits_of, distinct)])
         model = logistic(x, y.astype(float))
         p = np.clip(1 / (1 + np.exp(-x @ model)), 1e-9, 1 - 1e-9)
         fits = (y * np.log(p) + (1 - y) * np.log(1 - p)).sum()
         if fits > best + 1e-6:
             best, kept = fits, (lexicon.edge, model)
-    lexicon.edge, lexicon.model = kept
+    lexicon.fitted(*kept)
     return lexicon
 
 
 def _score(lexicon: Lexicon | None, extra: list[str]):
     def run(batches):
-        if lexicon is not None:
-            lexicon.memo = Terms(lexicon.index)
         for b in batches:
             raws = texts_of(b.column(0))
             scores = np.full(len(raws), 0.5) if lexicon is None else lexicon.score(raws)

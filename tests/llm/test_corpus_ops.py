@@ -365,6 +365,35 @@ def test_cooccurrence_counts(spark):
     assert (together == want).all() and single.tolist() == [3, 2, 2]
 
 
+def test_walks_over_tables_equal_the_walk_in_memory(spark):
+    rng = random.Random(3)
+    names = [f"w{i}" for i in range(12)]
+    df = spark.createDataFrame([(" ".join(rng.choice(names) for _ in range(9)),) for _ in range(40)], "text string").repartition(3)
+    together, single = toxicity.cooccurrence(df, {w: i for i, w in enumerate(names)})
+    graph = np.maximum(np.log(np.maximum(together, 1e-300) / together.sum() / np.outer(single, single) * single.sum() ** 2), 0)
+    nodes = toxicity.Nodes(np.array([xxhash.xxh3_64_intdigest(w) for w in names], np.uint64))
+    starts = np.zeros((2, 12))
+    starts[0, 1] = starts[1, [4, 5]] = 1
+    starts /= starts.sum(axis=1, keepdims=True)
+    got = toxicity.walks(toxicity.pair_table(df, nodes, 3), single, 3, starts)
+    assert np.abs(got - [toxicity.walk(graph, [1]), toxicity.walk(graph, [4, 5])]).sum(axis=1).max() < 4 * toxicity.SETTLED
+
+
+def test_unlabelled_documents_give_words_a_polarity(spark):
+    """A word that no labelled document has, beside the seeds in unlabelled ones."""
+    rng = random.Random(5)
+    common = [f"common{i}" for i in range(60)]
+    talk = lambda *more: " ".join(rng.sample([*rng.sample(common, 12), *more], 12 + len(more)))
+    rows = [(i, talk("vile", "nasty") if i % 4 == 0 else talk()) for i in range(400)]
+    rows += [(i, " ".join([*rng.sample(common, 3), "vile", "zorgle", "nasty", "zorgle", *rng.sample(common, 3)])) for i in range(400, 440)]
+    rows += [(i, " ".join([*rng.sample(common, 4), "quibble", *rng.sample(common, 4)])) for i in range(440, 480)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    lexicon = toxicity.train(docs, labels)
+    polarity = {w: lexicon.polarity[lexicon.nodes[w]] for w in ("vile", "zorgle", "quibble")}
+    assert polarity["zorgle"] > 0.4 > polarity["quibble"] and polarity["vile"] > 0.4
+
+
 def test_toxicity_learns(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
