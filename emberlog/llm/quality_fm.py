@@ -60,7 +60,7 @@ def statistics(raw: bytes, words: list[bytes], n_chars: int | None) -> list[floa
         len(set(rows)) / (len(rows) or 1),
         len(words) / (len(rows) or 1),
         spaces / m,
-        sum(w.isupper() for w in words[:: max(1, len(words) // 200)]) / min(m, 200),
+        sum(map(bytes.isupper, words)) / m,
         1.0 if n_chars is None else min(3.0, n_chars / (chars or 1)),
     ]
 

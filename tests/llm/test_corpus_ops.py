@@ -195,6 +195,13 @@ def test_sum_of_squares_identity():
     assert m.score(stats, [(index, x)])[0] == pytest.approx(1 / (1 + np.exp(-z)))
 
 
+@pytest.mark.parametrize("n", [1, 150, 399, 400, 20_000])
+def test_capitals_are_counted_over_all_words(n):
+    words = [b"LOUD" if i % 100 in (1, 2, 3) else b"calm" for i in range(n)]
+    assert quality_fm.statistics(b" ".join(words), words, None)[16] == pytest.approx(words.count(b"LOUD") / n)
+    assert quality_fm.statistics(b"A " * n, [b"A"] * n, None)[16] == 1.0
+
+
 def test_quality_learns(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
