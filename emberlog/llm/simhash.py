@@ -317,7 +317,7 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def clusters(prints: DataFrame, id_: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """Per distinct ``__fp``: n (rows), near (rows it links to elsewhere), component_id (least id)."""
+    """Per distinct ``__fp``: n (rows), near (rows it links to elsewhere), component_id (least id), root (its component's least ``__fp``)."""
     table = materialise(prints.groupBy("__fp").agg(F.count("*").alias("n"), F.min(id_).alias("least")))
     links = materialise(links_of(table.select(F.col("__fp").alias("fp"), "n"), radius))
     near = links.groupBy("fp").agg(F.sum("near").alias("near"))
@@ -331,7 +331,7 @@ def clusters(prints: DataFrame, id_: str = "doc_id", radius: int = RADIUS) -> Da
     linked = joined.where(F.col("near") > 0)
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
     return lookup(joined, ids, "root", "members", F.col("__fp"), total=None).select(
-        "__fp", "n", "near", F.coalesce("component_id", "least").alias("component_id")
+        "__fp", "n", "near", F.coalesce("component_id", "least").alias("component_id"), "root"
     )
 
 
@@ -358,7 +358,7 @@ def dedup(docs: DataFrame, text: str = "text", id_: str = "doc_id", radius: int
     found = lookup(prints, clusters(prints, id_, radius), "__fp", "n", F.col("__k"))
     alone = (F.col("n") == 1) & (F.col("near") == 0)
     stays = alone | F.col(id_).eqNullSafe(F.col("component_id"))
-    rows = found.select("__k", alone.alias("__alone"), stays.alias("__stays"), F.col("component_id").alias("__c")).groupBy("__k")
+    rows = found.select("__k", alone.alias("__alone"), stays.alias("__stays"), F.col("root").alias("__c")).groupBy("__k")
     rows = materialise(rows.agg(F.count("*").alias("__rows"), *[F.first(c).alias(c) for c in ("__alone", "__stays", "__c")]))
     kept = lookup(keyed, rows, "__k", "__rows", F.rand(SEED)).where("__stays")
     single = kept.where("__alone").select(docs.columns)

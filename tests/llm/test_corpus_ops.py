@@ -576,6 +576,16 @@ def test_one_of_each_group_stays(odd, docs):
     assert simhash.dedup(empty(odd)).count() == 0 and simhash.report(empty(odd)).count() == 0
 
 
+def test_components_with_the_same_least_id_stay_apart(spark):
+    rng = random.Random(11)
+    a, b, c, d = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(80)) for x in "abcd")
+    rows = [(None, a), (None, a), (None, b), (None, b), (1, c), (2, c), (1, d), (3, d)]
+    fps = [brute_fingerprint(x) for x in (a, b, c, d)]
+    assert min((x ^ y).bit_count() for i, x in enumerate(fps) for y in fps[:i]) > simhash.RADIUS
+    kept = simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert rows_of(kept, "doc_id", "text") == sorted([(None, a), (None, b), (1, c), (1, d)], key=str)
+
+
 # pipeline
 
 
