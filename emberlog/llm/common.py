@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -89,6 +90,15 @@ def byte_values(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def release() -> None:
+    """Gives memory that this Python worker has freed back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def arrow_map(
     df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
@@ -132,3 +142,18 @@ def labelled_sample(
         .select(F.col("doc_id").alias("__id"), "y")
     )
     return docs.join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).drop("__id")
+
+
+def within(sample: DataFrame, most: int) -> DataFrame:
+    """Of a bounded sample, in the order of ``place``, the rows that fit into a total ``weight`` of ``most``.
+
+    A row that doesn't fit is left out as a whole.  Only the two numbers of each row meet in the driver.
+    """
+    made = materialise(sample)
+    room, out = most, []
+    for place, weight in sorted(tuple(r) for r in made.select("place", "weight").collect()):
+        if weight > room:
+            out.append(place)
+        else:
+            room -= weight
+    return made.where(~F.col("place").isin(out)) if out else made
