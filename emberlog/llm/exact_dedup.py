@@ -24,15 +24,19 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, lookup, materialise
+from .common import byte_values, lookup, materialise, release
 
 FANOUT = 16
 NO_ID = -(2**63)
 
+#: text, count, best id, payload
+Record = tuple[bytes, int, int, bytes | None]
+
 
 def normalise(raw: bytes) -> bytes:
     """Lower-case A-Z and nothing else."""
@@ -40,30 +44,39 @@ def normalise(raw: bytes) -> bytes:
 
 
 class ContentTable:
-    """Open addressing with linear probing from complete content to (count, best id, payload)."""
+    """Open addressing with linear probing from complete content to (count, best id, payload).
+
+    With ``raw`` the entry keeps the winning row's text as it stands and compares it normalised, so a
+    row's text is held once.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, raw: bool = False) -> None:
+        self.raw = raw
         self.mask = 1023
         self.slots = [-1] * (self.mask + 1)
         self.hashes: list[int] = []
         self.keys: list[bytes] = []
         self.counts: list[int] = []
         self.ids: list[int] = []
-        self.payloads: list[object] = []
+        self.payloads: list[bytes | None] = []
         self.bytes = 0
 
     def __len__(self) -> int:
         return len(self.keys)
 
-    def add(self, key: bytes, hashed: int, count: int, best: int, payload: object) -> None:
+    def add(self, key: bytes, hashed: int, count: int, best: int, payload: bytes | None, content: bytes) -> None:
+        """``key`` is kept, ``content`` (the normalised key) is compared."""
         slots, mask = self.slots, self.mask
         at = hashed & mask
         while (entry := slots[at]) >= 0:
-            if self.hashes[entry] == hashed and self.keys[entry] == key:
-                self.counts[entry] += count
-                if best > self.ids[entry]:
-                    self.ids[entry], self.payloads[entry] = best, payload
-                return
+            if self.hashes[entry] == hashed:
+                held = self.keys[entry]
+                if (normalise(held) if self.raw else held) == content:
+                    self.counts[entry] += count
+                    if best > self.ids[entry]:
+                        self.bytes += len(key) - len(held) + len(payload or b"") - len(self.payloads[entry] or b"")
+                        self.ids[entry], self.keys[entry], self.payloads[entry] = best, key, payload
+                    return
             at = (at + 1) & mask
         slots[at] = len(self.keys)
         self.hashes.append(hashed)
@@ -71,7 +84,7 @@ class ContentTable:
         self.counts.append(count)
         self.ids.append(best)
         self.payloads.append(payload)
-        self.bytes += len(key) + 200
+        self.bytes += len(key) + len(payload or b"") + 250
         if len(self.keys) * 2 > mask:
             self._grow()
 
@@ -84,46 +97,49 @@ class ContentTable:
                 at = (at + 1) & self.mask
             slots[at] = entry
 
-    def items(self) -> Iterator[tuple[bytes, int, int, object]]:
+    def items(self) -> Iterator[Record]:
         return zip(self.keys, self.counts, self.ids, self.payloads)
 
 
-def _scratch() -> str | None:
+def _scratch(level: int) -> str | None:
+    """A local directory of Spark's; tasks and levels take turns among them."""
     found = [d for d in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if os.path.isdir(d)]
-    return found[0] if found else None
+    return found[(os.getpid() + level) % len(found)] if found else None
+
 
+def grace(records: Iterator[Record], memory: int, raw: bool = False, level: int = 0) -> Iterator[Record]:
+    """Fold (text, count, id, payload) records by complete content within ``memory`` bytes of table.
 
-def grace(
-    records: Iterator[tuple[bytes, int, int, object]], memory: int, level: int = 0
-) -> Iterator[tuple[bytes, int, int, object]]:
-    """Fold (content, count, id, payload) records by complete content within ``memory`` bytes of table."""
-    table = ContentTable()
+    Texts are contents, or with ``raw`` texts to be normalised.
+    """
+    table = ContentTable(raw)
     # bits that earlier levels partitioned by are equal within a bucket: each level hashes anew
-    for content, count, best, payload in records:
-        table.add(content, xxhash.xxh3_64_intdigest(content, seed=level), count, best, payload)
+    for key, count, best, payload in records:
+        content = normalise(key) if raw else key
+        table.add(key, xxhash.xxh3_64_intdigest(content, seed=level), count, best, payload, content)
         if table.bytes > memory and len(table) > 1:
             break
     else:
         yield from table.items()
         return
-    with tempfile.TemporaryDirectory(prefix="grace-", dir=_scratch()) as folder:
+    with tempfile.TemporaryDirectory(prefix="grace-", dir=_scratch(level)) as folder:
         paths = [os.path.join(folder, str(i)) for i in range(FANOUT)]
         files = [open(p, "wb") for p in paths]
         try:
             for source in (table.items(), records):
                 for record in source:
-                    at = xxhash.xxh3_64_intdigest(record[0], seed=level + 101) % FANOUT
+                    at = xxhash.xxh3_64_intdigest(normalise(record[0]) if raw else record[0], seed=level + 101) % FANOUT
                     pickle.dump(record, files[at], protocol=5)
                 table = None
         finally:
             for f in files:
                 f.close()
         for path in paths:
-            yield from grace(_unspill(path), memory, level + 1)
+            yield from grace(_unspill(path), memory, raw, level + 1)
             os.unlink(path)
 
 
-def _unspill(path: str) -> Iterator[tuple[bytes, int, int, object]]:
+def _unspill(path: str) -> Iterator[Record]:
     with open(path, "rb") as f:
         while True:
             try:
@@ -132,14 +148,18 @@ def _unspill(path: str) -> Iterator[tuple[bytes, int, int, object]]:
                 return
 
 
-def _records(batches, text: str, id_: str, payload: bool):
+def _records(batches, text: str, id_: str, others: list[str] | None) -> Iterator[Record]:
+    """Of each row its text, normalised unless ``others`` names the columns of its payload."""
     for batch in batches:
-        at, rows = batch.schema.get_field_index(text), None
         ids = batch.column(batch.schema.get_field_index(id_)).to_pylist()
-        if payload:
-            rows = [pickle.dumps(r, protocol=5) for r in batch.to_pylist()]
-        for i, raw in enumerate(byte_values(batch.column(at))):
-            yield normalise(raw), 1, NO_ID if ids[i] is None else ids[i], rows and rows[i]
+        raws = byte_values(batch.column(batch.schema.get_field_index(text)))
+        if others is None:
+            yield from ((normalise(raw), 1, NO_ID if i is None else i, None) for raw, i in zip(raws, ids))
+            continue
+        known = batch.column(batch.schema.get_field_index(text)).is_valid().to_pylist()
+        rest = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in others]
+        for raw, i, *row in zip(raws, ids, known, *rest):
+            yield raw, 1, NO_ID if i is None else i, pickle.dumps(row, protocol=5)
 
 
 FOLDED = "digest binary, n long, best long, content binary, payload binary"
@@ -160,37 +180,34 @@ def _emit(rows, size: int = 8 << 20):
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), FOLDED_ARROW)], schema=FOLDED_ARROW)
 
 
-def _fold_local(text: str, id_: str, payload: bool, memory: int):
+def _fold_local(text: str, id_: str, others: list[str] | None, memory: int):
+    raw = others is not None
+
     def packed(table):
-        # a payload already holds the text, so the content is left out and derived again
-        for c, n, i, p in table.items():
-            yield hashlib.sha256(c).digest(), n, i, None if payload else c, p
+        for key, n, best, payload in table.items():
+            yield hashlib.sha256(normalise(key) if raw else key).digest(), n, best, key, payload
 
     def rows(batches):
-        table = ContentTable()
-        for content, n, best, own in _records(batches, text, id_, payload):
-            table.add(content, xxhash.xxh3_64_intdigest(content), n, best, own)
+        table = ContentTable(raw)
+        for key, n, best, payload in _records(batches, text, id_, others):
+            content = normalise(key) if raw else key
+            table.add(key, xxhash.xxh3_64_intdigest(content), n, best, payload, content)
             if table.bytes > memory:
                 yield from packed(table)
-                table = ContentTable()
+                table = ContentTable(raw)
         yield from packed(table)
+        del table
+        release()
 
     return lambda batches: _emit(rows(batches))
 
 
-def _content(content: bytes | None, payload: bytes | None, text: str) -> bytes:
-    return content if content is not None else normalise((pickle.loads(payload)[text] or "").encode())
-
-
-def _fold_bucket(text: str, memory: int):
+def _fold_bucket(raw: bool, memory: int):
     def rows(batches):
-        stream = (
-            (_content(c, p, text), n, i, p)
-            for b in batches
-            for n, i, c, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist())
-        )
-        for content, n, best, payload in grace(stream, memory):
-            yield hashlib.sha256(content).digest(), n, best, None, payload
+        stream = (row for b in batches for row in zip(*(b.column(k).to_pylist() for k in (3, 1, 2, 4))))
+        for key, n, best, payload in grace(stream, memory, raw):
+            yield hashlib.sha256(normalise(key) if raw else key).digest(), n, best, key if raw else None, payload
+        release()
 
     return lambda batches: _emit(rows(batches))
 
@@ -198,15 +215,16 @@ def _fold_bucket(text: str, memory: int):
 def distinct_contents(
     docs: DataFrame, text: str = "text", id_: str = "doc_id", *, payload: bool = False, memory: int = 64 << 20
 ) -> DataFrame:
-    """One row per distinct content: digest, n (rows), best (largest id) and the winning row's payload.
+    """One row per distinct content: digest, n (rows), best (largest id); with ``payload`` also the winning
+    row's text (as ``content``) and its other columns.
 
     Two contents may not share a digest; the caller joins by digest, and this is where complete
     contents were compared, so a shared digest would show as two rows of one digest.
     """
-    names = docs.columns if payload else [text, id_]
-    narrow = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys(names)])
-    folded = narrow.mapInArrow(_fold_local(text, id_, payload, memory // 4), FOLDED)
-    return folded.repartition("digest").mapInArrow(_fold_bucket(text, memory), FOLDED).drop("content")
+    others = [c for c in docs.columns if c != text] if payload else None
+    narrow = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([text, id_, *(others or [])])])
+    folded = narrow.mapInArrow(_fold_local(text, id_, others, memory // 4), FOLDED)
+    return folded.repartition("digest").mapInArrow(_fold_bucket(payload, memory), FOLDED)
 
 
 def _digests(text: str, extra: list[str]):
@@ -237,11 +255,19 @@ def report(docs: DataFrame, text: str = "text", id_: str = "doc_id", memory: int
     )
 
 
-def _unpack(arrow_schema: pa.Schema):
+def _unpack(arrow_schema: pa.Schema, text: str):
+    others = [f for f in arrow_schema if f.name != text]
+
     def run(batches):
         for b in batches:
+            if not b.num_rows:
+                continue
             rows = [pickle.loads(x) for x in b.column(b.schema.get_field_index("payload")).to_pylist()]
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema)
+            known, *rest = zip(*rows)
+            held = {f.name: pa.array(c, f.type) for f, c in zip(others, rest)}
+            whole = b.column(b.schema.get_field_index("content")).cast(arrow_schema.field(text).type)
+            held[text] = pc.if_else(pa.array(known), whole, pa.scalar(None, whole.type))
+            yield pa.RecordBatch.from_arrays([held[f.name] for f in arrow_schema], schema=arrow_schema)
 
     return run
 
@@ -251,4 +277,4 @@ def dedup(docs: DataFrame, text: str = "text", id_: str = "doc_id", memory: int
     from pyspark.sql.pandas.types import to_arrow_schema
 
     kept = distinct_contents(docs, text, id_, payload=True, memory=memory)
-    return kept.select("payload").mapInArrow(_unpack(to_arrow_schema(docs.schema)), docs.schema)
+    return kept.select("content", "payload").mapInArrow(_unpack(to_arrow_schema(docs.schema), text), docs.schema)

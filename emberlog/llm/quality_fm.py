@@ -6,9 +6,12 @@ half of (sum v_i x_i)^2 - sum (v_i x_i)^2 per factor.  Features of a text: its w
 quantile bins that it falls into.  ``n_chars`` is the metadata, used by the ratio of what it declares
 to what the text has; a null counts as right.
 
-The model is fitted on a bounded sample of labelled rows (``SAMPLE``) by AdaGrad on the driver, where
-only hashed features arrive; whole texts are scored in Arrow functions.  Null and empty texts are
-scored by their statistics.  Without any label every score is 0.5.
+The model is fitted on a bounded sample of labelled rows (``SAMPLE`` rows, of which those are left out
+that don't fit into ``SAMPLE_WORDS``) by AdaGrad on the driver, where only hashed features arrive; whole
+texts are scored in Arrow functions.  Null and empty texts are scored by their statistics, texts of any
+length whole.  Without both labels every score is 0.5; null labels and labels of null documents are not
+read, repeated ones count as the largest.  Equal rows score alike, an empty table gives an empty result,
+and other columns, whatever their names, are carried through untouched by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -17,14 +20,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, labelled_sample, learnable
+from .common import byte_values, labelled_sample, learnable, release, within
+from .token_count import _balanced
 
 WORDS = 1 << 14
-#: Labelled rows that the fit reads at most.
-SAMPLE = 10_000
+#: Labelled rows that the fit reads at most, and hashed words in them.
+SAMPLE, SAMPLE_WORDS = 10_000, 4_000_000
 BINS = 10
 FACTORS = 8
 EPOCHS = 12
@@ -144,15 +148,16 @@ def _sample_features(batches):
     for b in batches:
         rows = [features(r, c) for r, c in zip(byte_values(b.column(0)), b.column(1).to_pylist())]
         yield pa.RecordBatch.from_arrays(
-            [b.column(2), pa.array([r[0] for r in rows], pa.list_(pa.float64())), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.list_(pa.float32()))],
-            names=["y", "stats", "index", "x"],
+            [b.column(2), pa.array([r[0] for r in rows], pa.list_(pa.float64())), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.list_(pa.float32())), b.column(3), pa.array([len(r[1]) for r in rows], pa.int64())],
+            names=["y", "stats", "index", "x", "place", "weight"],
         )
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> FactorisationMachine | None:
     """Fit on at most ``rows`` labelled documents outside the held-out fold; None without two classes."""
-    sample = labelled_sample(docs.select("doc_id", "text", "n_chars"), labels, "quality", MODULUS, HELD, rows)
-    made = sample.select("text", F.col("n_chars").cast("long"), "y").mapInArrow(_sample_features, "y int, stats array<double>, index array<int>, x array<float>").toArrow()
+    sample = labelled_sample(docs.select("doc_id", "text", declared(docs).alias("chars")), labels, "quality", MODULUS, HELD, rows)
+    made = sample.select("text", "chars", "y", F.xxhash64("doc_id").alias("place")).mapInArrow(_sample_features, "y int, stats array<double>, index array<int>, x array<float>, place long, weight long")
+    made = within(made, SAMPLE_WORDS).toArrow()
     y = made["y"].to_numpy()
     if len(np.unique(y)) < 2:
         return None
@@ -163,36 +168,50 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Factorisati
     return fit(stats, words, y[order].astype(float))
 
 
-def _score(machine: FactorisationMachine | None, extra: list[str]):
+def _score(machine: FactorisationMachine | None, text: int, chars: int, keep: int):
+    """Columns by place: the first ``keep`` pass through, the text and the declared length are among all."""
+
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                raw = byte_values(b.column(0))
+            for at, size in _balanced(whole.column(text), 4 << 20):
+                b = whole.slice(at, size)
+                raw = byte_values(b.column(text))
                 if machine is None:
                     scores = np.full(len(raw), 0.5)
                 else:
-                    rows = [features(r, c) for r, c in zip(raw, b.column(1).to_pylist())]
+                    rows = [features(r, c) for r, c in zip(raw, b.column(chars).to_pylist())]
                     scores = machine.score(np.array([r[0] for r in rows]).reshape(-1, STATS), [r[1:] for r in rows])
-                yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(scores, pa.float64())], names=[*extra, "__score"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:keep], pa.array(scores, pa.float64())], names=[*(f"k{i}" for i in range(keep)), "score"])
+        release()
 
     return run
 
 
 def scored(docs: DataFrame, machine: FactorisationMachine | None, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` and ``__score``."""
+    """Columns ``keep`` as k0, k1 and so on, and ``score``; the text travels once."""
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    source = docs.select(F.col("text").alias("__t"), F.col("n_chars").cast("long").alias("__n"), *keep)
-    return source.mapInArrow(_score(machine, keep), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "__score double"]))
+    columns = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
+    text = keep.index("text") if "text" in keep else len(columns)
+    if text == len(columns):
+        columns.append(F.col("text").alias("text"))
+    columns.append(declared(docs).alias("chars"))
+    schema = ", ".join([*(f"k{i} {kinds[c]}" for i, c in enumerate(keep)), "score double"])
+    return docs.select(*columns).mapInArrow(_score(machine, text, len(columns) - 1, len(keep)), schema)
+
+
+def declared(docs: DataFrame) -> Column:
+    """The declared number of characters, null where the table has none."""
+    return F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
 
 
 def classify(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
     held, _ = learnable("doc_id", MODULUS, HELD)
-    out = scored(docs, train(docs, labels, rows), ["doc_id"])
-    return out.select("doc_id", held.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    out = scored(docs, train(docs, labels, rows), ["doc_id"]).select(F.col("k0").alias("doc_id"), "score")
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
     """The documents whose score is at least 0.5, with their columns."""
-    return scored(docs, train(docs, labels, rows), docs.columns).where("__score >= 0.5").drop("__score")
+    good = scored(docs, train(docs, labels, rows), docs.columns).where("score >= 0.5")
+    return good.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
