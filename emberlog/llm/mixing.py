@@ -3,19 +3,27 @@
 Each source gets a target in words: its weight's share of ``share`` times all words, stopped at
 ``cap`` times its own words, the excess reshared by weight until no target is above its cap.  Every
 document is taken ``floor(target / source words)`` times for certain.  What is left of the target is
-filled by Pareto order sampling: documents are ranked by random odds over inclusion odds,
-``(u / (1 - u)) / (p / (1 - p))``, and taken in that order while they fit into the words left.  A
-second pass of the same kind fills the gap before the first document that was too large, among later
-documents no larger than the gap, and takes the next one as well when that brings the sum nearer.
+filled by Pareto order sampling with unequal probabilities.
+
+Inclusion.  A document's probability is proportional to the number of binary digits of its size
+(``digits``), so long documents are likelier, by far less than they are longer; one digit counts for
+empty ones.  The factor makes the expected words the words left.  Where that would be 1 or more, the
+document is certain and the factor is taken anew for the rest, as sampling with fixed size demands.
+
+Order.  Documents are ranked by random odds over inclusion odds, ``(u / (1 - u)) / (p / (1 - p))``,
+certain ones first, and taken in that order while they fit into the words left.  A second pass of the
+same kind fills the gap before the first document that was too large, among later documents no
+larger than the gap, and takes the next one as well when that brings the sum nearer.
 
 ``u`` comes from the MD5 of the id as text (null: empty) and the seed, so reruns agree.  Rows equal
 in id and size are exchangeable; ties in rank are broken by id and size, and rows equal in those by
 a number that is not part of the result.  Sizes are words, runs of anything but ASCII white space; a
-null text has none.  A null source is a source of its own, ordered last.  Sources without words get
-target 0.  An empty table gives an empty result.
+null text has none, and texts of any length are counted whole.  A null source is a source of its own,
+ordered last.  Sources without words get target 0.  An empty table gives an empty result.  Columns of
+any name may be carried along.
 
-The running sums over a source are taken in two levels, over ``BINS`` rank intervals and then within
-the one interval where the target falls, so no task ever sorts a whole source.
+The running sums over a source are taken in two levels, over intervals of the rank's logarithm and
+then within the one interval where the target falls, so no task ever sorts a whole source.
 """
 
 from __future__ import annotations
@@ -29,7 +37,10 @@ from .common import byte_values, lookup, materialise
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2.0
-BINS = 1 << 14
+#: Intervals per unit of the rank's logarithm; one holds at most about one row in 4 x BINS.
+BINS = 1 << 13
+#: Below the interval of any rank: where certain documents stand.
+CERTAIN = -(1 << 40)
 SEED = "mix-1"
 
 
@@ -82,6 +93,31 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: floa
     return rated.withColumn("target", F.least("most", F.lit(level) * F.col("weight"))).drop("weight", "most", "turn")
 
 
+def digits(size: Column) -> Column:
+    """Binary digits of a size, one at least: the measure of inclusion."""
+    return F.length(F.bin(size))
+
+
+def inclusion() -> Column:
+    """A document's probability from the columns factor and digits, which has no factor where all are certain."""
+    return F.coalesce(F.least(F.greatest(F.col("factor") * F.col("digits"), F.lit(1e-9)), F.lit(1.0)), F.lit(1.0))
+
+
+def factors(each: DataFrame, goals: DataFrame) -> DataFrame:
+    """Per key the factor of the inclusion probabilities: goals with ``factor``.
+
+    Words are added up per number of digits, at most 63 of them.  The longest texts are certain from
+    the top down until the factor of the rest leaves none at 1 or more.
+    """
+    sums = each.groupBy("key", "digits").agg(F.sum("size").alias("words")).join(goals.select("key", "goal"), "key")
+    down = Window.partitionBy("key").orderBy(F.col("digits").desc())
+    sums = sums.withColumn("above", F.coalesce(F.sum("words").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    sums = sums.withColumn("rest", F.sum(F.col("digits") * F.col("words")).over(down.rowsBetween(0, Window.unboundedFollowing)))
+    sums = sums.withColumn("factor", (F.col("goal") - F.col("above")) / F.when(F.col("rest") > 0, F.col("rest")))
+    fits = sums.where(F.col("factor") * F.col("digits") < 1).groupBy("key").agg(F.max_by("factor", "digits").alias("factor"))
+    return goals.join(fits, "key", "left")
+
+
 def _cut(rows: DataFrame, goals: DataFrame, nearest: bool) -> DataFrame:
     """Per key, take rows in rank order while their sizes fit ``goal``.
 
@@ -130,7 +166,10 @@ def mix(
     seed: str = SEED,
     extra: list[str] | None = None,
 ) -> DataFrame:
-    """Per document: id, size, source_size, target, copies, taken (size x copies) and columns ``extra``."""
+    """Per document: id, size, source_size, target, p, copies, taken (size x copies) and columns ``extra``.
+
+    ``p`` is the probability of one more copy than the certain ones.
+    """
     extra = extra or []
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     narrow = docs.select(id_, source, text, *extra).mapInArrow(
@@ -138,18 +177,19 @@ def mix(
     )
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
     renamed = narrow.select(F.col(id_).alias("id"), F.col(source).alias("source"), "size", *[F.col(c).alias(f"x_{c}") for c in extra])
-    each = materialise(renamed.withColumn("key", key).withColumn("tie", F.monotonically_increasing_id()).withColumn("u", uniform(F.col("id"), seed)))
+    renamed = renamed.withColumn("key", key).withColumn("tie", F.monotonically_increasing_id())
+    each = materialise(renamed.withColumn("u", uniform(F.col("id"), seed)).withColumn("digits", digits(F.col("size"))))
     total = each.count()
     per = each.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     goals = targets(per, weights, share, cap)
     ratio = F.col("target") / F.greatest("source_size", F.lit(1))
     goals = goals.withColumn("sure", F.floor(ratio)).withColumn("goal", F.col("target") - F.col("sure") * F.col("source_size"))
-    goals = materialise(goals.select("key", "source_size", "target", "docs", "sure", "goal"))
-    rated = lookup(each, goals, "key", "docs", F.col("tie"), total)
-    p = F.greatest(F.least(F.col("goal") / F.greatest("source_size", F.lit(1)), F.lit(1 - 1e-9)), F.lit(1e-9))
-    rated = rated.withColumn("q", (F.col("u") / (1 - F.col("u"))) / (p / (1 - p)))
-    # equal probabilities within a source order by u, so intervals of u are intervals of the rank
-    rated = materialise(rated.withColumn("bin", F.floor(F.col("u") * BINS)).drop("sure", "docs"))
+    goals = materialise(factors(each, goals.select("key", "source_size", "target", "docs", "sure", "goal")))
+    rated = lookup(each, goals, "key", "docs", F.col("tie"), total).withColumn("p", inclusion())
+    rated = rated.withColumn("q", F.when(F.col("p") >= 1, F.lit(0.0)).otherwise((F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))))
+    # the logarithm is monotone, so its intervals are intervals of the rank
+    place = F.when(F.col("q") > 0, F.floor(F.log(F.when(F.col("q") > 0, F.col("q"))) * BINS)).otherwise(F.lit(CERTAIN))
+    rated = materialise(rated.withColumn("bin", place).drop("sure", "docs", "factor", "digits"))
     body = rated.select("key", "id", "size", "q", "bin", "tie")
     one = materialise(_cut(body, goals.select("key", "goal", "docs"), False))
     rank = F.struct("q", "id", "size", "tie")
@@ -168,19 +208,27 @@ def mix(
     drawn = F.when(F.col("goal") <= 0, F.lit(False)).otherwise(F.coalesce(first | second, F.lit(False)))
     copies = F.col("sure") + drawn.cast("long")
     return out.select(
-        F.col("id").alias(id_), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), *[F.col(f"x_{c}").alias(c) for c in extra]
+        F.col("id").alias(id_), "size", "source_size", "target", F.when(F.col("goal") > 0, F.col("p")).otherwise(F.lit(0.0)).alias("p"), copies.alias("copies"), (F.col("size") * copies).alias("taken"), *[F.col(f"x_{c}").alias(c) for c in extra]
     )
 
 
 def resample(docs: DataFrame, text: str = "text", id_: str = "doc_id", source: str = "source", **options) -> DataFrame:
-    """The mixed corpus: each row repeated as often as the mix takes it, columns unchanged."""
-    row = F.concat_ws(":", F.coalesce(F.col(id_).cast("string"), F.lit("null")), F.xxhash64(text, source), F.hash(text))
-    keyed = docs.withColumn("__k", row)
-    decided = mix(keyed, text, id_, source, extra=["__k"], **options)
-    # equal rows are exchangeable, so one of them stands for all and is repeated as often as they are taken
-    each = materialise(decided.groupBy("__k").agg(F.count("*").alias("__rows"), F.sum("copies").alias("__copies")))
-    found = lookup(keyed, each, "__k", "__rows", F.rand(1)).where("__copies > 0")
-    single = found.where("__rows = 1").select(*docs.columns, "__copies")
-    repeated = found.where("__rows > 1").groupBy("__k").agg(F.first(F.struct(*docs.columns)).alias("__row"), F.first("__copies").alias("__copies"))
-    rows = single.unionByName(repeated.select("__row.*", "__copies"))
-    return rows.withColumn("__i", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)
+    """The mixed corpus: each row repeated as often as the mix takes it, columns unchanged.
+
+    Rows that agree in all columns are exchangeable; rows that differ in any are decided one by one.
+    """
+    slots = [f"c{i}" for i in range(len(docs.columns))]
+    keyed = docs.toDF(*slots)
+    at = {c: s for c, s in zip(docs.columns, slots)}
+    values = [F.to_json(F.struct(s)) if "map<" in kind else F.col(s) for s, kind in keyed.dtypes]
+    # nulls leave a hash as it was, so they are told apart beside it
+    nulls = F.concat(*[F.when(F.col(s).isNull(), "1").otherwise("0") for s in slots])
+    keyed = keyed.withColumn("row", F.concat_ws(":", nulls, F.xxhash64(*values), F.xxhash64(F.lit(SEED), *values)))
+    decided = mix(keyed, at[text], at[id_], at[source], extra=["row"], **options)
+    # of equal rows one stands for all and is repeated as often as they are taken
+    each = materialise(decided.groupBy("row").agg(F.count("*").alias("rows"), F.sum("copies").alias("copies")))
+    found = lookup(keyed, each, "row", "rows", F.rand(1)).where("copies > 0")
+    single = found.where("rows = 1").select(*slots, "copies")
+    repeated = found.where("rows > 1").groupBy("row").agg(F.first(F.struct(*slots)).alias("one"), F.first("copies").alias("copies"))
+    rows = single.unionByName(repeated.select("one.*", "copies"))
+    return rows.withColumn("i", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*slots).toDF(*docs.columns)

@@ -96,13 +96,19 @@ WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, '')
            WHERE full_weight < weights AND (wanted - full_words) / (weights - full_weight) < after ORDER BY n LIMIT 1),
      g AS (SELECT source, source_size, least(most, coalesce((SELECT level FROM l), most / w) * w) AS target FROM t),
      h AS (SELECT *, CAST(floor(target / greatest(source_size, 1)) AS BIGINT) AS sure, target - floor(target / greatest(source_size, 1)) * source_size AS goal FROM g),
-     r AS (SELECT d.*, source_size, target, sure, goal, row_number() OVER o AS k, sum(size) OVER o AS through
-           FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source WINDOW o AS (PARTITION BY d.source ORDER BY u, doc_id, size ROWS UNBOUNDED PRECEDING)),
+     b AS (SELECT d.*, source_size, target, sure, goal, length(bin(size)) AS digits FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source),
+     i AS (SELECT source, digits, any_value(goal) AS goal, CAST(sum(size) AS BIGINT) AS words FROM b GROUP BY source, digits),
+     j AS (SELECT source, digits, (goal - coalesce(sum(words) OVER (PARTITION BY source ORDER BY digits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                  / nullif(sum(digits * words) OVER (PARTITION BY source ORDER BY digits DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS factor FROM i),
+     m AS (SELECT source, max_by(factor, digits) AS factor FROM j WHERE factor * digits < 1 GROUP BY source),
+     n AS (SELECT b.*, coalesce(least(greatest(m.factor * digits, 1e-9::DOUBLE), 1.0::DOUBLE), 1.0::DOUBLE) AS p FROM b LEFT JOIN m ON b.source IS NOT DISTINCT FROM m.source),
+     q AS (SELECT *, CASE WHEN p >= 1 THEN 0.0::DOUBLE ELSE (u / (1 - u)) / (p / (1 - p)) END AS q FROM n),
+     r AS (SELECT q.*, row_number() OVER o AS k, sum(size) OVER o AS through FROM q WINDOW o AS (PARTITION BY source ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING)),
      e AS (SELECT source, min(k) AS edge, min_by(goal - through + size, k) AS room FROM r WHERE through > goal GROUP BY source),
      x AS (SELECT r.*, edge, room, edge IS NOT NULL AND k > edge AND size <= room AND size > 0 AS later FROM r LEFT JOIN e ON r.source IS NOT DISTINCT FROM e.source),
      y AS (SELECT *, CASE WHEN later THEN sum(CASE WHEN later THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY k ROWS UNBOUNDED PRECEDING) END AS filled FROM x),
      z AS (SELECT *, min(CASE WHEN filled > room THEN k END) OVER (PARTITION BY source) AS edge2 FROM y)
-SELECT doc_id, size, source_size, target,
+SELECT doc_id, size, source_size, target, CASE WHEN goal > 0 THEN p ELSE 0.0::DOUBLE END AS p,
        sure + CAST(goal > 0 AND (edge IS NULL OR k < edge OR later AND (edge2 IS NULL OR k < edge2 OR k = edge2 AND filled - room < room - filled + size)) AS BIGINT) AS copies,
        size * (sure + CAST(goal > 0 AND (edge IS NULL OR k < edge OR later AND (edge2 IS NULL OR k < edge2 OR k = edge2 AND filled - room < room - filled + size)) AS BIGINT)) AS taken
 FROM z
