@@ -8,12 +8,15 @@ Search works on distinct fingerprints.  Each is cut into segments; two fingerpri
 radius agree up to a small number of bits in at least one segment (pigeonhole), so it is enough to
 enumerate the small Hamming ball around every segment value, fetch the table entries of each value
 in it, and verify complete distances.  A pair counts only in the first segment that finds it, hence
-once.  Tables and probes of a segment value meet in one task, which verifies in blocks and returns
-per fingerprint a number of links and one edge, never the pairs.  A bucket too large for one task is
-split: both its table entries and its probes are dealt into chunks, and chunk pairs become tasks.
-
-Nulls and empty texts have fingerprint zero and link like any other; an empty table gives an empty
-result; repeated rows count as further members of their fingerprint.
+once.  Tables and probes of a segment value meet in one cell; a bucket of more than ``CHUNK`` rows is
+split, both its entries and its probes dealt into chunks, and every pair of chunks is a cell.  Tasks
+get their cells sorted and take them a block at a time, so their memory does not grow with the input;
+their number follows that of the entries.  They return per fingerprint a number of links and one edge,
+never the pairs.
+
+Nulls and empty texts have fingerprint zero and link like any other; texts of any length are read
+whole; an empty table gives an empty result; repeated rows and ids count as further members of their
+fingerprint; other columns are not read by ``report`` and carried along by ``dedup``.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, byte_values, lookup, materialise
+from .common import byte_values, lookup, materialise, release
 
 RADIUS = 6
 SEED = 42
@@ -150,6 +153,8 @@ _LINKS = pa.schema([("fp", pa.int64()), ("near", pa.int64()), ("root", pa.int64(
 BLOCK = 1 << 20
 #: Entries and probes of one bucket that one task takes; a larger bucket becomes a grid of tasks.
 CHUNK = 1 << 15
+#: Rows of whole cells matched at once, linked fingerprints held before they are passed on, and rows of a task.
+ROWS, HELD_LINKS, TASK_ROWS = 1 << 18, 500_000, 4_000_000
 #: A cell is value, left chunk and right chunk in 32, 15 and 15 bits.
 _CHUNKS, _SHIFT_I = np.uint64(1 << 15), np.uint64(15)
 
@@ -246,34 +251,73 @@ def match(links: _Links, scheme: Scheme, s: int, cell, right, fps, ns) -> None:
         _verify(links, scheme, s, tf, tn, ia, pf, pn, ib, False)
 
 
+class _Held:
+    """Rows of whole cells, of which the last may still be coming in."""
+
+    def __init__(self) -> None:
+        self.parts: list[pa.RecordBatch] = []
+        self.rows = 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        self.parts.append(batch)
+        self.rows += batch.num_rows
+
+    def take(self, whole: bool) -> tuple[np.ndarray, ...] | None:
+        """All rows held, or all but those of the last cell; None where there are none."""
+        if not self.rows:
+            return None
+        table = pa.Table.from_batches(self.parts)
+        seg, cell = table["seg"].to_numpy(), table["cell"].to_numpy()
+        size = len(seg) if whole else int(np.flatnonzero((seg != seg[-1]) | (cell != cell[-1])).max(initial=-1)) + 1
+        columns = (seg, cell.view(np.uint64), table["right"].to_numpy(), table["fp"].to_numpy().view(np.uint64), table["n"].to_numpy())
+        self.parts = table.slice(size).combine_chunks().to_batches()
+        self.rows = len(seg) - size
+        return tuple(c[:size] for c in columns) if size else None
+
+
 def _match_partition(scheme: Scheme):
+    """Rows come sorted by segment and cell; they are matched in blocks of whole cells."""
+
     def run(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        seg, cell = table["seg"].to_numpy(), table["cell"].to_numpy().view(np.uint64)
-        right, fps, ns = table["right"].to_numpy(), table["fp"].to_numpy().view(np.uint64), table["n"].to_numpy()
-        del table, held
-        links = _Links()
-        for s in range(len(scheme.segments)):
-            own = seg == s
-            if own.any():
-                match(links, scheme, s, cell[own], right[own], fps[own], ns[own])
+        links, held, want = _Links(), _Held(), ROWS
+
+        def work(whole: bool):
+            got = held.take(whole)
+            if got is not None:
+                seg, cell, right, fps, ns = got
+                for s in np.unique(seg).tolist():
+                    own = seg == s
+                    match(links, scheme, s, cell[own], right[own], fps[own], ns[own])
+
+        for b in batches:
+            if b.num_rows:
+                held.add(b)
+            if held.rows >= want:
+                work(False)
+                want = held.rows + ROWS  # what is left of a cell stays until the cell is complete
+                if len(links.near) > HELD_LINKS:
+                    yield from links.rows()
+                    links = _Links()
+        work(True)
         yield from links.rows()
+        release()
 
     return run
 
 
-def links_of(table: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """From distinct (fp, n): per linked fp the number of rows it links to, and edges (fp, root)."""
+def links_of(table: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+    """From distinct (fp, n): per linked fp the number of rows it links to, and edges (fp, root).
+
+    Sizes of buckets are counted first, by a pass of its own over the enumeration, which is several times
+    larger than the table it comes from and not worth storing.
+    """
+    spark = table.sparkSession
     entries = table.count()
     scheme = Scheme(entries, radius)
     each = table.mapInArrow(_entries(scheme), "seg int, value long, probe boolean, fp long, n long")
-    # a bucket is split when it is large both outright and as a share: at most 1000 x ball size are
-    sizes = each.groupBy("seg", "value").count().where((F.col("count") > CHUNK) & (F.col("count") * HOT_SHARE > entries))
-    grids = sizes.select("seg", "value", F.least(F.ceil(F.col("count") / CHUNK), F.lit(1 << 15)).cast("int").alias("g"))
-    found = each.join(F.broadcast(grids), ["seg", "value"], "left").withColumn("g", F.coalesce("g", F.lit(1)))
+    sizes = each.groupBy("seg", "value").count().where(F.col("count") > chunk)
+    grids = materialise(sizes.select("seg", "value", F.least(F.ceil(F.col("count") / chunk), F.lit(1 << 15)).cast("int").alias("g")))
+    found = _with_grid(each, grids).withColumn("g", F.coalesce("g", F.lit(1)))
     i = F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")
     every = F.sequence(F.lit(0), F.col("g") - 1)
     as_left = F.transform(every, lambda j: F.struct(i.alias("i"), j.alias("j"), F.lit(False).alias("right")))
@@ -283,7 +327,19 @@ def links_of(table: DataFrame, radius: int = RADIUS) -> DataFrame:
     placed = found.select("seg", "value", "fp", "n", F.explode(F.when(F.col("g") == 1, one).otherwise(places)).alias("p"))
     cell = F.shiftleft("value", 30) + F.col("p.i") * (1 << 15) + F.col("p.j")
     cells = placed.select("seg", cell.alias("cell"), F.col("p.right").alias("right"), "fp", "n")
-    return cells.repartition("seg", "cell").mapInArrow(_match_partition(scheme), LINKS)
+    probes = sum(len(scheme.ball(s)) + 1 for s in range(len(scheme.segments))) // 2
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), entries * probes // TASK_ROWS)
+    return cells.repartition(tasks, "seg", "cell").sortWithinPartitions("seg", "cell").mapInArrow(_match_partition(scheme), LINKS)
+
+
+def _with_grid(each: DataFrame, grids: DataFrame, most: int = 100_000) -> DataFrame:
+    """``each`` with the grid of its bucket, null for small ones: broadcast while there are few grids, else
+    a shuffled join in which every grid stands once per salt, so that no large bucket meets in one task."""
+    if grids.count() <= most:
+        return each.join(F.broadcast(grids), ["seg", "value"], "left")
+    salts = 64
+    salted = grids.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return each.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(salts)).cast("int")).join(salted, ["seg", "value", "salt"], "left").drop("salt")
 
 
 def components(edges: DataFrame, a: str = "fp", b: str = "root") -> DataFrame:
@@ -348,19 +404,24 @@ def report(docs: DataFrame, text: str = "text", id_: str = "doc_id", radius: int
 
 
 def dedup(docs: DataFrame, text: str = "text", id_: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """One document of each component: its smallest id.  Of equal rows with that id one stays.
+    """One document of each component: its smallest id; of rows equal in that, the first by their other columns.
 
-    Documents whose component has no other row stay as they are, also with a null id.
+    Documents whose component has no other row stay as they are, also with a null id.  Columns of any
+    name and type are carried along; those without an order have no say in ties.
     """
-    key = F.concat_ws(":", F.coalesce(F.col(id_).cast("string"), F.lit("null")), F.xxhash64(text), F.hash(text))
-    keyed = docs.withColumn("__k", key)
-    prints = materialise(with_fingerprint(keyed, text, [id_, "__k"]))
-    found = lookup(prints, clusters(prints, id_, radius), "__fp", "n", F.col("__k"))
+    slots = [f"c{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, slots))
+    keyed = docs.toDF(*slots)
+    id_, text = at[id_], at[text]
+    keyed = keyed.withColumn("row", F.concat_ws(":", F.coalesce(F.col(id_).cast("string"), F.lit("null")), F.xxhash64(text), F.hash(text)))
+    prints = materialise(with_fingerprint(keyed, text, [id_, "row"]))
+    found = lookup(prints, clusters(prints, id_, radius), "__fp", "n", F.col("row"))
     alone = (F.col("n") == 1) & (F.col("near") == 0)
     stays = alone | F.col(id_).eqNullSafe(F.col("component_id"))
-    rows = found.select("__k", alone.alias("__alone"), stays.alias("__stays"), F.col("root").alias("__c")).groupBy("__k")
-    rows = materialise(rows.agg(F.count("*").alias("__rows"), *[F.first(c).alias(c) for c in ("__alone", "__stays", "__c")]))
-    kept = lookup(keyed, rows, "__k", "__rows", F.rand(SEED)).where("__stays")
-    single = kept.where("__alone").select(docs.columns)
-    chosen = kept.where("not __alone").groupBy("__c").agg(F.min(F.struct(*docs.columns)).alias("__row"))
-    return single.unionByName(chosen.select("__row.*"))
+    rows = found.select("row", alone.alias("alone"), stays.alias("stays"), F.col("root").alias("root")).groupBy("row")
+    rows = materialise(rows.agg(F.count("*").alias("rows"), *[F.first(c).alias(c) for c in ("alone", "stays", "root")]))
+    kept = lookup(keyed, rows, "row", "rows", F.rand(SEED)).where("stays")
+    single = kept.where("alone").select(*slots)
+    ordered = [s for s, kind in keyed.dtypes if s in slots and "map<" not in kind and kind != "variant"]
+    chosen = kept.where("not alone").groupBy("root").agg(F.min_by(F.struct(*slots), F.struct(*ordered)).alias("one"))
+    return single.unionByName(chosen.select("one.*")).toDF(*docs.columns)
