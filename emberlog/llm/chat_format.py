@@ -13,7 +13,8 @@ Null texts and roles count as empty; turns sort by (turn, role, text), null turn
 repeated rows have one order; rows of a null conversation form one conversation.  The loss mask is a
 list of (start, length) in code points, one for every assistant text, empty ones included.  A
 conversation is one row of the result, as its method demands; the collected structs carry the three
-columns needed and no others.
+columns needed and no others, and the work is about linear in a conversation's turns.  Texts of any
+length are kept whole; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 BEGIN, CLOSE, NEXT, END = "<|turn ", "|>\n", "<|next|>", "<|end|>\n"
 LOSS_ROLE = "assistant"
+#: Turns whose spans are gathered into one array at a time.
+BLOCK = 256
 
 
 def escape(text: Column) -> Column:
@@ -53,15 +56,26 @@ def format_conversations(
 
     parts = sorted_.select("conv", F.transform("turns", part).alias("parts"))
     whole = F.array_join(F.transform("parts", lambda p: F.concat(p["opens"], p["text"], p["closes"])), "")
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,length:int>>)").alias("spans"))
+    # spans are gathered in blocks, since an array grows by being copied: a block of its own start, then flattened
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("parts") - 1) / BLOCK).cast("int")), lambda i: F.slice("parts", i * BLOCK + 1, F.lit(BLOCK)))
+
+    def width(p: Column) -> Column:
+        return F.length(p["opens"]) + F.length(p["text"]) + F.length(p["closes"])
+
+    widths = F.transform("blocks", lambda b: F.aggregate(b, F.lit(0), lambda acc, p: acc + width(p)))
+    begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts"))
+    starts = F.aggregate("widths", begin, lambda acc, w: F.struct((acc["at"] + w).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")))["starts"]
+    none = F.expr("cast(array() as array<struct<start:int,length:int>>)")
 
     def step(acc: Column, p: Column) -> Column:
         start = acc["at"] + F.length(p["opens"])
         span = F.struct((start + 1).alias("start"), F.length(p["text"]).alias("length"))
         spans = F.when(p["loss"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct((start + F.length(p["text"]) + F.length(p["closes"])).alias("at"), spans.alias("spans"))
+        return F.struct((acc["at"] + width(p)).alias("at"), spans.alias("spans"))
 
-    return parts.select(F.col("conv").alias(conv), whole.alias("formatted"), F.aggregate("parts", zero, step)["spans"].alias("loss_spans"))
+    spans = F.flatten(F.zip_with("blocks", "starts", lambda b, at: F.aggregate(b, F.struct(at.alias("at"), none.alias("spans")), step)["spans"]))
+    made = parts.select("conv", "parts", whole.alias("formatted"), blocks.alias("blocks")).withColumn("widths", widths).withColumn("starts", starts)
+    return made.select(F.col("conv").alias(conv), "formatted", spans.alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
