@@ -8,7 +8,8 @@ seen lately are kept in a bounded memo.  For other tokenizers whole texts are en
 balanced by bytes.
 
 Null and empty texts have no bytes and no tokens; special strings inside a text are recognised as the
-library does by default.  Ids may be null or repeat, and an empty table gives an empty result.
+library does by default.  A text without white space is one piece and encoded whole, however long.  Ids
+may be null or repeat, an empty table gives an empty result, and other columns are not read.
 """
 
 from __future__ import annotations
@@ -52,14 +53,15 @@ class Memo(dict):
 
 
 def slices(texts: list[str], most: int = SLICE_BYTES) -> Iterator[list[str]]:
-    """Consecutive slices of about equal weight in characters; one long text is a slice of its own."""
+    """Consecutive slices of about equal weight in bytes; one long text is a slice of its own."""
     held, weight = [], 0
     for t in texts:
-        if held and weight + len(t) > most:
+        size = len(t.encode()) + 8
+        if held and weight + size > most:
             yield held
             held, weight = [], 0
         held.append(t)
-        weight += len(t) + 8
+        weight += size
     if held:
         yield held
 
