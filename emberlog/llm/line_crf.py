@@ -6,13 +6,19 @@ repetitive texts.
 
 A line's features are bins of counts over its bytes (words, symbols, bars, exclamation marks, digits,
 capitals), of its word lengths, of its first and last characters, and whether an equal line came
-before.  Documents marked by ``labels.quality`` teach the field: lines of label 1 are content, of label
-0 boilerplate; it is fitted on a bounded sample of them (``SAMPLE``) by gradient steps on the exact
-log likelihood (forward-backward).  Without two classes of labels every line is content.
+before.  No line is labelled; documents are, by ``labels.quality``.  So the labels of lines are latent and
+fitted by expectation-maximisation with posterior constraints: of a document of label 0 at most ``LOW`` of
+the words may be expected in content lines, of one of label 1 at least ``HIGH``.  A document that breaks its
+constraint gets a bias on its lines, moved a step each round until it holds (the multiplier of the
+constraint); how lines differ within a document is left to the field.  The field then takes gradient steps
+towards the expected line labels and transitions, its own expectations by forward-backward.  It is fitted on
+a bounded sample (``SAMPLE`` documents, of which those are left out that don't fit into ``SAMPLE_LINES``).
+Without two classes of labels every line is content.
 
 Words are runs of anything but ASCII white space; a null or empty text has none and fails.  Lines end at
-line feeds.  Equal rows are judged alike, other columns are carried through on request, and an empty
-table gives an empty result.
+line feeds; texts of any length are read whole.  Null labels and labels of null documents are not read,
+repeated ones count as the largest.  Equal rows are judged alike, other columns are carried through on
+request, whatever their names, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,10 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_bytes, labelled_sample
+from .common import flat_bytes, labelled_sample, release, within
 from .token_count import _balanced
 
-SAMPLE = 3000
+SAMPLE, SAMPLE_LINES = 3000, 150_000
+#: Bounds on the expected share of words in content lines, for documents of label 0 and 1.
+LOW, HIGH = 0.3, 0.8
+ROUNDS, STEPS = 30, 4
 #: Words in content lines over all words from which a text stays.
 SHARE = 0.5
 MIN_WORDS = 50
@@ -153,54 +162,86 @@ class Field:
         return out
 
 
-def _normal(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
-def fit(chains: list[tuple[np.ndarray, int]], steps: int = 100, decay: float = 1e-3) -> Field:
-    """Gradient ascent (Adam) on the mean log likelihood of label sequences, by forward-backward."""
-    cut = [(f[at : at + SEGMENT], y) for f, y in chains for at in range(0, max(len(f), 1), SEGMENT) if len(f)]
-    n = len(cut)
-    sizes = np.array([len(f) for f, _ in cut])
-    pad = FEATURES * WIDTH
-    x = np.full((n, SEGMENT, FEATURES), pad)
-    y = np.array([label for _, label in cut])
-    for i, (f, _) in enumerate(cut):
-        x[i, : len(f)] = f
-    real = np.arange(SEGMENT) < sizes[:, None]
-    share = y.mean()
-    weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) ** 0.5
-    flat = x[real].ravel()
-    theta = np.zeros(pad + 4 + 2)
+def expectations(e: np.ndarray, t: np.ndarray, start: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By forward-backward over segments: log normalisers, probability of content by line, of transitions by place.
+
+    ``e`` is segments x lines x 2; lines of a segment that are not ``real`` come last and count for nothing.
+    """
+    n, length, _ = e.shape
+    a, b = np.zeros((n, length, 2)), np.zeros((n, length, 2))
+    a[:, 0] = start + e[:, 0]
+    for i in range(1, length):
+        a[:, i] = np.where(real[:, i, None], np.logaddexp(a[:, i - 1, :1] + t[0], a[:, i - 1, 1:] + t[1]) + e[:, i], a[:, i - 1])
+    for i in range(length - 2, -1, -1):
+        after = e[:, i + 1] + b[:, i + 1]
+        b[:, i] = np.where(real[:, i + 1, None], np.logaddexp(t[:, 0] + after[:, :1], t[:, 1] + after[:, 1:]), 0.0)
+    z = np.logaddexp(a[:, -1, 0], a[:, -1, 1])
+    content = np.exp(a[:, :, 1] + b[:, :, 1] - z[:, None]) * real
+    pairs = np.exp(a[:, :-1, :, None] + t + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None]) * real[:, 1:, None, None]
+    return z, content, pairs
+
+
+class Segments:
+    """Lines of the sample in segments of ``SEGMENT``: features, words, and the document of each."""
+
+    def __init__(self, chains: list[tuple[np.ndarray, np.ndarray, int]]) -> None:
+        cut = [(f[at : at + SEGMENT], w[at : at + SEGMENT], d) for d, (f, w, _) in enumerate(chains) for at in range(0, len(f), SEGMENT)]
+        n, self.pad = len(cut), FEATURES * WIDTH
+        self.x = np.full((n, SEGMENT, FEATURES), self.pad, np.int16)
+        self.words = np.zeros((n, SEGMENT))
+        self.document = np.array([d for _, _, d in cut])
+        sizes = np.array([len(f) for f, _, _ in cut])
+        for i, (f, w, _) in enumerate(cut):
+            self.x[i, : len(f)], self.words[i, : len(w)] = f, w
+        self.real = np.arange(SEGMENT) < sizes[:, None]
+        self.flat = self.x[self.real].ravel().astype(np.int64)
+
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        e = np.zeros((*self.x.shape[:2], 2))
+        e[:, :, 1] = np.append(w, 0.0)[self.x].sum(axis=2)
+        return e
+
+    def statistics(self, content: np.ndarray, pairs: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Expected counts of features with content, of transitions and of first states."""
+        line = (content * weight[:, None])[self.real]
+        begin = np.array([((1 - content[:, 0]) * weight).sum(), (content[:, 0] * weight).sum()])
+        return np.concatenate([np.bincount(self.flat, np.repeat(line, FEATURES), self.pad), (pairs * weight[:, None, None, None]).sum(axis=(0, 1)).ravel(), begin])
+
+
+def fit(chains: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = ROUNDS, steps: int = STEPS, decay: float = 1e-3) -> Field:
+    """The field from (features, words, label) of documents, by constrained expectation-maximisation."""
+    chains = [c for c in chains if len(c[0])]
+    at = Segments(chains)
+    y = np.array([label for _, _, label in chains])
+    share = min(max(y.mean(), 1e-6), 1 - 1e-6)
+    weight = (np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) ** 0.5)[at.document]
+    total = np.maximum(np.bincount(at.document, at.words.sum(axis=1), len(y)), 1)
+    lines = np.bincount(at.document, at.real.sum(axis=1), len(y))
+    heft = at.words / total[at.document][:, None]
+    # a document's bias falls on its lines by their words, one a line on average
+    spread = heft * lines[at.document][:, None]
+    bias = np.where(y == 1, 1.5, -1.5)
+    theta = np.zeros(at.pad + 4 + 2)
     m, s = np.zeros_like(theta), np.zeros_like(theta)
-    lines = real.sum()
-    for k in range(1, steps + 1):
-        w, t, start = np.append(theta[:pad], 0.0), theta[pad : pad + 4].reshape(2, 2), theta[pad + 4 :]
-        e = np.zeros((n, SEGMENT, 2))
-        e[:, :, 1] = w[x].sum(axis=2)
-        a, b = np.zeros((n, SEGMENT, 2)), np.zeros((n, SEGMENT, 2))
-        a[:, 0] = start + e[:, 0]
-        for i in range(1, SEGMENT):
-            a[:, i] = np.where(real[:, i, None], _normal(a[:, i - 1, :, None] + t, 1) + e[:, i], a[:, i - 1])
-        for i in range(SEGMENT - 2, -1, -1):
-            b[:, i] = np.where(real[:, i + 1, None], _normal(t + (e[:, i + 1] + b[:, i + 1])[:, None, :], 2), 0.0)
-        z = _normal(a[:, -1], 1)
-        post = np.exp(a[:, :, 1] + b[:, :, 1] - z[:, None])
-        miss = ((y[:, None] - post) * weight[:, None])[real]
-        g = np.zeros_like(theta)
-        g[:pad] = np.bincount(flat, np.repeat(miss, FEATURES), pad)
-        pair = np.exp(a[:, :-1, :, None] + t + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None])
-        pair = (pair * (real[:, 1:] * weight[:, None])[:, :, None, None]).sum(axis=(0, 1))
-        steps_of = np.zeros((2, 2))
-        for c in (0, 1):
-            steps_of[c, c] = ((sizes - 1) * weight)[y == c].sum()
-        g[pad : pad + 4] = (steps_of - pair).ravel()
-        g[pad + 4 :] = [((y == c) * weight - np.abs((1 - c) - post[:, 0]) * weight).sum() for c in (0, 1)]
-        g = g / lines - decay * theta
-        m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
-        theta += 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(s / (1 - 0.99**k)) + 1e-8)
-    return Field(theta[:pad], theta[pad : pad + 4].reshape(2, 2), theta[pad + 4 :])
+    real, k = at.real.sum(), 0
+    for round_ in range(rounds):
+        w, t, start = theta[: at.pad], theta[at.pad : at.pad + 4].reshape(2, 2), theta[at.pad + 4 :]
+        e = at.scores(w)
+        e[:, :, 1] += bias[at.document][:, None] * spread
+        _, content, pairs = expectations(e, t, start, at.real)
+        expected = np.bincount(at.document, (content * heft).sum(axis=1), len(y))
+        bias = np.where(y == 1, np.clip(bias + 4 * (HIGH - expected), 0, 20), np.clip(bias + 4 * (LOW - expected), -20, 0))
+        goal = at.statistics(content, pairs, weight)
+        for _ in range(steps):
+            k += 1
+            w, t, start = theta[: at.pad], theta[at.pad : at.pad + 4].reshape(2, 2), theta[at.pad + 4 :]
+            _, content, pairs = expectations(at.scores(w), t, start, at.real)
+            g = (goal - at.statistics(content, pairs, weight)) / real - decay * theta
+            if 2 * round_ < rounds:  # lines stand on their own features before neighbours have a say
+                g[at.pad :] = 0
+            m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
+            theta += 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(s / (1 - 0.99**k)) + 1e-8)
+    return Field(theta[: at.pad], theta[at.pad : at.pad + 4].reshape(2, 2), theta[at.pad + 4 :])
 
 
 def _texts(column: pa.Array):
@@ -219,20 +260,26 @@ def _sample_lines(batches):
     for b in batches:
         for at, size, _, lines, again in _texts(b.column(0)):
             f = lines.features(again)
-            rows = [f[lines.first[i] : lines.first[i + 1]].ravel() for i in range(size)]
-            yield pa.RecordBatch.from_arrays([b.column(1).slice(at, size), pa.array(rows, pa.list_(pa.int16()))], names=["y", "features"])
+            own = list(zip(lines.first, lines.first[1:]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(1).slice(at, size), b.column(2).slice(at, size), pa.array([j - i for i, j in own], pa.int64()),
+                    pa.array([f[i:j].ravel() for i, j in own], pa.list_(pa.int16())), pa.array([lines.words[i:j] for i, j in own], pa.list_(pa.int32())),
+                ],
+                names=["y", "place", "weight", "features", "words"],
+            )
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Field | None:
     """The field from at most ``rows`` labelled documents; None without two classes."""
     sample = labelled_sample(docs.select("doc_id", "text"), labels, "quality", 1, 1, rows)
-    made = sample.select("text", "y").mapInArrow(_sample_lines, "y int, features array<short>").toArrow()
+    made = sample.select("text", "y", F.xxhash64("doc_id").alias("place")).mapInArrow(_sample_lines, "y int, place long, weight long, features array<short>, words array<int>")
+    made = within(made, SAMPLE_LINES).toArrow()
     y = made["y"].to_pylist()
     if len(set(y)) < 2:
         return None
-    flat = made["features"].combine_chunks()
-    chains = [(flat[i].values.to_numpy().astype(np.int64).reshape(-1, FEATURES), y[i]) for i in range(len(y))]
-    chains.sort(key=lambda c: (c[1], c[0].tobytes()))
+    chains = [(np.array(f.as_py(), np.int16).reshape(-1, FEATURES), np.array(w.as_py(), np.int64), label) for f, w, label in zip(made["features"], made["words"], y)]
+    chains.sort(key=lambda c: (c[2], c[0].tobytes(), c[1].tobytes()))
     return fit(chains)
 
 
@@ -254,6 +301,7 @@ def _judge(field: Field | None, extra: list[str]):
                     lines.per_text(np.where(good, lines.words, 0)),
                 ]
                 yield pa.RecordBatch.from_arrays([*[c.slice(at, size) for c in b.columns[1:]], *[pa.array(c.astype(np.int64)) for c in counts]], names=[*extra, *NAMES])
+        release()
 
     return run
 
@@ -262,11 +310,13 @@ def judge(docs: DataFrame, field: Field | None, keep: list[str] | None = None, t
     """Columns ``keep``, the base counts, content_words, base_failed and kept."""
     keep = ["doc_id"] if keep is None else keep
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{c} long" for c in NAMES)])
-    made = docs.select(F.col(text).alias("__t"), *keep).mapInArrow(_judge(field, keep), schema)
+    slots = [f"k{i}" for i in range(len(keep))]
+    schema = ", ".join([*(f"{k} {kinds[c]}" for k, c in zip(slots, keep)), *(f"{c} long" for c in NAMES)])
+    source = docs.select(F.col(f"`{text}`").alias("text"), *[F.col(f"`{c}`").alias(k) for k, c in zip(slots, keep)])
+    made = source.mapInArrow(_judge(field, slots), schema)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    made = made.withColumn("base_failed", failed)
-    return made.withColumn("kept", ~F.col("base_failed") & (F.col("content_words") >= share * F.col("n_words")))
+    kept = ~failed & (F.col("content_words") >= share * F.col("n_words"))
+    return made.select(*[F.col(k).alias(c) for k, c in zip(slots, keep)], *NAMES, failed.alias("base_failed"), kept.alias("kept"))
 
 
 def mark_lines(docs: DataFrame, field: Field | None, id_: str = "doc_id", text: str = "text") -> DataFrame:
@@ -289,4 +339,4 @@ def mark_lines(docs: DataFrame, field: Field | None, id_: str = "doc_id", text:
                 )
 
     kind = docs.schema[id_].dataType.simpleString()
-    return docs.select(F.col(text).alias("__t"), id_).mapInArrow(run, f"`{id_}` {kind}, line long, line_text string, content boolean")
+    return docs.select(F.col(text), F.col(id_)).mapInArrow(run, f"`{id_}` {kind}, line long, line_text string, content boolean")
