@@ -11,30 +11,44 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key is hot when it stands for more than one in HOT_SHARE of all rows, so at most HOT_SHARE keys are hot.
+#: A key is hot when it stands for more than one in HOT_SHARE of all rows, or in the number of partitions where
+#: that is more; so at most as many keys are hot, and no other fills a partition.
 HOT_SHARE = 1000
 
 #: Words are runs of anything but ASCII white space; ``bytes.split()`` cuts at exactly these six bytes.
 ASCII_SPACE = b"\t\n\x0b\x0c\r "
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: With it a query's shuffle files go when it ends; lost ones are computed again where something still reads them.
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is named, a temporary one of this driver."""
+    """The cluster's shared folder; where none is named, a temporary one, but only if driver and executors are one machine."""
     found = spark.conf.get(CHECKPOINT_CONF, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="emberlog-")
         spark.conf.set(CHECKPOINT_CONF, found)
     return found
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
+    """Compute ``df`` once and cut its lineage with a reliable checkpoint in the shared folder.
+
+    The shuffle files that went into it are dropped at once, not when the driver next collects garbage.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(shared_dir(spark))
+    before = spark.conf.get(CLEANUP_CONF, None)
+    try:
+        spark.conf.set(CLEANUP_CONF, "true")  # read when the plan is made, hence the new select
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.unset(CLEANUP_CONF) if before is None else spark.conf.set(CLEANUP_CONF, before)
 
 
 def shared_path(spark: SparkSession, stem: str) -> str:
@@ -61,18 +75,19 @@ def lookup(
     """Left-outer join of ``left`` to ``right``, which is unique on ``key``, without a hot task.
 
     ``weight`` is a column of ``right``: how many left rows carry the key.  Keys above one in
-    ``HOT_SHARE`` of ``total`` number at most ``HOT_SHARE`` whatever the input, so that part of
-    ``right`` is broadcast; their left rows take the value there and are spread over the shuffle by
+    ``share`` (``HOT_SHARE`` or the number of partitions) of ``total`` number at most ``share`` whatever
+    the input, so that part of ``right`` is broadcast; their left rows take the value there and are spread over the shuffle by
     ``spread``.  All other keys meet in a shuffled join in which no key is hot.  ``key`` must not be
     null on the right; null left keys find nothing.
     """
     if total is None:
         total = right.agg(F.sum(weight)).first()[0] or 0
+    share = max(HOT_SHARE, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     values = [c for c in right.columns if c != key]
-    hot = right.where(F.col(weight) * HOT_SHARE > F.lit(total)).select(
+    hot = right.where(F.col(weight) * share > F.lit(total)).select(
         F.col(key).alias("__hk"), F.struct(*values).alias("__hv")
     )
-    cold = right.where(F.col(weight) * HOT_SHARE <= F.lit(total)).select(
+    cold = right.where(F.col(weight) * share <= F.lit(total)).select(
         F.lit(0).cast("int").alias("__rs"), F.col(key).alias("__rk"), F.struct(*values).alias("__rv")
     )
     out = left.join(F.broadcast(hot), F.col(key) == F.col("__hk"), "left")

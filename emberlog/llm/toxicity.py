@@ -1,26 +1,30 @@
 """Toxicity by lexicon induction on a word graph.
 
-1. All documents give the nodes: every word in at least ``SUPPORT`` documents.  Of rarer words, each
-   goes by its longest beginning that such words have in ``SUPPORT`` documents together, if any.
+1. All documents give the nodes: every word in at least ``SUPPORT`` documents, or in one of
+   ``1 / SUPPORT_SHARE`` where that is more.  Of rarer words, each goes by its longest beginning that such
+   words have in as many documents together, if any.  A document adds each of its words once, so the
+   nodes are at most the mean number of distinct words of a document over ``SUPPORT_SHARE``; tasks get
+   them as two arrays.
 2. All documents give the edges: how often two nodes stand within ``WINDOW`` words.  Tasks count into
    sorted arrays, which travel and stay in a table as compressed blobs, one or more per bucket of nodes.
 3. A bounded sample of labelled documents (``SAMPLE``) gives only the seeds and the score model.  Terms
-   are its words and beginnings of words; the ``CANDIDATES`` whose document frequency depends most on
-   the label (log-likelihood ratio) may be seeds, half on either side.  Seeds of the toxic side are the
-   significant ones, and those found by covering: the term with the largest ratio among the toxic
-   documents that no seed is in, again and again.  Neutral seeds are the commonest terms of the other
-   side.  Documents of the sample that are copies or near copies share one document's weight.
+   are its words and beginnings of words.  Seeds of the toxic side are all terms whose document frequency
+   depends on the label significantly (log-likelihood ratio), and those found by covering: the term with
+   the largest ratio among the toxic documents that no seed is in, again and again while it is
+   significant.  Neutral seeds are all terms that are common in the other documents and don't lean.
+   Documents of the sample that are copies or near copies share one document's weight.
 4. Edges weigh positive pointwise mutual information.  Random walks with restart from the nodes of
    either set of seeds give each node two visiting rates; the logarithm of their ratio is its polarity.
-   A step is a pass over the table of edges; the driver holds a few numbers per node, never edges.
+   A step is a pass over the table of edges, summed by ranges of nodes; the driver holds a few numbers
+   per node, never edges.  Words that no labelled document has get their polarity the same way.
 5. A document is scored from the polarities of its distinct nodes, each squashed around an edge: the
    four strongest, their sum and its share of the words, by a logistic model; edge and model are fitted
    on the sample.
 
-Words are lower-cased and parted at white space and ASCII punctuation.  Null and empty texts
-have no words and get the score of such.  Without both labels every score is 0.5; null labels and
-labels of null documents are not read, repeated ones count as the largest.  Equal rows score alike, and
-an empty table gives an empty result.
+Words are lower-cased and parted at white space and ASCII punctuation; whole texts of any length are
+read.  Null and empty texts have no words and get the score of such.  Without both labels every score is
+0.5; null labels and labels of null documents are not read, repeated ones count as the largest.  Equal
+rows score alike, an empty table gives an empty result, and other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,17 +38,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, learnable, materialise
+from .common import labelled_sample, learnable, materialise, release
 
 SAMPLE = 8000
 #: Lengths, in characters, of the beginnings of words that are terms.
 STEMS = (3, 4, 5, 6, 7)
 MEMO = 300_000
 INPUTS = 7
-#: Documents that a node stands in at least.
-SUPPORT = 3
-#: Terms of the sample among which seeds are sought.
-CANDIDATES = 2048
+#: Documents that a node stands in at least, outright and as a share of all.
+SUPPORT, SUPPORT_SHARE = 3, 1e-6
 WINDOW = 4
 RESTART = 0.3
 #: Visiting rate, in parts of the average, that both sides of the ratio get for free.
@@ -57,8 +59,12 @@ BUCKET_WORDS, HELD_PAIRS = 2_000_000, 6_000_000
 #: Log-likelihood ratio from which a term is a seed: among all documents, and among those left over.
 SIGNIFICANT = 24.0
 COVERING = 16.0
-MOST_SEEDS = 200
-NEUTRAL_SEEDS = 100
+#: Ratio below which a term isn't even looked at as a seed (one in twenty by chance), and the ratio that counts as leaning.
+NOTICED, LEANING = 3.84, 4.0
+#: Share of the sample's other documents that a neutral seed stands in at least.
+COMMON = 0.05
+#: Nodes whose visiting rates are summed together.
+RANGE = 1 << 16
 MODULUS, HELD = 5, 0
 
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -233,8 +239,10 @@ def _beginnings(support: int):
     return run
 
 
-def supported(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
+def supported(docs: DataFrame, support: int | None = None) -> DataFrame:
     """(term, n, hash) of every node; a beginning ends in a star and counts the words that go by it."""
+    if support is None:
+        support = max(SUPPORT, int(np.ceil(SUPPORT_SHARE * docs.count())))
     counts = materialise(word_counts(docs))
     rare = counts.where((F.col("docs") < support) & (F.length("term") > STEMS[0]))
     stems = rare.repartition(F.substring("term", 1, STEMS[0])).mapInArrow(_beginnings(support), "term string, n long")
@@ -366,8 +374,13 @@ def cooccurrence(docs: DataFrame, index: dict[str, int]) -> tuple[np.ndarray, np
     return together, single
 
 
+def edge_weights(x: np.ndarray, y: np.ndarray, n: np.ndarray, share: np.ndarray, level: float) -> np.ndarray:
+    """Pointwise mutual information of pairs: log n - log of all pairs - the words' log shares."""
+    return np.log(n).astype(np.float32) + np.float32(level) - share[x] - share[y]
+
+
 def _moved(buckets: int, share: np.ndarray, level: float, rates: np.ndarray):
-    """Per task: what its edges carry from ``rates`` (walks x nodes) to each node."""
+    """Per task: what its edges carry from ``rates`` (walks x nodes) to each node, by ranges of nodes."""
 
     def run(batches):
         size = len(share)
@@ -375,20 +388,46 @@ def _moved(buckets: int, share: np.ndarray, level: float, rates: np.ndarray):
         for b in batches:
             for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 x, y, n = unpack(blob, k, buckets)
-                weight = np.log(n).astype(np.float32) + np.float32(level) - share[x] - share[y]
+                weight = edge_weights(x, y, n, share, level)
                 ok = weight > 0
                 x, y, weight = x[ok], y[ok], weight[ok]
                 back = np.where(x != y, weight, 0)
                 for walk_, rate in zip(out, rates):
                     walk_ += np.bincount(y, weight * rate[x], size)
                     walk_ += np.bincount(x, back * rate[y], size)
-        yield pa.RecordBatch.from_arrays([pa.array([out.astype(np.float32).tobytes()], pa.binary())], names=["moved"])
+        for low in range(0, size, RANGE):
+            part = out[:, low : low + RANGE]
+            if part.any():
+                yield _range(low // RANGE, part)
+        release()
 
     return run
 
 
-def walks(pairs: DataFrame, counts: np.ndarray, buckets: int, starts: np.ndarray) -> np.ndarray:
-    """Visiting rates of random walks with restart at ``starts`` (walks x nodes) on the graph of mutual information."""
+def _range(number: int, part: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([part.astype(np.float32).tobytes()], pa.binary())], names=["part", "moved"])
+
+
+def _added(walks_: int):
+    """The sum of each range's rows."""
+
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                row = np.frombuffer(blob, np.float32).reshape(walks_, -1)
+                sums[k] = sums[k] + row if k in sums else row.astype(np.float64)
+        for k, total in sums.items():
+            yield _range(k, total)
+
+    return run
+
+
+def walks(pairs: DataFrame, counts: np.ndarray, buckets: int, starts: np.ndarray, settled: float = SETTLED) -> np.ndarray:
+    """Visiting rates of random walks with restart at ``starts`` (walks x nodes) on the graph of mutual information.
+
+    A node without edges, or what a walk loses there, restarts.
+    """
     ordered = pairs.agg(F.sum("ordered")).first()[0]
     if not ordered:
         return starts
@@ -398,8 +437,10 @@ def walks(pairs: DataFrame, counts: np.ndarray, buckets: int, starts: np.ndarray
 
     def moved(rates: np.ndarray) -> np.ndarray:
         total = np.zeros(rates.shape)
-        for r in tasks.mapInArrow(_moved(buckets, share, level, rates.astype(np.float32)), "moved binary").collect():
-            total += np.frombuffer(r["moved"], np.float32).reshape(rates.shape)
+        each = tasks.mapInArrow(_moved(buckets, share, level, rates.astype(np.float32)), "part int, moved binary")
+        for r in each.repartition("part").mapInArrow(_added(len(rates)), "part int, moved binary").collect():
+            low = r["part"] * RANGE
+            total[:, low : low + RANGE] = np.frombuffer(r["moved"], np.float32).reshape(len(rates), -1)
         return total
 
     out = moved(np.ones((1, len(counts))))[0]
@@ -408,11 +449,17 @@ def walks(pairs: DataFrame, counts: np.ndarray, buckets: int, starts: np.ndarray
     for _ in range(STEPS):
         come = (1 - RESTART) * moved(rates * scale)
         before, rates = rates, come + (1 - come.sum(axis=1, keepdims=True)) * starts
-        if np.abs(rates - before).sum(axis=1).max() < SETTLED:
+        if np.abs(rates - before).sum(axis=1).max() < settled:
             break
     return rates
 
 
+def polarities(up: np.ndarray, down: np.ndarray) -> np.ndarray:
+    """Logarithm of the ratio of two visiting rates; 0 where neither walk comes."""
+    floor = FLOOR / len(up)
+    return np.where((up + down) == 0, 0.0, np.log((up + floor) / (down + floor)))
+
+
 def _seeded(index: dict[str, int]):
     """Of nodes that a candidate fits: the strongest candidate, the hash and the count."""
 
@@ -456,37 +503,30 @@ class Lexicon:
         return 1 / (1 + np.exp(-np.clip(np.array(rows).reshape(-1, INPUTS) @ self.model, -30, 30)))
 
 
-def walk(graph: np.ndarray, seeds: list[int]) -> np.ndarray:
-    """Visiting rates of a random walk on the weighted graph that restarts at the seeds."""
-    start = np.zeros(len(graph))
-    start[seeds] = 1 / max(len(seeds), 1)
-    out = graph.sum(axis=1)
-    scale = np.divide(1.0, out, out=np.zeros_like(out), where=out > 0)
-    rate = start.copy()
-    for _ in range(STEPS):
-        moved = (rate * scale) @ graph
-        rate = (1 - RESTART) * moved + (1 - (1 - RESTART) * moved.sum()) * start
-    return rate
-
-
-def choose_seeds(member: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[list[int], list[int]]:
-    """(toxic, neutral) vocabulary numbers from the documents-by-terms matrix of the sample."""
-    good = y == 0
-    clean, n_clean = weight[good] @ member[good], weight[good].sum()
-    left, own = member[~good], weight[~good]
-    lean = ratio(own @ left, clean, own.sum(), n_clean)
-    toxic = [int(i) for i in np.argsort(-lean, kind="stable")[:MOST_SEEDS] if lean[i] >= SIGNIFICANT]
-    for seed in toxic:
-        own, left = own[~left[:, seed]], left[~left[:, seed]]
-    while len(left) and len(toxic) < MOST_SEEDS:
-        g = ratio(own @ left, clean, own.sum(), n_clean)
+def choose_seeds(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, terms: int) -> tuple[list[int], list[int]]:
+    """(toxic, neutral) term numbers from the terms of each document of the sample."""
+
+    def frequency(which: np.ndarray) -> np.ndarray:
+        if not len(which):
+            return np.zeros(terms)
+        sizes = [len(rows[i]) for i in which]
+        return np.bincount(np.concatenate([rows[i] for i in which]).astype(np.int64), np.repeat(weight[which], sizes), terms)
+
+    good, left = np.flatnonzero(y == 0), np.flatnonzero(y != 0)
+    clean, n_clean = frequency(good), weight[good].sum()
+    lean = ratio(frequency(left), clean, weight[left].sum(), n_clean)
+    toxic = [int(i) for i in np.argsort(-lean, kind="stable") if lean[i] >= SIGNIFICANT]
+    held = set(toxic)
+    left = np.array([i for i in left if held.isdisjoint(rows[i].tolist())], np.int64)
+    while len(left):
+        g = ratio(frequency(left), clean, weight[left].sum(), n_clean)
         best = int(g.argmax())
         if g[best] < COVERING:
             break
         toxic.append(best)
-        own, left = own[~left[:, best]], left[~left[:, best]]
-    order = np.argsort(-clean, kind="stable")
-    return toxic, [int(i) for i in order if lean[i] < COVERING / 4 and i not in toxic][:NEUTRAL_SEEDS]
+        held.add(best)
+        left = np.array([i for i in left if best not in rows[i]], np.int64)
+    return toxic, [i for i in np.flatnonzero((lean < LEANING) & (clean >= COMMON * n_clean)).tolist() if i not in held]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -503,7 +543,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     return beta
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, size: int = CANDIDATES) -> Lexicon | None:
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Lexicon | None:
     """Graph over all of ``docs``, seeds, polarities and score model; None without both labels."""
     sample = labelled_sample(docs.select("doc_id", "text"), labels, "toxic", MODULUS, HELD, rows)
     sample = materialise(sample.select("text", "y").mapInArrow(_sample_words, "y int, words array<string>, sketch long"))
@@ -521,11 +561,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, size: int = CA
         return k * F.log(q) + (n - k) * F.log(1 - q)
 
     g = 2 * (term(F.col("a"), na, qa) + term(F.col("b"), nb, qb) - term(F.col("a"), na, p) - term(F.col("b"), nb, p))
-    rated = per.where(F.col("a") + F.col("b") > 2.5).withColumn("g", g).withColumn("toxic", qa > qb)
-    found: list[tuple[float, int, str]] = []
-    for side in (F.col("toxic"), ~F.col("toxic")):
-        top = rated.where(side).orderBy(F.col("g").desc(), F.length("term"), "term").limit(size // 2)
-        found += [(-r["g"], len(r["term"]), r["term"]) for r in top.select("term", "g").collect()]
+    rated = per.withColumn("g", g).withColumn("toxic", qa > qb)
+    noticed = rated.where((F.col("toxic") & (F.col("g") >= NOTICED)) | (F.col("b") >= COMMON * nb))
+    found = [(-r["g"], len(r["term"]), r["term"]) for r in noticed.select("term", "g").collect()]
     if not found:
         return None
     chosen = [t for _, _, t in sorted(found)]  # numbers follow strength
@@ -542,7 +580,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, size: int = CA
         get = Terms(index).__getitem__
         for b in batches:
             words = b.column(1).to_pylist()
-            found = [sorted(i for i in map(get, ws) if i >= 0) for ws in words]
+            found = [sorted({i for i in map(get, ws) if i >= 0}) for ws in words]
             at = [sorted({i for i in map(nodes.__getitem__, ws) if i >= 0}) for ws in words]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(2), pa.array(found, pa.list_(pa.int32())), pa.array(at, pa.list_(pa.int32())), pa.array([len(w) for w in words], pa.int32())], names=["y", "weight", "hits", "nodes", "distinct"]
@@ -550,10 +588,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, size: int = CA
 
     made = sample.mapInArrow(hits, "y int, weight double, hits array<int>, nodes array<int>, distinct int").toArrow()
     y = made["y"].to_numpy()
-    member = np.zeros((len(y), len(chosen)), bool)
-    for row, found in enumerate(made["hits"].to_pylist()):
-        member[row, found] = True
-    toxic, neutral = choose_seeds(member, y, made["weight"].to_numpy())
+    toxic, neutral = choose_seeds([np.array(h, np.int32) for h in made["hits"].to_pylist()], y, made["weight"].to_numpy(), len(chosen))
     if not toxic or not neutral:
         return None
     # a seed's share of the restarts goes to its nodes by their counts
@@ -570,10 +605,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, size: int = CA
     starts /= starts.sum(axis=1, keepdims=True)
     buckets = 4 + int(counts.sum()) // BUCKET_WORDS
     up, down = walks(pair_table(docs, nodes, buckets), counts, buckets, starts)
-    floor = FLOOR / len(counts)
-    polarity = np.log((up + floor) / (down + floor))
-    polarity[(up + down) == 0] = 0.0
-    lexicon = Lexicon(nodes, polarity)
+    lexicon = Lexicon(nodes, polarities(up, down))
     hits_of, distinct = [np.array(h, np.int64) for h in made["nodes"].to_pylist()], made["distinct"].to_pylist()
     best = -np.inf
     for edge in np.linspace(0.4, 2.2, 10):
