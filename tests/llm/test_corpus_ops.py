@@ -8,6 +8,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -82,13 +83,32 @@ def test_paths_equal_the_library(docs):
     import sentencepiece
 
     sp, t = sentencepiece.SentencePieceProcessor(model_file=MODEL), sp_wfst.Transducer(MODEL)
-    for text in [*texts(1, 800), *(r["text"] for r in docs.limit(60).collect())]:
-        (ids,) = t.encode([text])
+    known = [*texts(1, 800), *(r["text"] or "" for r in docs.select("text").collect()), "a" * 3000, "ab" * 500, " ▁ ▁ ", "x" + " " * 40]
+    for text, ids in zip(known, t.encode(known)):
         ids = np.frombuffer(ids, np.int32)
         assert ids.tolist() == sp.encode(text)
         assert t.decode(ids) == sp.decode(ids.tolist())
 
 
+def test_shortest_paths_are_merge_results():
+    """The compiled weights against merging by definition, for small models with ties and unreachable pieces."""
+    rng, compiled = random.Random(8), 0
+    for _ in range(60):
+        pieces = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(2, 6))) for _ in range(14)}, key=lambda p: (len(p), rng.random()))
+        pieces = ["<unk>", *(p for p in pieces)] + ["a", "b"]
+        scores = [0.0, *(-float(k // rng.choice([1, 2])) for k in range(1, len(pieces) - 2)), -90.0, -91.0]
+        model = {"pieces": pieces, "scores": scores, "kinds": [2] + [1] * (len(pieces) - 1), "bpe": True, "byte_fallback": False, "prefix": False, "extra_space": False, "escape": True, "charsmap": b"", "suffix": False}
+        try:
+            t = sp_wfst.Transducer(model)
+        except ValueError:  # a piece above its parts
+            continue
+        for _ in range(40):
+            text = "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 14)))
+            assert t.path(text) == t.merge(text), (pieces, scores, text)
+        compiled += 1
+    assert compiled > 20
+
+
 def test_decoding_of_any_ids():
     import sentencepiece
 
@@ -100,18 +120,16 @@ def test_decoding_of_any_ids():
 
 def test_tropical_path_of_scores():
     """The best sum of scores, against all segmentations."""
-    t = sp_wfst.Transducer(MODEL)
-    t.bpe, t.pieces = False, ["a", "b", "ab", "ba", "aba", "c"]
-    t.scores = [-3.0, -3.5, -4.0, -3.2, -8.0, -2.0]
-    t.arcs = {p: i for i, p in enumerate(t.pieces)}
+    scores = {"a": -3.0, "b": -3.5, "ab": -4.0, "ba": -3.2, "aba": -8.0, "c": -2.0}
+    t = sp_wfst.Transducer({"pieces": ["<unk>", *scores], "scores": [0.0, *scores.values()], "kinds": [2] + [1] * 6, "bpe": False, "byte_fallback": False, "prefix": False, "extra_space": False, "escape": True, "charsmap": b"", "suffix": False})
 
     def best(s):
-        return 0.0 if not s else min((-t.scores[t.pieces.index(s[:k])] + best(s[k:]) for k in range(1, len(s) + 1) if s[:k] in t.pieces), default=np.inf)
+        return 0.0 if not s else min((-scores[s[:k]] + best(s[k:]) for k in range(1, len(s) + 1) if s[:k] in scores), default=np.inf)
 
     for s in ("a", "ab", "aba", "ababa", "bab", "cabac", "bbaab"):
         path = t.path(s)
         assert "".join(path) == s
-        assert sum(-t.scores[t.pieces.index(p)] for p in path) == pytest.approx(best(s))
+        assert sum(-scores[p] for p in path) == pytest.approx(best(s))
 
 
 def test_encode_and_decode_tables(odd):
@@ -181,6 +199,39 @@ def test_resample(odd):
     assert collections.Counter(r["doc_id"] for r in made.collect()) == +copies
 
 
+def test_rows_that_differ_in_one_column_stay(spark):
+    """Equal id, text and source, but another language: none may stand for another."""
+    rows = [(1, "a b c d", "x", "s"), (1, "a b c d", "y", "s"), (1, "a b c d", None, "s"), (2, "q r", "x", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("tags", F.create_map(F.lit("k"), F.col("lang")))
+    made = collections.Counter((r["doc_id"], r["lang"]) for r in mixing.resample(df, share=2.0).collect())
+    assert made == {(1, "x"): 2, (1, "y"): 2, (1, None): 2, (2, "x"): 2}
+
+
+def test_inclusion_follows_size(spark):
+    """Over many seeds a document is taken as often as its own probability says, which grows with its size."""
+    sizes = [(i, 1 + (i * 37) % 250) for i in range(240)] + [(900, 5000)]
+    df = spark.createDataFrame([(i, "w " * n, "s") for i, n in sizes], "doc_id long, text string, source string").cache()
+    total = sum(n for _, n in sizes)
+    # the measure, by definition: certain ones from the top until the factor leaves none at 1
+    left, words, certain = 0.5 * total, collections.Counter(), set()
+    while True:
+        factor = (left - sum(n for _, n in sizes if n in certain)) / sum(n.bit_length() * n for _, n in sizes if n not in certain)
+        over = {n for _, n in sizes if n not in certain and factor * n.bit_length() >= 1}
+        if not over:
+            break
+        certain |= over
+    want = {i: 1.0 if n in certain else factor * n.bit_length() for i, n in sizes}
+    seeds = 8
+    for seed in range(seeds):
+        for r in mixing.mix(df, weights=(1,), share=0.5, seed=f"t{seed}").collect():
+            assert r["p"] == pytest.approx(want[r["doc_id"]])
+            words[r["doc_id"]] += r["copies"]
+    assert len({round(p, 6) for p in want.values()}) > 5
+    for low, high in ((1, 15), (16, 63), (64, 250)):
+        group = [i for i, n in sizes if low <= n <= high]
+        assert sum(words[i] for i in group) / (seeds * len(group)) == pytest.approx(sum(want[i] for i in group) / len(group), abs=0.07)
+
+
 # 3
 
 
@@ -345,15 +396,27 @@ def test_chat_escapes_and_merges(spark):
     assert chat_format.digest(empty(df)).count() == 0
 
 
+def test_long_conversations(spark):
+    """More turns than a block of spans holds; the mask against walking through the output."""
+    rows = [(5, i, "assistant" if i % 3 else "user", "x|>" * (i % 5)) for i in range(3 * chat_format.BLOCK + 7)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    made = chat_format.format_conversations(df).collect()[0]
+    said = [r[3].replace("|>", "|\\>") for r in rows if r[2] == "assistant"]
+    assert [made["formatted"][s["start"] - 1 : s["start"] - 1 + s["length"]] for s in made["loss_spans"]] == said
+
+
 # 7
 
 
-def test_walk_stays_at_connected_seeds():
-    graph = np.zeros((5, 5))
-    for a, b in ((0, 1), (1, 2), (3, 4)):
-        graph[a, b] = graph[b, a] = 1.0
-    rate = toxicity.walk(graph, [0])
-    assert rate.sum() == pytest.approx(1.0) and rate[0] > rate[2] > 0 and rate[3] == rate[4] == 0
+def solved(graph: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Visiting rates of the walk with restart from the linear equations; lost mass restarts."""
+    out = graph.sum(axis=1)
+    step = np.divide(graph, out[:, None], out=np.zeros_like(graph), where=out[:, None] > 0)
+    lost = (out == 0).astype(float)
+    keep = 1 - toxicity.RESTART
+    matrix = keep * step + np.outer(1 - keep * (1 - lost), starts)
+    a = np.vstack([matrix.T - np.eye(len(graph)), np.ones(len(graph))])
+    return np.linalg.lstsq(a, np.append(np.zeros(len(graph)), 1.0), rcond=None)[0]
 
 
 def test_cooccurrence_counts(spark):
@@ -372,18 +435,55 @@ def test_cooccurrence_counts(spark):
     assert (together == want).all() and single.tolist() == [3, 2, 2]
 
 
-def test_walks_over_tables_equal_the_walk_in_memory(spark):
+def test_walks_solve_the_linear_equations(spark):
+    """Weights, walks and polarities against counting pairs by hand and a linear solve, on a graph with a lone node."""
     rng = random.Random(3)
     names = [f"w{i}" for i in range(12)]
-    df = spark.createDataFrame([(" ".join(rng.choice(names) for _ in range(9)),) for _ in range(40)], "text string").repartition(3)
-    together, single = toxicity.cooccurrence(df, {w: i for i, w in enumerate(names)})
-    graph = np.maximum(np.log(np.maximum(together, 1e-300) / together.sum() / np.outer(single, single) * single.sum() ** 2), 0)
+    texts = [" ".join(rng.choice(names[:11]) for _ in range(9)) for _ in range(40)] + ["w11", "w11"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    together, single = np.zeros((12, 12)), np.zeros(12)
+    for t in texts:
+        ids = [int(w[1:]) for w in t.split()]
+        for i, x in enumerate(ids):
+            single[x] += 1
+            for y in ids[i + 1 : i + 1 + toxicity.WINDOW]:
+                together[x, y] += 1
+                together[y, x] += x != y
+    share = single / single.sum()
+    graph = np.array([[max(0.0, np.log(together[i, j] / together.sum() / (share[i] * share[j]))) if together[i, j] else 0.0 for j in range(12)] for i in range(12)])
     nodes = toxicity.Nodes(np.array([xxhash.xxh3_64_intdigest(w) for w in names], np.uint64))
     starts = np.zeros((2, 12))
     starts[0, 1] = starts[1, [4, 5]] = 1
     starts /= starts.sum(axis=1, keepdims=True)
-    got = toxicity.walks(toxicity.pair_table(df, nodes, 3), single, 3, starts)
-    assert np.abs(got - [toxicity.walk(graph, [1]), toxicity.walk(graph, [4, 5])]).sum(axis=1).max() < 4 * toxicity.SETTLED
+    up, down = toxicity.walks(toxicity.pair_table(df, nodes, 3), single, 3, starts, settled=1e-6)
+    want = solved(graph, starts[0]), solved(graph, starts[1])
+    assert np.abs(up - want[0]).max() < 1e-4 and np.abs(down - want[1]).max() < 1e-4
+    floor = toxicity.FLOOR / 12
+    by_hand = [0.0 if a + b < 1e-9 else np.log((a + floor) / (b + floor)) for a, b in zip(*want)]
+    assert np.abs(toxicity.polarities(up, down) - by_hand).max() < 1e-3 and by_hand[11] == 0.0
+
+
+def test_scores_by_hand():
+    """A document's score from its words' polarities, written out."""
+    names = ["vile", "nasty", "kind", "calm", "rotten", "mean", "ugly"]
+    polarity = np.array([1.5, 0.9, -1.0, 0.0, 2.0, 1.1, 0.3])
+    lexicon = toxicity.Lexicon(toxicity.Nodes(np.array([xxhash.xxh3_64_intdigest(w) for w in names], np.uint64)), polarity)
+    model = np.array([-2.0, 1.0, 0.8, 0.6, 0.4, 0.5, 0.3])
+    lexicon.fitted(1.0, model)
+    for text in ("", None, "Vile, VILE kind words", "vile nasty rotten mean ugly calm day " * 3, "calm"):
+        words = set(re.findall(r"\w+", (text or "").lower()))
+        held = sorted((1 / (1 + np.exp(-8 * (polarity[names.index(w)] - 1.0))) for w in words if w in names and polarity[names.index(w)] > 0), reverse=True)
+        x = [1.0, *(held + [0] * 4)[:4], np.log1p(sum(held)), min(5.0, 100 * sum(held) / max(len(words), 1))]
+        assert lexicon.score([text or ""])[0] == pytest.approx(1 / (1 + np.exp(-np.dot(x, model))), rel=1e-5)
+
+
+def test_seeds_by_hand():
+    """Significant terms, then covering, then common terms that don't lean."""
+    y = (np.arange(600) % 3 == 0).astype(int)
+    has = [[i % 2 == 0, yi and i % 5 != 0, yi and i % 5 == 0 and i % 2 == 0, i % 7 == 0] for i, yi in enumerate(y)]
+    rows = [np.flatnonzero(h).astype(np.int32) for h in has]
+    toxic, neutral = toxicity.choose_seeds(rows, y, np.ones(600), 4)
+    assert set(toxic) == {1, 2} and set(neutral) == {0, 3}
 
 
 def test_unlabelled_documents_give_words_a_polarity(spark):
@@ -549,18 +649,51 @@ def test_segments_lose_no_pair(spark):
             assert {f: links.near.get(f, 0) for f in fps} == want
 
 
-def test_large_buckets_are_split(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "CHUNK", 8)
-    monkeypatch.setattr(simhash, "HOT_SHARE", 10**9)
+@pytest.mark.parametrize("few", [True, False])
+def test_large_buckets_are_split(spark, monkeypatch, few):
+    """Also those far below a thousandth of all entries; grids broadcast or joined; blocks and links flushed."""
+    for name, value in (("ROWS", 50), ("HELD_LINKS", 5), ("BLOCK", 64)):
+        monkeypatch.setattr(simhash, name, value)
+    if not few:
+        plain = simhash._with_grid
+        monkeypatch.setattr(simhash, "_with_grid", lambda each, grids: plain(each, grids, -1))
     rng = random.Random(3)
     base_ = rng.getrandbits(64)
-    fps = list({base_ ^ sum(1 << b for b in rng.sample(range(40, 64), rng.randrange(6))) for _ in range(150)})
+    fps = list({base_ ^ sum(1 << b for b in rng.sample(range(40, 64), rng.randrange(6))) for _ in range(150)} | {rng.getrandbits(64) for _ in range(3000)})
     df = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f, 1) for f in fps], "fp long, n long")
-    got = {r["fp"] % 2**64: r["near"] for r in simhash.links_of(df).groupBy("fp").agg(F.sum("near").alias("near")).collect()}
-    want = {f: sum((f ^ g).bit_count() <= 6 for g in fps) - 1 for f in fps}
+    links = simhash.links_of(df, chunk=8)
+    got = {r["fp"] % 2**64: r["near"] for r in links.groupBy("fp").agg(F.sum("near").alias("near")).collect()}
+    arr = np.array(fps, np.uint64)
+    want = {f: int((np.bitwise_count(arr ^ np.uint64(f)) <= 6).sum()) - 1 for f in fps}
     assert got == {f: n for f, n in want.items() if n}
 
 
+def test_blocks_hold_whole_cells():
+    """However rows are batched, a cell is never cut, and what stays behind is at most one cell."""
+    rng = random.Random(4)
+    cells = sorted((rng.randrange(2), rng.randrange(30)) for _ in range(400))
+    batch = pa.RecordBatch.from_arrays([pa.array([c[0] for c in cells], pa.int32()), pa.array([c[1] for c in cells], pa.int64()), pa.array([False] * 400), pa.array(range(400), pa.int64()), pa.array([1] * 400, pa.int64())], names=["seg", "cell", "right", "fp", "n"])
+    held, seen, at = simhash._Held(), [], 0
+    while at < 400:
+        size = rng.randrange(1, 60)
+        held.add(batch.slice(at, size))
+        at += size
+        if (got := held.take(False)) is not None:
+            seen.append(set(zip(got[0].tolist(), got[1].tolist())))
+        assert held.rows <= max(collections.Counter(cells).values())
+    seen.append(set(zip(*(x.tolist() for x in held.take(True)[:2]))))
+    assert sum(map(len, seen)) == len(set(cells)) == len(set().union(*seen))
+
+
+def test_dedup_carries_columns_without_an_order(odd):
+    """A map column, and columns named like helper columns."""
+    more = odd.withColumn("tags", F.create_map(F.lit("a"), F.lit(1))).withColumn("__k", F.lit(1)).withColumn("__fp", F.lit(2)).withColumn("row", F.lit(3)).withColumn("c0", F.lit(4))
+    for kept in (simhash.dedup(more), exact_dedup.dedup(more), mixing.resample(more, share=1.0)):
+        assert kept.columns == more.columns
+        assert all(r["tags"] == {"a": 1} and (r["__k"], r["__fp"], r["row"], r["c0"]) == (1, 2, 3, 4) for r in kept.collect())
+    assert simhash.dedup(more).count() == simhash.dedup(odd).count() and exact_dedup.dedup(more).count() == exact_dedup.dedup(odd).count()
+
+
 def test_components_of_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 30)] + [(100, 101), (7, 7)], "fp long, root long")
     got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
