@@ -2,35 +2,44 @@
 
 An ARC file opens with a version block whose line names the version; version 1 records begin with
 ``URL IP date type length`` and version 2 records with ``URL IP date type status checksum location
-offset file length``.  The declared length says where a record ends.  Each becomes a WARC record with
-a name-based UUID, an ISO timestamp, a type and SHA-1 digests.  Records whose payload was seen
-elsewhere become revisits.
+offset file length``.  The declared length says where a record ends.  Files may be gzipped, in one member
+or one a record.  Each record becomes a WARC record with a name-based UUID, an ISO timestamp, SHA-1 digests
+and a type: the version block a ``warcinfo``, a block with an HTTP head a ``response`` (its payload is what
+follows the head), anything else, such as ``dns:``, a ``resource``.  Responses whose payload was seen
+elsewhere become ``revisit`` records, which keep the head.
 
 Archives are written by Spark's own file commit protocol: a record's text ends in two line breaks as
 the format demands, so the text sink with that separator writes a valid archive on any file system
-and survives lost executors.  Files are bounded by ``RECORDS_PER_FILE`` records and read back whole,
-record by record, by declared lengths.
+and survives lost executors.  They are read as a stream of such parts, put together again by declared
+lengths, so a task holds a record at a time and never a file.
 
-A null payload is an empty one; a null URL becomes ``about:blank``; blanks and control characters in
-URLs are percent-encoded.  A null id takes no part as smallest.  An empty table writes no record.
+A null payload is an empty one, payloads of any length are kept whole; a null URL becomes
+``about:blank``; blanks and control characters in URLs are percent-encoded.  A null id takes no part as
+smallest; of rows equal in id and payload all are responses.  Other columns are not read.  An empty table
+writes no record.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import re
 import uuid
-from collections.abc import Iterator
-from typing import NamedTuple
+from collections.abc import Iterable, Iterator
+from typing import BinaryIO, NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lookup, materialise, shared_path
+from .common import lookup, materialise, release, remove, shared_path
+from .token_count import _balanced
 
 RECORDS_PER_FILE = 1000
+#: Bytes of records that are handled together.
+ARC_BYTES = 4 << 20
 #: Payloads shorter than this are never revisits.
 LEAST_REVISIT = 0
 VERSION = "WARC/1.1"
@@ -52,46 +61,46 @@ class ArchiveError(ValueError):
     """A header line or a declared length that doesn't hold."""
 
 
-def _line(data: bytes, at: int) -> tuple[str, int]:
-    end = data.find(b"\n", at)
-    if end < 0:
-        raise ArchiveError(f"no header line at byte {at}")
-    return data[at:end].decode("utf-8", "replace").rstrip("\r"), end + 1
+def _opened(source: bytes | BinaryIO) -> BinaryIO:
+    """A buffered stream of the file, unpacked where it is gzipped."""
+    raw = io.BufferedReader(io.BytesIO(source) if isinstance(source, bytes) else source)
+    return io.BufferedReader(gzip.GzipFile(fileobj=raw)) if raw.peek(2)[:2] == b"\x1f\x8b" else raw
 
 
-def parse_arc(data: bytes) -> Iterator[ArcRecord]:
-    """Records of an ARC file of version 1 or 2."""
-    at, version = 0, 0
-    while at < len(data):
-        if data[at : at + 1] in (b"\n", b"\r"):
-            at += 1
+def _read(stream: BinaryIO, size: int) -> bytes:
+    out = stream.read(size)
+    if len(out) < size:
+        raise ArchiveError(f"{size} bytes declared, {len(out)} left")
+    return out
+
+
+def parse_arc(source: bytes | BinaryIO, blocks: bool = False) -> Iterator[ArcRecord]:
+    """Records of an ARC file of version 1 or 2; with ``blocks`` the version block too, by its own URL."""
+    stream, version = _opened(source), 0
+    while raw := stream.readline():
+        if not raw.strip(b"\r\n"):
             continue
-        line, at = _line(data, at)
+        if not raw.endswith(b"\n"):
+            raise ArchiveError(f"no header line: {raw[:80]!r}")
+        line = raw.decode("utf-8", "replace").rstrip("\r\n")
+        fields = line.split(" ")
         if line.startswith("filedesc://"):
-            try:
-                size = int(line.rsplit(" ", 1)[1])
-            except ValueError as e:
-                raise ArchiveError(line) from e
-            block = data[at : at + size]
-            version = int(block.split(b" ", 1)[0] or b"0")
+            if len(fields) < 5 or not fields[-1].isdigit():
+                raise ArchiveError(line)
+            block = _read(stream, int(fields[-1]))
+            number = block.split(b" ", 1)[0]
+            version = int(number) if number.isdigit() else 0
             if version not in (1, 2):
                 raise ArchiveError(f"version {version}")
-            at += size
+            if blocks:
+                yield ArcRecord(*fields[:4], block)
             continue
-        fields = line.split(" ")
         if version == 0:
             raise ArchiveError("a record before the version block")
         if len(fields) != (5 if version == 1 else 10) or not fields[-1].isdigit():
             raise ArchiveError(f"version {version} header: {line}")
-        size = int(fields[-1])
-        if at + size > len(data):
-            raise ArchiveError(f"{size} bytes declared, {len(data) - at} left")
-        payload = data[at : at + size]
-        if version == 1:
-            yield ArcRecord(*fields[:4], payload)
-        else:
-            yield ArcRecord(*fields[:4], payload, fields[4], fields[5])
-        at += size
+        payload = _read(stream, int(fields[-1]))
+        yield ArcRecord(*fields[:4], payload) if version == 1 else ArcRecord(*fields[:4], payload, fields[4], fields[5])
 
 
 def version_block(version: int, name: str = "pages.arc", date: str = "19960101000000") -> bytes:
@@ -123,66 +132,121 @@ def iso_date(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def warc_record(r: ArcRecord, page: str, refers_to: str | None = None, target: ArcRecord | None = None) -> bytes:
+def http_parts(block: bytes) -> tuple[bytes, bytes] | None:
+    """(head with its blank line, payload) of an HTTP response; None where the block is none."""
+    if not block.startswith(b"HTTP/"):
+        return None
+    end = re.search(rb"\r?\n\r?\n", block)
+    return (block[: end.end()], block[end.end() :]) if end else (block, b"")
+
+
+def warc_record(r: ArcRecord, page: str, refers_to: str | None = None) -> bytes:
     """One WARC record without its closing line breaks.  A revisit carries no payload but its digest."""
-    digest = sha1_base32(r.payload)
-    body = b"" if refers_to is not None else r.payload
-    head = [
-        VERSION,
-        f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:uuid:{record_id(page, digest)}>",
-        f"WARC-Date: {iso_date(r.date)}",
-        f"WARC-Target-URI: {r.url}",
-        f"WARC-IP-Address: {r.ip}",
-        f"WARC-Payload-Digest: sha1:{digest}",
-        f"WARC-Block-Digest: sha1:{sha1_base32(body)}",
-        f"X-Payload-Length: {len(r.payload)}",
-        f"X-Page: {page}",
-    ]
-    if refers_to is not None:
-        head += [
+    parts = http_parts(r.payload)
+    head, payload = parts or (b"", r.payload)
+    digest = sha1_base32(payload)
+    if r.url.startswith("filedesc://"):
+        kind, mime, block = "warcinfo", "application/warc-fields", info_fields(r)
+    elif refers_to is not None:
+        kind, mime, block = "revisit", "application/http;msgtype=response" if parts else r.mime, head
+    elif parts:
+        kind, mime, block = "response", "application/http;msgtype=response", r.payload
+    else:
+        kind, mime, block = "resource", r.mime, r.payload
+    lines = [VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{record_id(page, digest)}>", f"WARC-Date: {iso_date(r.date)}"]
+    if kind == "warcinfo":
+        lines.append(f"WARC-Filename: {r.url.removeprefix('filedesc://')}")
+    else:
+        lines += [f"WARC-Target-URI: {r.url}", f"WARC-IP-Address: {r.ip}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
+    lines += [f"WARC-Block-Digest: sha1:{sha1_base32(block)}", f"X-Page: {page}"]
+    if kind == "revisit":
+        lines += [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
             f"WARC-Refers-To: <urn:uuid:{record_id(refers_to, digest)}>",
             f"X-Refers-To-Page: {refers_to}",
         ]
-    head += [f"Content-Type: {r.mime}", f"Content-Length: {len(body)}"]
-    return "\r\n".join(head).encode() + BREAK.encode() + body
+    lines += [f"Content-Type: {mime}", f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + BREAK.encode() + block
+
+
+def info_fields(r: ArcRecord) -> bytes:
+    """The fields of a warcinfo record: the format, and the lines of the version block."""
+    lines = [x for x in r.payload.decode("utf-8", "replace").splitlines() if x]
+    fields = ["software: emberlog", "format: WARC File Format 1.1", *(f"arc-version-block: {x}" for x in lines)]
+    return "".join(f"{x}\r\n" for x in fields).encode()
 
 
 def record_id(page: str, digest: str) -> uuid.UUID:
     return uuid.uuid5(NAMESPACE, f"{page}/{digest}")
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record, by declared lengths; the block digest must hold."""
-    at = 0
-    while at < len(data):
-        end = data.find(BREAK.encode(), at)
-        lines = data[at:end].decode().split("\r\n") if end >= 0 else [""]
+def parse_warc(parts: bytes | Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each record, by declared lengths; the block digest must hold.
+
+    A file comes whole or in parts; no more than a record and a part is held.
+    """
+    parts = iter([gzip.decompress(parts) if parts[:2] == b"\x1f\x8b" else parts] if isinstance(parts, bytes) else parts)
+    end = BREAK.encode()
+    held = bytearray()
+
+    def fill(size: int) -> bool:
+        while len(held) < size:
+            part = next(parts, None)
+            if part is None:
+                return False
+            held.extend(part)
+        return True
+
+    while True:
+        while (len(held) >= 2 or fill(2)) and held[:2] == b"\r\n":
+            del held[:2]
+        if not held:
+            return
+        looked = 0
+        while (at := held.find(end, looked)) < 0:
+            looked = max(0, len(held) - 3)
+            if not fill(len(held) + 1):
+                raise ArchiveError(f"no record in the last {len(held)} bytes")
+        lines = bytes(held[:at]).decode().split("\r\n")
         if lines[0] != VERSION:
-            raise ArchiveError(f"no record at byte {at}")
+            raise ArchiveError(f"no record at {lines[0][:40]!r}")
         headers = dict(x.split(": ", 1) for x in lines[1:])
-        start = end + 4
-        block = data[start : start + int(headers["Content-Length"])]
-        at = start + len(block)
-        if data[at : at + 4] != BREAK.encode():
+        start, size = at + 4, int(headers["Content-Length"])
+        fill(start + size + 4)
+        block = bytes(held[start : start + size])
+        if held[start + size : start + size + 4] != end:
             raise ArchiveError(f"record of {len(block)} bytes not closed")
         if headers["WARC-Block-Digest"] != f"sha1:{sha1_base32(block)}":
             raise ArchiveError("block digest")
+        del held[: start + size + 4]
         yield headers, block
-        at += 4
+
+
+def http_head(payload: bytes, mime: str = "text/html") -> bytes:
+    return f"HTTP/1.1 200 OK\r\nContent-Type: {mime}; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
 
 
 def _convert(date: str):
+    """Pages as ARC files of a few megabytes, of the two versions in turn, parsed and converted."""
+
     def run(batches):
-        for b in batches:
-            out = []
-            for i, (page, url, html, refers) in enumerate(zip(*(b.column(k).to_pylist() for k in range(4)))):
-                version = 1 + i % 2
-                legacy = version_block(version) + arc_record(ArcRecord(clean_url(url), "0.0.0.0", date, "text/html", html or b""), version)
-                (record,) = parse_arc(legacy)
-                out.append(warc_record(record, "" if page is None else str(page), None if refers is None else str(refers)))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+        version = 1
+        for whole in batches:
+            for at, size in _balanced(whole.column(2), ARC_BYTES):
+                pages, urls, htmls, refers = (c.slice(at, size).to_pylist() for c in whole.columns)
+                version = 3 - version
+                file = io.BytesIO()
+                file.write(version_block(version))
+                for url, html in zip(urls, htmls):
+                    body = html or b""
+                    file.write(arc_record(ArcRecord(clean_url(url), "0.0.0.0", date, "text/html", http_head(body) + body), version, file.tell()))
+                file.seek(0)
+                out = [
+                    warc_record(r, "" if page is None else str(page), None if to is None else str(to))
+                    for r, page, to in zip(parse_arc(file), pages, refers)
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+        release()
 
     return run
 
@@ -190,10 +254,11 @@ def _convert(date: str):
 def with_revisits(pages: DataFrame, id_: str = "page_id", payload: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
     """Adds refers_to: of equal payloads, the smallest id for all other rows; null for the first and small ones.
 
-    Payloads are equal when length and SHA-1 are.  Of rows equal in id too, all are responses.
+    Payloads are equal when length and SHA-256 are; SHA-1 has known collisions.  Of rows equal in id too,
+    all are responses.
     """
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
-    keyed = pages.withColumn("__d", F.concat_ws(":", F.sha1(body), F.length(body)))
+    keyed = pages.withColumn("__d", F.concat_ws(":", F.sha2(body, 256), F.length(body)))
     first = keyed.select("__d", id_).groupBy("__d").agg(F.min(id_).alias("__first"), F.count("*").alias("__n"))
     found = lookup(keyed, materialise(first), "__d", "__n", F.coalesce(F.col(id_), F.lit(0)))
     other = (F.length(body) >= least) & ~F.col(id_).eqNullSafe(F.col("__first")) & (F.col("__n") > 1)
@@ -202,54 +267,86 @@ def with_revisits(pages: DataFrame, id_: str = "page_id", payload: str = "html",
 
 def write_warc(pages: DataFrame, path: str, *, id_: str = "page_id", url: str = "url", payload: str = "html", date: str = "19960101000000", least: int = LEAST_REVISIT) -> None:
     """Each page as a legacy record, converted, in gzipped WARC files under ``path``."""
-    found = with_revisits(pages, id_, payload, least).select(id_, url, F.col(payload).cast("binary"), "refers_to")
-    records = found.mapInArrow(_convert(date), "value binary").select(F.col("value").cast("string"))
-    records.write.option("lineSep", BREAK).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).mode("overwrite").text(path)
+    narrow = pages.select(F.col(id_).alias("id"), F.col(url).alias("url"), F.col(payload).cast("binary").alias("payload"))
+    found = with_revisits(narrow, "id", "payload", least).select("id", "url", "payload", "refers_to")
+    _write(found.mapInArrow(_convert(date), "value binary"), path)
+
+
+def _write(records: DataFrame, path: str) -> None:
+    text = records.select(F.col("value").cast("string"))
+    text.write.option("lineSep", BREAK).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).mode("overwrite").text(path)
 
 
 def convert_arc(arcs: DataFrame, path: str, content: str = "content", name: str = "path") -> None:
-    """Whole ARC files (as ``binaryFile`` reads them) to WARC files under ``path``."""
+    """ARC files (as ``binaryFile`` reads them, gzipped or not) to WARC files under ``path``.
+
+    The file source hands over a file of at most 2 GB; it is unpacked and converted record by record.
+    """
 
     def run(batches):
         for b in batches:
             for file, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                out = [warc_record(r, f"{file}#{i}") for i, r in enumerate(parse_arc(data or b""))]
+                out, weight = [], 0
+                for i, r in enumerate(parse_arc(data or b"", blocks=True)):
+                    out.append(warc_record(r, f"{file}#{i}"))
+                    weight += len(out[-1])
+                    if weight > ARC_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+                        out, weight = [], 0
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+        release()
 
-    records = arcs.select(name, content).mapInArrow(run, "value binary").select(F.col("value").cast("string"))
-    records.write.option("lineSep", BREAK).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).mode("overwrite").text(path)
+    _write(arcs.select(name, content).mapInArrow(run, "value binary"), path)
 
 
-READ = "page string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string, payload binary"
+READ = "page string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string, mime string, payload binary"
+_KINDS = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary()]
 
 
-def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """Records of the archives under ``path``."""
+def _row(headers: dict[str, str], block: bytes, payloads: bool) -> tuple:
+    parts = http_parts(block) if headers["Content-Type"].startswith("application/http") else None
+    payload = parts[1] if parts else block
+    digest = headers.get("WARC-Payload-Digest", "sha1:" + sha1_base32(payload)).removeprefix("sha1:")
+    size = int(headers.get("X-Payload-Length", len(payload)))
+    if headers["WARC-Type"] in ("response", "resource") and (digest != sha1_base32(payload) or size != len(payload)):
+        raise ArchiveError("payload digest")
+    return (headers["X-Page"], size, digest, headers["WARC-Type"], headers.get("X-Refers-To-Page"), headers.get("WARC-Target-URI"), headers["Content-Type"], payload if payloads else None)
 
-    def run(batches):
-        import gzip
 
-        for b in batches:
-            for data in b.column(0).to_pylist():
-                rows = []
-                for h, block in parse_warc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
-                    digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if h["WARC-Type"] == "response" and (digest != sha1_base32(block) or len(block) != int(h["X-Payload-Length"])):
-                        raise ArchiveError("payload digest")
-                    rows.append((h["X-Page"], int(h["X-Payload-Length"]), digest, h["WARC-Type"], h.get("X-Refers-To-Page"), h["WARC-Target-URI"], block if payloads else None))
-                if rows:
-                    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in READ.split(", ")])
+def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """Records of the gzipped archives under ``path``.
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(run, READ)
+    A gzipped file isn't split, so its parts come to one task in order.
+    """
+
+    def run(batches):
+        parts = (part + BREAK.encode() for b in batches for part in b.column(0).to_pylist())
+        rows, weight = [], 0
+        for headers, block in parse_warc(parts):
+            rows.append(_row(headers, block, payloads))
+            weight += 200 + len(rows[-1][-1] or b"")
+            if weight > ARC_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], names=[c.split()[0] for c in READ.split(", ")])
+                rows, weight = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], names=[c.split()[0] for c in READ.split(", ")])
+        release()
+
+    text = spark.read.option("lineSep", BREAK).option("pathGlobFilter", "*.gz").text(path)
+    return text.select(F.col("value").cast("binary")).mapInArrow(run, READ)
 
 
 def archive_report(pages: DataFrame) -> DataFrame:
-    """Writes all pages as archives in the shared folder and returns what reading them back gives."""
+    """Writes all pages as archives in the shared folder and returns what reading them back gives.
+
+    The archives go once they have been read; what is returned is a few numbers a page.
+    """
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
     write_warc(pages, path)
     kind = pages.schema["page_id"].dataType.simpleString()
     page = F.when(F.col("page") != "", F.col("page")).cast(kind).alias("page_id")
-    return read_warc(spark, path, payloads=False).select(page, "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    back = read_warc(spark, path, payloads=False)
+    out = materialise(back.select(page, "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")))
+    remove(spark, path)
+    return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import gzip
 import hashlib
 import random
 import re
@@ -523,23 +524,63 @@ def test_arc_versions():
         assert got[1].status == ("404" if version == 2 else "")
         with pytest.raises(arc_warc.ArchiveError):
             list(arc_warc.parse_arc(data.replace(b" 7\n", b" 99999\n")))
+        packed = gzip.compress(arc_warc.version_block(version)) + gzip.compress(arc_warc.arc_record(a, version)) + gzip.compress(arc_warc.arc_record(b, version))
+        assert list(arc_warc.parse_arc(packed)) == got and list(arc_warc.parse_arc(gzip.compress(data))) == got
     with pytest.raises(arc_warc.ArchiveError):
         list(arc_warc.parse_arc(arc_warc.arc_record(a, 1)))
     raw = arc_warc.warc_record(a, "5") + arc_warc.BREAK.encode()
     ((headers, block),) = arc_warc.parse_warc(raw)
-    assert block == a.payload and headers["WARC-Date"] == "1997-01-02T03:04:05Z" and headers["WARC-Type"] == "response"
+    assert block == a.payload and headers["WARC-Date"] == "1997-01-02T03:04:05Z" and headers["WARC-Type"] == "resource" and headers["Content-Type"] == "text/html"
     with pytest.raises(arc_warc.ArchiveError):
         list(arc_warc.parse_warc(raw.replace(b"hi", b"ho")))
     assert arc_warc.iso_date("1997") == "1997-01-01T00:00:00Z"
 
 
+def test_types_of_records():
+    """HTTP responses with their head, revisits without a payload, and records of other schemes."""
+    body = b"<p>\r\n\r\nhi"
+    head = b"HTTP/1.0 404 Not Found\r\nServer: x\r\n\r\n"
+    page = arc_warc.ArcRecord("http://x/", "1.2.3.4", "19970102030405", "text/html", head + body)
+    dns = arc_warc.ArcRecord("dns:x", "1.2.3.4", "19970102030405", "text/dns", b"19970102030405\nx. 100 IN A 1.2.3.4\n")
+    info = arc_warc.ArcRecord("filedesc://a.arc", "0.0.0.0", "19970102030405", "text/plain", b"1 0 Alexa Internet\nURL IP-address\n\n")
+    made = [arc_warc.warc_record(page, "1"), arc_warc.warc_record(page, "2", "1"), arc_warc.warc_record(dns, "3"), arc_warc.warc_record(info, "0")]
+    (a, x), (b, y), (c, z), (d, w) = arc_warc.parse_warc("".encode().join(m + arc_warc.BREAK.encode() for m in made))
+    assert [h["WARC-Type"] for h in (a, b, c, d)] == ["response", "revisit", "resource", "warcinfo"]
+    assert a["Content-Type"] == b["Content-Type"] == "application/http;msgtype=response" and c["Content-Type"] == "text/dns" and d["Content-Type"] == "application/warc-fields"
+    digest = "sha1:" + arc_warc.sha1_base32(body)
+    assert a["WARC-Payload-Digest"] == b["WARC-Payload-Digest"] == digest and a["WARC-Block-Digest"] == "sha1:" + arc_warc.sha1_base32(head + body)
+    assert (x, y, z) == (head + body, head, dns.payload) and b"arc-version-block: 1 0 Alexa Internet\r\n" in w
+    assert b["WARC-Refers-To"] == a["WARC-Record-ID"]
+
+
+def test_archives_come_in_any_parts():
+    """However a file is cut, records that end like a separator or hold one come back."""
+    rng = random.Random(6)
+    bodies = [b"", b"\r\n", b"a\r\n\r\n", b"\r\n\r\n\r\n", b"WARC/1.1\r\n\r\n", b"x\r"]
+    made = [arc_warc.warc_record(arc_warc.ArcRecord("http://x/", "0.0.0.0", "1997", "text/plain", x), str(i)) for i, x in enumerate(bodies)]
+    file = b"".join(m + arc_warc.BREAK.encode() for m in made)
+    for _ in range(50):
+        cuts = sorted({0, len(file), *(rng.randrange(len(file)) for _ in range(30))})
+        assert [x for _, x in arc_warc.parse_warc(file[i:j] for i, j in zip(cuts, cuts[1:]))] == bodies
+    assert list(arc_warc.parse_warc(iter([]))) == []
+    # as the text source hands it over: cut at separators, which are put back, also after the last part
+    parts = file.split(arc_warc.BREAK.encode())
+    parts = parts[:-1] if parts[-1] == b"" else parts
+    assert [x for _, x in arc_warc.parse_warc(p + arc_warc.BREAK.encode() for p in parts)] == bodies
+
+
 def test_convert_arc_files(spark, tmp_path):
     a = arc_warc.ArcRecord("http://x/", "1.2.3.4", "19970102030405", "text/html", b"WARC/1.1\r\n\r\n\r\n trap")
+    h = a._replace(payload=b"HTTP/1.1 200 OK\r\n\r\n\xff\xfe\r\n")
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "one.arc").write_bytes(arc_warc.version_block(2) + arc_warc.arc_record(a, 2) * 3)
+    data = arc_warc.version_block(2) + arc_warc.arc_record(a, 2) * 3 + arc_warc.arc_record(h, 2)
+    (tmp_path / "in" / "one.arc").write_bytes(data)
+    (tmp_path / "in" / "two.arc.gz").write_bytes(gzip.compress(data[:400]) + gzip.compress(data[400:]))
+    (tmp_path / "in" / "none.arc").write_bytes(b"")
     arc_warc.convert_arc(spark.read.format("binaryFile").load(str(tmp_path / "in")), str(tmp_path / "out"))
     got = arc_warc.read_warc(spark, str(tmp_path / "out")).collect()
-    assert len(got) == 3 and {bytes(r["payload"]) for r in got} == {a.payload}
+    assert collections.Counter((r["record_type"], bytes(r["payload"])) for r in got if r["record_type"] != "warcinfo") == {("resource", a.payload): 6, ("response", b"\xff\xfe\r\n"): 2}
+    assert sum(r["record_type"] == "warcinfo" for r in got) == 2 and len(got) == 10
 
 
 def test_archives_sql(spark, sf_dir):
