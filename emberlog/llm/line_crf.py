@@ -10,9 +10,10 @@ before.  No line is labelled; documents are, by ``labels.quality``.  So the labe
 fitted by expectation-maximisation with posterior constraints: of a document of label 0 at most ``LOW`` of
 the words may be expected in content lines, of one of label 1 at least ``HIGH``.  A document that breaks its
 constraint gets a bias on its lines, moved a step each round until it holds (the multiplier of the
-constraint); how lines differ within a document is left to the field.  The field then takes gradient steps
-towards the expected line labels and transitions, its own expectations by forward-backward.  It is fitted on
-a bounded sample (``SAMPLE`` documents, of which those are left out that don't fit into ``SAMPLE_LINES``).
+constraint); how lines differ within a document is left to their features.  Meanwhile lines stand alone, or
+neighbours would make all lines of a document agree; the labels so found then teach the whole field,
+transitions included.  Both climb the exact log likelihood by forward-backward.  It is fitted on a bounded
+sample (``SAMPLE`` documents, of which those are left out that don't fit into ``SAMPLE_LINES``).
 Without two classes of labels every line is content.
 
 Words are runs of anything but ASCII white space; a null or empty text has none and fails.  Lines end at
@@ -36,7 +37,7 @@ from .token_count import _balanced
 SAMPLE, SAMPLE_LINES = 3000, 150_000
 #: Bounds on the expected share of words in content lines, for documents of label 0 and 1.
 LOW, HIGH = 0.3, 0.8
-ROUNDS, STEPS = 30, 4
+ROUNDS, STEPS, FINISH = 15, 4, 60
 #: Words in content lines over all words from which a text stays.
 SHARE = 0.5
 MIN_WORDS = 50
@@ -224,23 +225,35 @@ def fit(chains: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = ROUNDS,
     theta = np.zeros(at.pad + 4 + 2)
     m, s = np.zeros_like(theta), np.zeros_like(theta)
     real, k = at.real.sum(), 0
-    for round_ in range(rounds):
-        w, t, start = theta[: at.pad], theta[at.pad : at.pad + 4].reshape(2, 2), theta[at.pad + 4 :]
-        e = at.scores(w)
-        e[:, :, 1] += bias[at.document][:, None] * spread
-        _, content, pairs = expectations(e, t, start, at.real)
-        expected = np.bincount(at.document, (content * heft).sum(axis=1), len(y))
-        bias = np.where(y == 1, np.clip(bias + 4 * (HIGH - expected), 0, 20), np.clip(bias + 4 * (LOW - expected), -20, 0))
-        goal = at.statistics(content, pairs, weight)
+
+    def climb(goal: np.ndarray, steps: int, alone: bool) -> None:
+        """Steps towards given counts; ``alone``: features only, no transitions."""
+        nonlocal k
         for _ in range(steps):
             k += 1
-            w, t, start = theta[: at.pad], theta[at.pad : at.pad + 4].reshape(2, 2), theta[at.pad + 4 :]
+            w, t, start = parts()
             _, content, pairs = expectations(at.scores(w), t, start, at.real)
             g = (goal - at.statistics(content, pairs, weight)) / real - decay * theta
-            if 2 * round_ < rounds:  # lines stand on their own features before neighbours have a say
+            if alone:
                 g[at.pad :] = 0
-            m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
-            theta += 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(s / (1 - 0.99**k)) + 1e-8)
+            m[:], s[:] = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
+            theta[:] += 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(s / (1 - 0.99**k)) + 1e-8)
+
+    def parts() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return theta[: at.pad], theta[at.pad : at.pad + 4].reshape(2, 2), theta[at.pad + 4 :]
+
+    for _ in range(rounds):
+        w, t, start = parts()
+        e = at.scores(w)
+        e[:, :, 1] += bias[at.document][:, None] * spread
+        _, content, pairs = expectations(e, t, start, at.real)
+        expected = np.bincount(at.document, (content * heft).sum(axis=1), len(y))
+        bias = np.where(y == 1, np.clip(bias + 4 * (HIGH - expected), 0, 20), np.clip(bias + 4 * (LOW - expected), -20, 0))
+        climb(at.statistics(content, pairs, weight), steps, True)
+    hard = (content > 0.5) & at.real
+    both = hard[:, :-1], hard[:, 1:]
+    pairs = np.stack([np.stack([(both[0] == i) & (both[1] == j) for j in (0, 1)], axis=-1) for i in (0, 1)], axis=-2) * at.real[:, 1:, None, None]
+    climb(at.statistics(hard.astype(float), pairs.astype(float), weight), FINISH, False)
     return Field(theta[: at.pad], theta[at.pad : at.pad + 4].reshape(2, 2), theta[at.pad + 4 :])
 
 

@@ -331,10 +331,59 @@ def test_viterbi_is_the_best_sequence():
         assert total(tuple(got[a:b].astype(int))) == pytest.approx(max(map(total, itertools.product((0, 1), repeat=b - a))))
 
 
+def test_expectations_by_enumeration():
+    """Normaliser, line and transition probabilities against all label sequences; their gradient numerically."""
+    import itertools
+
+    rng = np.random.default_rng(5)
+    t, start, sizes = rng.normal(size=(2, 2)), rng.normal(size=2), [1, 3, 5]
+    e = rng.normal(size=(3, 6, 2))
+    real = np.arange(6) < np.array(sizes)[:, None]
+    z, content, pairs = line_crf.expectations(e, t, start, real)
+    for k, n in enumerate(sizes):
+        every = list(itertools.product((0, 1), repeat=n))
+        total = np.array([start[s[0]] + sum(e[k, i, x] for i, x in enumerate(s)) + sum(t[a, b] for a, b in zip(s, s[1:])) for s in every])
+        p = np.exp(total - np.logaddexp.reduce(total))
+        assert z[k] == pytest.approx(np.logaddexp.reduce(total))
+        for i in range(6):
+            assert content[k, i] == pytest.approx(sum(q for q, s in zip(p, every) if i < n and s[i] == 1))
+        for i, a, b in itertools.product(range(5), (0, 1), (0, 1)):
+            assert pairs[k, i, a, b] == pytest.approx(sum(q for q, s in zip(p, every) if i + 1 < n and s[i] == a and s[i + 1] == b))
+    # the log likelihood's gradient is the given counts less the expected ones, so z's is the expected ones
+    step = np.zeros((2, 2))
+    step[0, 1] = 1e-6
+    up, down = line_crf.expectations(e, t + step, start, real)[0].sum(), line_crf.expectations(e, t - step, start, real)[0].sum()
+    assert (up - down) / 2e-6 == pytest.approx(pairs.sum(axis=(0, 1))[0, 1], rel=1e-5)
+
+
+def test_lines_of_a_document_get_labels_of_their_own():
+    """Documents of label 0 that hold a few lines as those of label 1 do: only the others become boilerplate."""
+    rng, offsets = np.random.default_rng(1), np.arange(line_crf.FEATURES) * line_crf.WIDTH
+
+    def lines(kinds):
+        f = rng.integers(0, 3, (len(kinds), line_crf.FEATURES))
+        f[:, 0] = np.where(np.array(kinds) == 1, rng.integers(0, 4, len(kinds)), rng.integers(3, 7, len(kinds)))
+        return (f + offsets).astype(np.int16), np.full(len(kinds), 10)
+
+    plain = [[1] * 6 for _ in range(60)]
+    mixed = [[0, 0, 1, 0, 0, 0, 1, 0] for _ in range(40)]
+    field = line_crf.fit([(*lines(k), 1) for k in plain] + [(*lines(k), 0) for k in mixed])
+    marks, truth = [], []
+    for k in mixed[:20]:
+        f, _ = lines(k)
+        marks += field.decode(f.astype(np.int64), np.array([0, len(k)])).astype(int).tolist()
+        truth += k
+    marks, truth = np.array(marks), np.array(truth)
+    assert marks[truth == 0].mean() < 0.35 and marks[truth == 1].mean() > 0.7  # one bin in four is of both
+
+
 def test_field_separates_labels(docs, labels):
     judged = line_crf.judge(docs, line_crf.train(docs, labels)).join(labels, "doc_id").where("not base_failed").collect()
     assert np.mean([r["kept"] == bool(r["quality"]) for r in judged]) > 0.95
     lines = line_crf.mark_lines(docs, line_crf.train(docs, labels))
+    bad = lines.join(labels.where("quality = 0"), "doc_id").where("length(trim(line_text)) > 0").groupBy("doc_id").agg(F.avg(F.col("content").cast("int")).alias("m"), F.count("*").alias("n"))
+    shares = [r["m"] for r in bad.where("n > 1").collect()]
+    assert np.mean([0 < m < 1 for m in shares]) > 0.2
     assert lines.count() == sum((r["text"] or "").count("\n") + 1 for r in docs.collect())
 
 
