@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.binding import kind_of
@@ -74,7 +74,8 @@ def display(v: Column) -> Column:
 def keys_summary(df: DataFrame) -> DataFrame:
     """Per key: total, kind_mask and, when few and small, the sorted distinct values.
 
-    Distinct values are counted first and listed after, so no list ever exceeds ``FEW_VALUES``.
+    Values are counted in one shuffle.  Of each key at most ``FEW_VALUES`` go on to be listed, and tasks
+    drop the others before they travel, so no list and no task grows with a key's distinct values.
     """
     if "fields" in df.columns:
         pairs = df.select(F.explode("fields").alias("key", "v")).select("key", F.col("v.kind").alias("kind"), display(F.col("v")).alias("value"))
@@ -84,16 +85,18 @@ def keys_summary(df: DataFrame) -> DataFrame:
         each = [F.struct(F.lit(n).alias("key"), F.lit(kinds[n]).cast("byte").alias("kind"), F.col(f"`{n}`").cast("string").alias("value")) for n in names]
         pairs = df.select(F.explode(F.array(*each)).alias("p")).select("p.*").where(F.col("value").isNotNull())
     counted = pairs.groupBy("key", "kind", "value").agg(F.count("*").alias("n"))
-    small = F.octet_length("value") <= SMALL_BYTES
     per = counted.groupBy("key").agg(
         F.sum("n").alias("total"),
         F.bit_or(F.expr("shiftleft(1, cast(kind AS int))")).alias("kind_mask"),
         F.count("*").alias("n_values"),
-        F.max(F.octet_length("value")).alias("largest"),
     )
-    few = per.where((F.col("n_values") < FEW_VALUES)).select("key")
-    listed = counted.where(small).join(few, "key", "left_semi").groupBy("key").agg(F.array_sort(F.collect_set("value")).alias("values"))
-    return per.join(listed, "key", "left").select("key", "total", "kind_mask", "n_values", "values")
+    # n is read here too, so that both branches are the same exchange
+    place = F.row_number().over(Window.partitionBy("key").orderBy("value", "kind", "n"))
+    first = counted.where(F.col("n") > 0).withColumn("place", place).where(F.col("place") <= FEW_VALUES)
+    small = F.octet_length("value") <= SMALL_BYTES
+    listed = first.groupBy("key").agg(F.array_sort(F.collect_set(F.when(small, F.col("value")))).alias("listed"))
+    values = F.when((F.col("n_values") < FEW_VALUES) & (F.size("listed") > 0), F.col("listed"))
+    return per.join(listed, "key", "left").select("key", "total", "kind_mask", "n_values", values.alias("values"))
 
 
 def storage_stats(df: DataFrame) -> dict[str, float]:

@@ -2,7 +2,8 @@
 
 A span's parent is the one its earliest Start record names.  Its duration is from the first record to
 the last, over all rows given.  Anything per span is one partial aggregation and one shuffle on the
-span; rows meet it again in a join that AQE may split where a span is hot.
+span; rows meet it again in a join that AQE may split where a span is hot.  Rows outside spans take no
+part in that join.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.model import END, START, START_WITH_PARENT
+from emberlog.shared import materialise
 
 ORDER = ("generation", "seq")
 #: Levels an ancestor chain may have.
@@ -49,11 +51,18 @@ def span_table(logs: DataFrame) -> DataFrame:
     return own.unionByName(stubs.withColumn("n_rows", F.lit(0).cast("long")), allowMissingColumns=True)
 
 
+def _beside(logs: DataFrame, per_span: DataFrame, added: list[str]) -> DataFrame:
+    """Columns ``added`` of the row's span; rows outside spans get nulls and are not shuffled."""
+    found = logs.where(F.col("span_id").isNotNull()).join(per_span, "span_id", "left").select(*logs.columns, *added)
+    kinds = dict(per_span.dtypes)
+    outside = logs.where(F.col("span_id").isNull()).select(*logs.columns, *[F.lit(None).cast(kinds[c]).alias(c) for c in added])
+    return found.unionByName(outside)
+
+
 def with_span_columns(logs: DataFrame) -> DataFrame:
     """Adds parent_span and span_duration_ns to every row in a span."""
-    spans = span_table(logs).select("span_id", "parent_span", "span_duration_ns")
-    rest = logs.drop("parent_span", "span_duration_ns")
-    return rest.join(spans, "span_id", "left").select(*rest.columns, "parent_span", "span_duration_ns")
+    added = ["parent_span", "span_duration_ns"]
+    return _beside(logs.drop(*added), span_table(logs).select("span_id", *added), added)
 
 
 def span_logs(logs: DataFrame, span_id: int) -> DataFrame:
@@ -84,22 +93,26 @@ def with_first_record(logs: DataFrame, columns: Iterable[str] = ("ts_ns", "messa
     """Adds ``first_*``: columns of the first record of the row's span."""
     columns = list(columns)
     first = logs.where(F.col("span_id").isNotNull()).groupBy("span_id").agg(F.min_by(F.struct(*columns), _place(logs)).alias("__f"))
-    joined = logs.join(first, "span_id", "left")
-    return joined.select(*[joined[c] for c in logs.columns], *[F.col("__f")[c].alias(f"first_{c}") for c in columns])
+    named = first.select("span_id", *[F.col("__f")[c].alias(f"first_{c}") for c in columns])
+    return _beside(logs, named, [f"first_{c}" for c in columns])
 
 
 def ancestors(spans: DataFrame, max_depth: int = MAX_ANCESTORS) -> DataFrame:
     """(span_id, depth, ancestor) for all spans up to ``max_depth`` levels; depth 1 is the parent.
 
-    One self-join per level, each on spans that still have a parent, and none when no span has.
+    Each level is the one before joined once more to the edges.  Levels are written as they come, so none
+    is computed twice, and they end when no span has a further ancestor.
     """
-    edges = spans.where(F.col("parent_span").isNotNull()).select(F.col("span_id").alias("child"), "parent_span")
+    edges = materialise(spans.where(F.col("parent_span").isNotNull()).select(F.col("span_id").alias("child"), "parent_span"))
     level = edges.select(F.col("child").alias("span_id"), F.lit(1).alias("depth"), F.col("parent_span").alias("ancestor"))
     out = level
     for depth in range(2, max_depth + 1):
         level = level.join(edges, F.col("ancestor") == F.col("child")).select(
             "span_id", F.lit(depth).alias("depth"), F.col("parent_span").alias("ancestor")
         )
+        level = materialise(level)
+        if level.isEmpty():
+            break
         out = out.unionAll(level)
     return out
 
@@ -117,16 +130,6 @@ def ancestor_chain(spans: DataFrame, span_id: int, max_depth: int = MAX_ANCESTOR
     return chain[::-1]
 
 
-def _reliable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the cluster's shared folder."""
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="emberlog-"))
-    return df.checkpoint(eager=True)
-
-
 def components(spans: DataFrame) -> DataFrame:
     """(span_id, root) for all spans, by pointer doubling: the rounds are the logarithm of the depth.
 
@@ -134,14 +137,14 @@ def components(spans: DataFrame) -> DataFrame:
     labelled by the smallest span met on the way.
     """
     step = spans.select("span_id", F.coalesce("parent_span", "span_id").alias("up"), F.coalesce("parent_span", "span_id").alias("least"))
-    step = _reliable(step.withColumn("least", F.least("least", "span_id")))
+    step = materialise(step.withColumn("least", F.least("least", "span_id")))
     # after as many doublings as the number of spans has bits, only cycles still move
     for _ in range(step.count().bit_length() + 1):
         above = step.select(F.col("span_id").alias("__s"), F.col("up").alias("__u"), F.col("least").alias("__l"))
         after = step.join(above, F.col("up") == F.col("__s"), "left").select(
             "span_id", F.coalesce("__u", "up").alias("next"), F.least("least", F.coalesce("__l", "least")).alias("least"), "up"
         )
-        after = _reliable(after)
+        after = materialise(after)
         moved = after.where(F.col("next") != F.col("up")).limit(1).count()
         step = after.select("span_id", F.col("next").alias("up"), "least")
         if not moved:
@@ -155,21 +158,29 @@ def components(spans: DataFrame) -> DataFrame:
 def component(spans: DataFrame, seed: int) -> DataFrame | None:
     """(span_id) of the spans joined to ``seed`` by parent or child edges; None if it is unknown.
 
-    A frontier search that never visits a span twice, so cycles end.
+    The edges are computed once.  The search climbs to the root by single rows and goes down from there
+    level by level; in a forest no span is met twice, and a cycle ends where it closes.
     """
-    if not spans.where(F.col("span_id") == seed).limit(1).count():
-        return None
-    down = spans.where(F.col("parent_span").isNotNull()).select(F.col("span_id").alias("a"), F.col("parent_span").alias("b"))
-    edges = down.union(down.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    seen = spans.where(F.col("span_id") == seed).select("span_id").distinct()
-    frontier = seen
+    edges = materialise(spans.select("span_id", "parent_span"))
+    root, met = seed, set()
+    while True:
+        met.add(root)
+        row = edges.where(F.col("span_id") == root).select("parent_span").first()
+        if row is None and root == seed:
+            return None
+        if row is None or row[0] is None or row[0] in met:
+            break
+        root = row[0]
+    seen = edges.where(F.col("span_id") == root).select("span_id").distinct()
+    if seen.isEmpty():  # a parent without a row of its own still joins its children
+        seen = edges.sparkSession.createDataFrame([(root,)], "span_id long")
+    seen = frontier = materialise(seen)
     while True:
-        after = edges.join(frontier, F.col("a") == F.col("span_id"), "left_semi").select(F.col("b").alias("span_id")).distinct()
-        after = _reliable(after.join(seen, "span_id", "left_anti"))
-        if not after.limit(1).count():
+        below = edges.join(frontier.select(F.col("span_id").alias("parent_span")), "parent_span", "left_semi").select("span_id").distinct()
+        frontier = materialise(below.join(seen, "span_id", "left_anti"))
+        if frontier.isEmpty():
             return seen
-        seen = _reliable(seen.union(after))
-        frontier = after
+        seen = seen.union(frontier)
 
 
 def extend_component(component_: DataFrame, new_spans: DataFrame) -> DataFrame:

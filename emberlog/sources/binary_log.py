@@ -4,6 +4,10 @@ Record, little endian: 3 bytes length and a magic byte, 8 bytes nanoseconds, 1 b
 at the end the span.  Fields are read from the end, so they come back in reverse order of writing.
 A field is key text, key tag, value bytes, value tag.  Key tags below 128 are numbers of well-known keys,
 others 128 plus the length of the text.  Value tags of 128 and more are short strings.
+
+Text and bytes hold at most 65,535 bytes in this format: longer ones are cut there when written, text
+before the character that would not fit.  A record that does not decode is left out when files are read;
+``rejected`` counts such records by file.  Paths may be URIs of any file system that Arrow opens.
 """
 
 from __future__ import annotations
@@ -14,14 +18,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from emberlog.functions.model import CURRENT, END, LOGS, START, START_WITH_PARENT, Duration, Span, Stamp, record, value
 
 MAGIC = 0xE1
 CHUNK_MAGIC, SERVICE_MAGIC = 0x8910FC0E, 0xF745119E
 MAX_ENTRY = 4 << 20
+MAX_TEXT = 0xFFFF
 KNOWN_KEYS = tuple(
     "msg err error cause method status size time count total ms id user_id object_id caller target duration timezone content_type conn_id path"
     " length on kind sensor_id handler timestamp elapsed camera_id system_id next".split()
@@ -56,10 +62,12 @@ def encode_value(x: Any) -> bytes:
     if isinstance(x, float):
         return struct.pack("<d", x) + bytes([F64])
     if isinstance(x, str):
-        raw = x.encode()[:0xFFFF]
+        raw = x.encode()
+        if len(raw) > MAX_TEXT:
+            raw = raw[:MAX_TEXT].decode("utf-8", "ignore").encode()
         return raw + (bytes([0x80 | len(raw)]) if len(raw) < 128 else struct.pack("<H", len(raw)) + bytes([STRING]))
     if isinstance(x, bytes):
-        raw = x[:0xFFFF]
+        raw = x[:MAX_TEXT]
         return raw + struct.pack("<H", len(raw)) + bytes([BYTES])
     if isinstance(x, uuid.UUID):
         return x.bytes + bytes([UUID])
@@ -254,49 +262,91 @@ def to_row(seq: int, raw: bytes, service: str | None, generation: int = 0) -> tu
     return tuple(row[f.name] for f in LOGS)
 
 
+def records_of(data: bytes, service: str | None = None) -> Iterator[tuple[str | None, bytes]]:
+    """(service, record) of a file of plain records or of chunks."""
+    if record_length(data) is None and data:
+        for kind, x in Dechunker().feed(data):
+            if kind == "service":
+                service = x
+            else:
+                yield service, x
+        return
+    at = 0
+    while at < len(data):
+        size = record_length(data, at)
+        if size is None or at + size > len(data):
+            raise FormatError(f"no record at byte {at}")
+        yield service, data[at : at + size]
+        at += size
+
+
 def rows_of(data: bytes, service: str | None = None, start: int = 0, generation: int = 0) -> Iterator[tuple]:
     """Rows of a file of plain records or of chunks; records that do not decode are left out."""
-    if record_length(data) is not None or not data:
-        at = 0
-        stream = []
-        while at < len(data):
-            size = record_length(data, at)
-            if size is None or at + size > len(data):
-                raise FormatError(f"no record at byte {at}")
-            stream.append(("record", data[at : at + size]))
-            at += size
-    else:
-        stream = Dechunker().feed(data)
     seq = start
-    for kind, x in stream:
-        if kind == "service":
-            service = x
-            continue
+    for named, x in records_of(data, service):
         try:
-            yield to_row(seq, x, service, generation)
+            yield to_row(seq, x, named, generation)
         except FormatError:
             continue
         seq += 1
 
 
 def read_files(spark: SparkSession, path: str, service: str | None = None) -> DataFrame:
-    """Log files as rows of ``LOGS``; the file's place in name order is the generation."""
+    """Log files as rows of ``LOGS``; the file's place in name order is the generation.
+
+    A file is read by one task; writers rotate files at 16 MiB.
+    """
+    register(spark)
     return spark.read.format("emberlog").option("service", service or "").load(path)
 
 
+def rejected(spark: SparkSession, path: str) -> DataFrame:
+    """(file, records, rejected) of log files: how many records there are and how many do not decode."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+    def count(batches):
+        for b in batches:
+            for at, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                total = bad = 0
+                for _, x in records_of(data):
+                    total += 1
+                    try:
+                        decode_record(x)
+                    except FormatError:
+                        bad += 1
+                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total]), pa.array([bad])], names=["file", "records", "rejected"])
+
+    return files.mapInArrow(count, "file string, records long, rejected long")
+
+
 @dataclass
 class _File(InputPartition):
     path: str
     generation: int
 
 
+def _opened(path: str):
+    """(file system, path in it) of a URI or a local path."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
 def _listing(path: str) -> list[str]:
-    import glob
-    import os
+    """Files under a path, as the file system names them, in name order; hidden ones are left out."""
+    from pyarrow import fs
+
+    system, inner = _opened(path)
+    found = system.get_file_info(inner)
+    if found.type == fs.FileType.NotFound:
+        return []
+    files = [found] if found.is_file else [f for f in system.get_file_info(fs.FileSelector(inner, recursive=True)) if f.is_file]
+    return sorted(f.path for f in files if not f.base_name.startswith((".", "_")))
+
 
-    path = path.removeprefix("file://")
-    found = [path] if os.path.isfile(path) else glob.glob(os.path.join(path, "**"), recursive=True)
-    return sorted(p for p in found if os.path.isfile(p) and not os.path.basename(p).startswith((".", "_")))
+def _content(path: str, file: str) -> bytes:
+    with _opened(path)[0].open_input_stream(file) as f:
+        return f.read()
 
 
 class _Reader(DataSourceReader):
@@ -308,27 +358,87 @@ class _Reader(DataSourceReader):
 
     def read(self, partition):
         if partition.path:
-            with open(partition.path, "rb") as f:
-                yield from rows_of(f.read(), self.service, 0, partition.generation)
+            yield from rows_of(_content(self.path, partition.path), self.service, 0, partition.generation)
 
 
-class _StreamReader(SimpleDataSourceStreamReader):
-    """Files of a landing directory in name order; the offset counts the files read."""
+def number_of(file: str) -> int:
+    """A landed file's generation: the last number in its name, or a checksum where there is none."""
+    import re
+    import zlib
+
+    name = file.rsplit("/", 1)[-1]
+    found = re.findall(r"\d+", name)
+    return int(found[-1]) % 2**31 if found else zlib.crc32(name.encode()) % 2**31
+
+
+class _StreamReader(DataSourceStreamReader):
+    """Files of a landing directory, one a task.
+
+    The offset holds the names of the files present, so a file counts as new by its name alone, wherever
+    it sorts; names of files that have been removed leave it.
+    """
 
     def __init__(self, options: dict) -> None:
         self.path, self.service = options["path"], options.get("service") or None
 
     def initialOffset(self):
-        return {"files": 0}
+        return {"files": []}
 
-    def read(self, start):
-        found = _listing(self.path)
-        rows = [r for i in range(start["files"], len(found)) for r in rows_of(open(found[i], "rb").read(), self.service, 0, i)]
-        return iter(rows), {"files": max(start["files"], len(found))}
+    def latestOffset(self):
+        return {"files": _listing(self.path)}
 
-    def readBetweenOffsets(self, start, end):
-        found = _listing(self.path)
-        return iter([r for i in range(start["files"], end["files"]) for r in rows_of(open(found[i], "rb").read(), self.service, 0, i)])
+    def partitions(self, start, end):
+        known = set(start["files"])
+        return [_File(p, number_of(p)) for p in end["files"] if p not in known]
+
+    def read(self, partition):
+        yield from rows_of(_content(self.path, partition.path), self.service, 0, partition.generation)
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    hidden: str
+    final: str
+
+
+class _Writer(DataSourceWriter):
+    """Record files, one a task, written under a hidden name and renamed when all tasks are done."""
+
+    def __init__(self, options: dict, overwrite: bool) -> None:
+        self.path, self.overwrite = options["path"], overwrite
+
+    def write(self, iterator):
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        system, inner = _opened(self.path)
+        system.create_dir(inner, recursive=True)
+        stem = f"part-{context.partitionId():05d}"
+        hidden = f"{inner}/.{stem}-{context.taskAttemptId()}.tmp"
+        with system.open_output_stream(hidden) as f:
+            for r in iterator:
+                f.write(from_row(r))
+        return _Written(hidden, f"{inner}/{stem}")
+
+    def commit(self, messages) -> None:
+        import uuid as uuid_
+
+        system, _ = _opened(self.path)
+        if self.overwrite:
+            written = {m.hidden for m in messages if m}
+            for p in _listing(self.path):
+                if p not in written:
+                    system.delete_file(p)
+        tag = "" if self.overwrite else f"-{uuid_.uuid4().hex[:12]}"
+        for m in messages:
+            if m:
+                system.move(m.hidden, f"{m.final}{tag}.log")
+
+    def abort(self, messages) -> None:
+        system, _ = _opened(self.path)
+        for m in messages:
+            if m:
+                system.delete_file(m.hidden)
 
 
 class LogSource(DataSource):
@@ -344,9 +454,12 @@ class LogSource(DataSource):
     def reader(self, schema):
         return _Reader(self.options)
 
-    def simpleStreamReader(self, schema):
+    def streamReader(self, schema):
         return _StreamReader(self.options)
 
+    def writer(self, schema, overwrite):
+        return _Writer(self.options, overwrite)
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(LogSource)
@@ -354,22 +467,8 @@ def register(spark: SparkSession) -> None:
 
 def write_files(df: DataFrame, path: str) -> None:
     """Rows of ``LOGS`` as record files, one per partition, in arrival order within each."""
-    import os
-
-    path = path.removeprefix("file://")
-    os.makedirs(path, exist_ok=True)
-
-    def write(rows) -> None:
-        from pyspark import TaskContext
-
-        number = TaskContext.get().partitionId()
-        part = os.path.join(path, f".part-{number:05d}.tmp")
-        with open(part, "wb") as f:
-            for r in rows:
-                f.write(from_row(r))
-        os.replace(part, os.path.join(path, f"part-{number:05d}.log"))
-
-    df.sortWithinPartitions("generation", "seq").foreachPartition(write)
+    register(df.sparkSession)
+    df.sortWithinPartitions("generation", "seq").write.format("emberlog").mode("overwrite").save(path)
 
 
 def from_row(r) -> bytes:
