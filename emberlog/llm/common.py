@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.shared import materialise, remove, shared_path
+
+__all__ = ["arrow_map", "byte_values", "flat_bytes", "labelled_sample", "learnable", "lookup", "materialise", "release", "remove", "shared_path", "within"]
+
 #: A key is hot when it stands for more than one in HOT_SHARE of all rows, or in the number of partitions where
 #: that is more; so at most as many keys are hot, and no other fills a partition.
 HOT_SHARE = 1000
@@ -18,51 +21,6 @@ HOT_SHARE = 1000
 #: Words are runs of anything but ASCII white space; ``bytes.split()`` cuts at exactly these six bytes.
 ASCII_SPACE = b"\t\n\x0b\x0c\r "
 
-CHECKPOINT_CONF = "spark.checkpoint.dir"
-#: With it a query's shuffle files go when it ends; lost ones are computed again where something still reads them.
-CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is named, a temporary one, but only if driver and executors are one machine."""
-    found = spark.conf.get(CHECKPOINT_CONF, None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="emberlog-")
-        spark.conf.set(CHECKPOINT_CONF, found)
-    return found
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint in the shared folder.
-
-    The shuffle files that went into it are dropped at once, not when the driver next collects garbage.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(spark))
-    before = spark.conf.get(CLEANUP_CONF, None)
-    try:
-        spark.conf.set(CLEANUP_CONF, "true")  # read when the plan is made, hence the new select
-        return df.select("*").checkpoint(eager=True)
-    finally:
-        spark.conf.unset(CLEANUP_CONF) if before is None else spark.conf.set(CLEANUP_CONF, before)
-
-
-def shared_path(spark: SparkSession, stem: str) -> str:
-    """A fresh path for a table in the shared folder."""
-    import uuid
-
-    return f"{shared_dir(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a table of the shared folder that nothing will read again."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
 
 def lookup(
     left: DataFrame,
