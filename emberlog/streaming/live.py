@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQueryListener
 from emberlog.functions.model import END, LOGS, START, START_WITH_PARENT
 from emberlog.operators.filters import where
 from emberlog.operators.scans import Address, bidirectional, last_address
+from emberlog.operators.spans import extend_component
 
 
 def landing(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -45,19 +46,14 @@ def backfill_and_tail(history: DataFrame, stream: DataFrame, query=None, anchor:
     return past, where(stream, query).where(after)
 
 
-def span_states(stream: DataFrame, late: str | None = None) -> DataFrame:
-    """Per span so far: parent, start, last timestamp, duration and whether it ended; update mode.
+def span_states(stream: DataFrame) -> DataFrame:
+    """Per span so far: parent, start, last timestamp, duration and whether it ended; update or complete mode.
 
-    With ``late`` a watermark lets spans leave the state that long after their window of an hour.
+    Every span stays in the state; ``open_spans`` lets spans leave it.
     """
     place = F.struct("generation", "seq")
     starts = F.col("span_kind").isin(START_WITH_PARENT, START)
-    rows = stream.where(F.col("span_id").isNotNull())
-    keys = ["span_id"]
-    if late is not None:
-        rows = rows.withWatermark("ts", late)
-        keys.append(F.window("ts", "1 hour"))
-    state = rows.groupBy(*keys).agg(
+    state = stream.where(F.col("span_id").isNotNull()).groupBy("span_id").agg(
         F.min_by(F.when(starts, F.col("parent_span_id")), F.when(starts, place)).alias("parent_span"),
         F.min_by("ts_ns", place).alias("start_ts_ns"),
         F.max_by("ts_ns", place).alias("last_ts_ns"),
@@ -67,26 +63,69 @@ def span_states(stream: DataFrame, late: str | None = None) -> DataFrame:
     return state.withColumn("span_duration_ns", F.abs(F.col("last_ts_ns") - F.col("start_ts_ns")))
 
 
+STATES = "span_id long, parent_span long, start_ts_ns long, last_ts_ns long, n_rows long, ended boolean, span_duration_ns long, closed boolean"
+_KEPT = "parent_span long, parent_generation int, parent_seq long, start_generation int, start_seq long, start_ts_ns long, last_generation int, last_seq long, last_ts_ns long, n_rows long, ended boolean"
+
+
+def open_spans(stream: DataFrame, ttl: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """As ``span_states`` in update mode, with an end: a span leaves the state when event time has passed
+    ``ttl`` since its last record, with a last row that is ``closed``.
+
+    State is kept per span, however long the span runs; ``late`` is how far behind records may come.
+    """
+    rows = stream.where(F.col("span_id").isNotNull()).withWatermark("ts", late)
+    wait_ms = int(stream.sparkSession.sql(f"SELECT CAST(unix_millis(TIMESTAMP '1970-01-02' + INTERVAL {ttl}) - unix_millis(TIMESTAMP '1970-01-02') AS LONG)").first()[0])
+    narrow = rows.select("span_id", "generation", "seq", "ts_ns", "span_kind", "parent_span_id", "ts")
+    return narrow.groupBy("span_id").applyInPandasWithState(_span_state(wait_ms), STATES, _KEPT, "update", "EventTimeTimeout")
+
+
+def _span_state(wait_ms: int):
+    def step(key, frames, state):
+        import pandas as pd
+
+        def row(kept: list, closed: bool):
+            up, start, last, n, ended = kept[0], kept[5], kept[8], kept[9], kept[10]
+            up = pd.array([up], dtype="Int64")
+            return pd.DataFrame({"span_id": [key[0]], "parent_span": up, "start_ts_ns": [start], "last_ts_ns": [last], "n_rows": [n], "ended": [ended], "span_duration_ns": [abs(last - start)], "closed": [closed]})
+
+        if state.hasTimedOut:
+            kept = list(state.get)
+            state.remove()
+            yield row(kept, True)
+            return
+        kept = list(state.get) if state.exists else [None] * 9 + [0, False]
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                place = (int(r.generation), int(r.seq))
+                if r.span_kind in (START_WITH_PARENT, START) and (kept[1] is None or place < (kept[1], kept[2])):
+                    kept[0] = None if pd.isna(r.parent_span_id) else int(r.parent_span_id)
+                    kept[1], kept[2] = place
+                if kept[3] is None or place < (kept[3], kept[4]):
+                    kept[3], kept[4], kept[5] = *place, int(r.ts_ns)
+                if kept[6] is None or place > (kept[6], kept[7]):
+                    kept[6], kept[7], kept[8] = *place, int(r.ts_ns)
+                kept[9] += 1
+                kept[10] = kept[10] or r.span_kind == END
+        state.update(tuple(kept))
+        # a span that is already past its time leaves with the next batch
+        state.setTimeoutTimestamp(max(kept[8] // 10**6 + wait_ms, state.getCurrentWatermarkMs() + 1))
+        yield row(kept, False)
+
+    return step
+
+
 def new_targets(stream: DataFrame) -> DataFrame:
     """Each target once, when it is first seen."""
     return stream.select("target").dropDuplicates(["target"])
 
 
-def grow_component(members: set[int], batch: DataFrame) -> set[int]:
-    """The members and the spans of a micro-batch that hang below them.
+def grow_component(component_: DataFrame, batch: DataFrame) -> DataFrame:
+    """The component (span_id) with the spans of a micro-batch that hang below it, however deep.
 
-    Only the batch's Start records with a parent are looked at.
+    Only the batch's Start records with a parent are looked at; the component stays a table.
     """
-    edges = batch.where(F.col("parent_span_id").isNotNull()).select("span_id", "parent_span_id").distinct()
-    spark = batch.sparkSession
-    now = set(members)
-    frontier = now
-    while frontier:
-        known = spark.createDataFrame([(x,) for x in frontier], "parent_span_id long")
-        found = {r["span_id"] for r in edges.join(F.broadcast(known), "parent_span_id", "left_semi").select("span_id").toLocalIterator()}
-        frontier = found - now
-        now = now | frontier
-    return now
+    edges = batch.where(F.col("parent_span_id").isNotNull()).groupBy("span_id").agg(F.min("parent_span_id").alias("parent_span"))
+    return extend_component(component_, edges)
 
 
 class UpdateSignal(StreamingQueryListener):

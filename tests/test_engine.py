@@ -283,7 +283,69 @@ def test_streams(spark, tmp_path, tree):
     q = live.ingest(live.landing(spark, landing), str(tmp_path / "out"), str(tmp_path / "cp"), lambda b, n: told.append(n)).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert told == [0] and sorted(seqs(store.load(spark, str(tmp_path / "out")))) == list(range(9))
-    assert live.grow_component({1}, tree) == {1, 2, 3, 4}
+    one = spark.createDataFrame([(1,)], "span_id long")
+    assert sorted(r[0] for r in live.grow_component(one, tree).collect()) == [1, 2, 3, 4]
+
+
+def test_open_spans_close_after_their_time(spark, tmp_path):
+    """A span over an hour's boundary stays one; it leaves when nothing came for the time to live."""
+    first = [record(0, HOUR - 60_000_000_000, span=Span(1, None, START)), record(1, HOUR + 60_000_000_000, span=Span(1)), record(2, HOUR, span=Span(2, 1, 0))]
+    second = [record(3, HOUR + 120_000_000_000, span=Span(1, None, END)), record(4, 9 * HOUR, msg="later", span=Span(3, None, START))]
+    landing = str(tmp_path / "in")
+    got = []
+    for part in (first, second, [record(5, 10 * HOUR, span=Span(3))]):
+        logs(spark, part).coalesce(1).write.mode("append").parquet(landing)
+        stream = live.open_spans(live.landing(spark, landing), "30 minutes", "1 minute")
+        q = stream.writeStream.outputMode("update").foreachBatch(lambda b, n: got.extend(tuple(r) for r in b.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(180)
+    last = {r[0]: r for r in got}
+    assert last[1] == (1, None, HOUR - 60_000_000_000, HOUR + 120_000_000_000, 3, True, 180_000_000_000, True)
+    assert last[2][1] == 1 and last[2][-1] and not last[3][-1] and last[3][4] == 2
+
+
+def test_late_file_that_sorts_first_is_read_once(spark, tmp_path):
+    """New files are known by name: one that sorts before those already read comes through, and no other again."""
+    (tmp_path / "in").mkdir()
+    seen = []
+
+    def turn(name, message):
+        (tmp_path / "in" / name).write_bytes(binary_log.encode_record(1, 1, [("msg", message)]))
+        q = live.binary_landing(spark, str(tmp_path / "in")).writeStream.foreachBatch(lambda b, n: seen.extend(r["message"] for r in b.collect()))
+        q.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(180)
+
+    turn("part-00000005.log", "five")
+    turn("part-00000002.log", "two")
+    (tmp_path / "in" / "part-00000005.log").unlink()
+    turn("part-00000009.log", "nine")
+    assert seen == ["five", "two", "nine"]
+
+
+def test_long_texts_are_cut_at_a_character():
+    text = "é" * 40_000
+    (_, _, _, fields), = binary_log.decode(binary_log.encode_record(1, 1, [("t", text), ("b", b"x" * 70_000)]))
+    got = dict(fields)
+    assert got["t"] == "é" * 32_767 and len(got["b"]) == 65_535
+
+
+def test_rejected_records_are_counted(spark, tmp_path):
+    good = binary_log.encode_record(1, 1, [("a", 1)])
+    bad = bytearray(good)
+    bad[12] = 9  # no such level
+    (tmp_path / "x.log").write_bytes(good + bytes(bad) + good)
+    assert [tuple(r)[1:] for r in binary_log.rejected(spark, str(tmp_path)).collect()] == [(3, 1)]
+    assert binary_log.read_files(spark, str(tmp_path)).count() == 2
+
+
+def test_snapshots_know_their_range_and_kinds(spark, tmp_path):
+    df = logs(spark, [record(i, 10 + i, u=uuid.UUID(int=i), t=True, e=Duration(1.0), n=None, b=b"x", big=2**64 - 1, f=1.5, s="x", at=Stamp(5)) for i in range(4)])
+    store.write_snapshot(df, str(tmp_path / "a"), 0)
+    assert store.load_snapshot(spark, str(tmp_path / "a"), full=True).count() == 4
+    logs(spark, [record(9, 99)]).write.mode("append").parquet(str(tmp_path / "a"))
+    with pytest.raises(store.ValidationError, match="range"):
+        store.load_snapshot(spark, str(tmp_path / "a"), full=True)
+    wrong = F.transform_values("fields", lambda k, v: F.when(k == "t", v.withField("i", F.lit(7).cast("decimal(20,0)"))).when(k == "s", v.withField("f", F.lit(1.0))).otherwise(v))
+    assert store.validate(df.withColumn("fields", wrong)) == {"value": 4}
+    assert store.validate(df.withColumn("ts", F.current_timestamp())) == {"time": 4}
 
 
 def test_binary_stream(spark, tmp_path):
