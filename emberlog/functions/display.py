@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from emberlog.functions.model import KIND
 
 
+def whole(x: Column, unit: int) -> Column:
+    """Whole units in a long, rounded down; a division by ``/`` would go through a double."""
+    return F.call_function("div", x - F.pmod(x, F.lit(unit)), F.lit(unit))
+
+
 def iso_ns(ns: Column) -> Column:
     """A nanosecond timestamp as ISO text in UTC with nine fractional digits."""
-    whole = F.date_format(F.timestamp_seconds(F.floor(ns / 10**9)), "yyyy-MM-dd'T'HH:mm:ss")
-    return F.concat(whole, F.lit("."), F.lpad(F.pmod(ns, F.lit(10**9)).cast("string"), 9, "0"), F.lit("Z"))
+    whole_ = F.date_format(F.timestamp_seconds(whole(ns, 10**9)), "yyyy-MM-dd'T'HH:mm:ss")
+    return F.concat(whole_, F.lit("."), F.lpad(F.pmod(ns, F.lit(10**9)).cast("string"), 9, "0"), F.lit("Z"))
 
 
 def iso_ms(ms: Column) -> Column:

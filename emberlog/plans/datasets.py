@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.functions.display import whole
 from emberlog.functions.model import KIND, LOGS
 
-GENERATION_ROWS = 1000
+#: Rows of a generation, as in a bucket of the log engine this describes.
+GENERATION_ROWS = 1_048_575
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +74,59 @@ def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*[F.col(f.name).cast(f.dataType) for f in LOGS])
 
 
+def uuid_text(text: F.Column) -> F.Column:
+    """A UUID from the MD5 of a text."""
+    h = F.md5(text)
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
+
+
+def typed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events with one field of every kind: n (int), u (int beyond the signed range), x (float), id (uuid),
+    ok (bool), wait (duration), at (timestamp), raw (bytes), kind (string) and none (null where k is below 10).
+    A third each has the service api, the service web, and none."""
+    e = events(spark, sf_dir)
+    unsigned = F.col("user_id").cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)")
+    pairs = F.array(
+        _pair(F.lit("n"), tagged("int", i=F.col("event_id"))),
+        _pair(F.lit("u"), tagged("int", i=unsigned)),
+        _pair(F.lit("x"), tagged("float", f=F.col("value"))),
+        _pair(F.lit("id"), tagged("uuid", s=uuid_text(F.col("event_id").cast("string")))),
+        _pair(F.lit("ok"), tagged("bool", i=(F.col("value") > 100).cast("int"))),
+        _pair(F.lit("wait"), tagged("duration", f=F.col("value") / 1000.0)),
+        _pair(F.lit("at"), tagged("timestamp", i=F.unix_millis(F.col("ts").cast("timestamp")))),
+        _pair(F.lit("raw"), tagged("bytes", b=F.col("event_type").cast("binary"))),
+        _pair(F.lit("kind"), tagged("string", s=F.col("event_type"))),
+        _pair(F.when(F.col("k") < 10, F.lit("none")), tagged("null")),
+    )
+    service = F.when(F.col("user_id") % 3 == 0, "api").when(F.col("user_id") % 3 == 1, "web")
+    nothing = F.lit(None)
+    out = e.select(
+        "generation", "seq", "ts_ns", F.col("ts").cast("timestamp").alias("ts"), "level", "target", "message", service.alias("service"),
+        nothing.alias("span_id"), nothing.alias("parent_span_id"), nothing.alias("span_kind"), F.map_from_entries(F.filter(pairs, lambda p: p["key"].isNotNull())).alias("fields"),
+    )
+    return out.select(*[F.col(f.name).cast(f.dataType) for f in LOGS])
+
+
+#: Spans with smaller ids are roots of the deep forest.
+ROOTS = 64
+
+
+def deep_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forest of deep trees: every event is a span, below the span of half its number down to ``ROOTS``.
+
+    A span has a Start and an End record, ``value`` milliseconds apart.
+    """
+    e = events(spark, sf_dir).withColumn("span_id", F.col("event_id") + 1)
+    parent = F.when(F.col("span_id") >= ROOTS, F.floor(F.col("span_id") / 2).cast("long"))
+    took = F.floor(F.coalesce("value", F.lit(0.0)) * 1000).cast("long") * 1000
+    common = [F.lit(0).alias("generation"), F.col("span_id"), F.col("level"), F.col("target"), F.col("message")]
+    first = e.select(*common, (2 * F.col("event_id")).alias("seq"), F.col("ts_ns"), F.when(parent.isNull(), 1).otherwise(0).alias("span_kind"), parent.alias("parent_span_id"))
+    last = e.select(*common, (2 * F.col("event_id") + 1).alias("seq"), (F.col("ts_ns") + took).alias("ts_ns"), F.lit(3).alias("span_kind"), F.lit(None).alias("parent_span_id"))
+    both = first.unionByName(last).withColumn("ts", F.timestamp_micros(whole(F.col("ts_ns"), 1000)))
+    both = both.withColumns({"service": F.lit(None), "fields": F.expr("map()")})
+    return both.select(*[F.col(f.name).cast(f.dataType) for f in LOGS])
+
+
 def customer_span(key) -> F.Column:
     return key * 2 + 1
 
@@ -99,4 +154,4 @@ def span_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     both = starts.unionByName(lines)
     # arrival order is time order, a Start before what it starts
-    return both.select(F.lit(0).alias("generation"), (F.floor(F.col("ts_ns") / 1000) * 4 + F.col("span_kind")).cast("long").alias("seq"), *both.columns)
+    return both.select(F.lit(0).alias("generation"), (whole(F.col("ts_ns"), 1000) * 4 + F.col("span_kind")).cast("long").alias("seq"), *both.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,16 +13,25 @@ from emberlog.functions.binding import TypedBinding
 from emberlog.operators import aggregates, scans, spans
 from emberlog.operators.aggregates import Key
 from emberlog.operators.filters import LevelFilter, Query, TargetLevelFilter, compact_levels, where
-from emberlog.plans import datasets
-from emberlog.plans.predicates import span_set
 from emberlog.operators.scans import Address
+from emberlog.plans import datasets
+from emberlog.plans.errors import QueryParseError
+from emberlog.plans.parser import parse
+from emberlog.plans.predicates import FALSE, TRUE, And, Or, span_set
+from emberlog.shared import materialise
 
 FLAGSHIP = "q_pred_flagship"
 
+
+def _uuid(text: str) -> str:
+    h = hashlib.md5(text.encode()).hexdigest()
+    return "-".join((h[:8], h[8:12], h[12:16], h[16:20], h[20:]))
+
+
 EVENTS = """WITH ev AS (SELECT *, CASE WHEN event_type = 'error' THEN value END AS err_value,
   CAST(json_extract(props, '$.k') AS INTEGER) AS k,
   CASE event_type WHEN 'error' THEN 3 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 1 WHEN 'view' THEN 1 ELSE 0 END AS level,
-  CAST(epoch_us(ts) AS BIGINT) * 1000 AS ts_ns, CAST(event_id // 1000 AS INTEGER) AS generation, event_id AS seq FROM events) """
+  CAST(epoch_us(ts) AS BIGINT) * 1000 AS ts_ns, CAST(event_id // 1048575 AS INTEGER) AS generation, event_id AS seq FROM events) """
 
 #: name: (table, key columns, query, SQL condition)
 PREDICATES: dict[str, tuple[str, str, str, str]] = {
@@ -36,7 +46,7 @@ PREDICATES: dict[str, tuple[str, str, str, str]] = {
     "ends_with": ("part", "p_partkey", 'p_type.ends_with("L")', "suffix(p_type, 'L')"),
     "bytes_equal": ("customer", "c_custkey", 'c_mktsegment = b"BUILDING"', "c_mktsegment = 'BUILDING'"),
     "int_equal": ("events", "event_id", "user_id = 0x7", "user_id = 7"),
-    "int_on_float": ("part", "p_partkey", "p_retailprice = 1000", "false"),
+    "int_on_float": ("part", "p_partkey", "p_retailprice = 1000 || p_size = 7", "p_size = 7"),
     "unsigned": ("events", "event_id", "user_id = 9_223_372_036_854_775_808 || user_id < 5", "user_id < 5"),
     "float_range": ("lineitem", "l_orderkey, l_linenumber, l_partkey", "l_discount >= 0.05 && l_discount < 0.07", "l_discount >= 0.05 AND l_discount < 0.07"),
     "float_on_int": ("part", "p_partkey", "p_size > 10.5 && p_size <= 20.5", "p_size >= 11 AND p_size <= 20"),
@@ -59,7 +69,7 @@ PREDICATES: dict[str, tuple[str, str, str, str]] = {
     "time_day": ("events", "event_id", 'ts in time_range("2024-01-05")', "ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-06'"),
     "time_hour": ("events", "event_id", 'ts in time_range("2024-01-05T03Z") || ts in time_range("2024-01-07T10+02:00")', "date_trunc('hour', ts) IN (TIMESTAMP '2024-01-05 03:00:00', TIMESTAMP '2024-01-07 08:00:00')"),
     "time_month_orders": ("orders", "o_orderkey", 'o_orderdate in time_range("1995-03")', "date_trunc('month', o_orderdate) = TIMESTAMP '1995-03-01'"),
-    "entry_time": ("events", "event_id", '$timestamp in time_range("2024-01-10T12:3" + "0")', "date_trunc('minute', ts) = TIMESTAMP '2024-01-10 12:30:00'"),
+    "entry_time": ("events", "event_id", '$timestamp in time_range("2024-01-1" + "0")', "date_trunc('day', ts) = TIMESTAMP '2024-01-10'"),
     "level_equal": ("events", "event_id", '$level = "error" || $level == "warning"', "level IN (2, 3)"),
     "level_in": ("events", "event_id", '$level in ["INFO", "debug"]', "level IN (0, 1)"),
     "level_not": ("events", "event_id", '$level != "debug"', "level <> 0"),
@@ -67,7 +77,7 @@ PREDICATES: dict[str, tuple[str, str, str, str]] = {
     "message": ("events", "event_id", '$message.contains("7") && !msg.ends_with("1}")', "contains(props, '7') AND NOT suffix(props, '1}')"),
     "text_documents": ("documents", "doc_id", 'text.contains("License") && !(lang in ["en"])', "contains(text, 'License') AND lang <> 'en'"),
     "text_pages": ("pages", "page_id", 'url.starts_with("https") && html.contains("<p>")', "starts_with(url, 'https') AND contains(html, '<p>')"),
-    "text_conversations": ("conversations", "conv_id, turn", 'role = "user" && text.ends_with("?")', "role = 'user' AND suffix(text, '?')"),
+    "text_conversations": ("conversations", "conv_id, turn", 'role = "user" && text.ends_with("he.")', "role = 'user' AND suffix(text, 'he.')"),
 }
 
 #: name: (query on tagged fields, SQL condition)
@@ -186,10 +196,10 @@ def scan_seek(spark, sf_dir):
     return scans.reverse_scan(datasets.events(spark, sf_dir), "value > 50", limit=50, seek=Address(0, 700)).select("seq")
 
 
-@registered("q_scan_saved", EVENTS + "SELECT seq, value FROM ev WHERE seq % 97 = 0 AND generation > (SELECT max(generation) FROM ev) - 4")
+@registered("q_scan_saved", EVENTS + "SELECT seq, value FROM ev WHERE event_type = 'error' AND generation > (SELECT max(generation) FROM ev) - 4")
 def scan_saved(spark, sf_dir):
     df = datasets.events(spark, sf_dir)
-    saved = df.where(F.col("seq") % 97 == 0)
+    saved = where(df, 'event_type = "error"')
     return scans.project_saved(scans.retained(df), saved).select("seq", "value")
 
 
@@ -239,14 +249,25 @@ def targets(spark, sf_dir):
 
 @registered("q_keys", EVENTS + """, p AS (SELECT 'user_id' AS key, 8 AS bit, CAST(user_id AS VARCHAR) AS v FROM ev
   UNION ALL SELECT 'kind', 2, event_type FROM ev UNION ALL SELECT 'k', 8, CAST(k AS VARCHAR) FROM ev WHERE k IS NOT NULL
-  UNION ALL SELECT 'note', 1, 'None' FROM ev WHERE k < 10)
+  UNION ALL SELECT 'note', 1, 'None' FROM ev WHERE k < 10
+  UNION ALL SELECT 'value', 16, CAST(value AS VARCHAR) FROM ev UNION ALL SELECT 'err_value', 16, CAST(err_value AS VARCHAR) FROM ev WHERE err_value IS NOT NULL
+  UNION ALL SELECT 'mixed', CASE WHEN k % 2 = 0 THEN 8 ELSE 16 END, CAST(k AS VARCHAR) FROM ev WHERE k IS NOT NULL
+  UNION ALL SELECT 'elapsed', 128, CAST(value / 1000.0 AS VARCHAR) FROM ev UNION ALL SELECT 'at', 256, CAST(epoch_us(ts) // 1000 AS VARCHAR) FROM ev
+  UNION ALL SELECT 'big', 32, CASE WHEN value > 100 THEN 'true' ELSE 'false' END FROM ev)
   SELECT key, count(*) AS total, CAST(bit_or(bit) AS INTEGER) AS kind_mask, count(DISTINCT v) AS n_values,
     CASE WHEN count(DISTINCT v) < 32 THEN string_agg(DISTINCT v, ',' ORDER BY v) END AS listed FROM p GROUP BY key""")
 def keys(spark, sf_dir):
-    out = aggregates.keys_summary(datasets.event_logs(spark, sf_dir)).where(F.col("key").isin("user_id", "kind", "k", "note"))
+    out = aggregates.keys_summary(datasets.event_logs(spark, sf_dir))
     return out.select("key", "total", "kind_mask", "n_values", F.array_join("values", ",").alias("listed"))
 
 
+@registered("q_storage", "SELECT count(*) AS n_rows, true AS has_bytes FROM events")
+def storage(spark, sf_dir):
+    """Bytes differ by writer, so only whether there are any is compared."""
+    found = aggregates.storage_stats(datasets.table(spark, sf_dir, "events"))
+    return spark.createDataFrame([(int(found["rows"]), found["bytes"] > 0)], "n_rows long, has_bytes boolean")
+
+
 @registered("q_entry_counts", EVENTS + "SELECT generation, count(*) AS n FROM ev GROUP BY 1")
 def entry_counts(spark, sf_dir):
     return aggregates.entry_counts(datasets.events(spark, sf_dir))
@@ -255,17 +276,74 @@ def entry_counts(spark, sf_dir):
 # projections
 
 
-@registered("q_display", EVENTS + "SELECT seq, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '000Z' AS at, user_id AS user, value AS number, value > 100 AS big FROM ev")
+@registered("q_display", EVENTS + "SELECT seq, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '000Z' AS at, user_id AS user, value AS number, value > 100 AS big, epoch_us(ts) // 1000 * 1000000 AS at_ns, CASE WHEN value >= 31.62 AND value < 1000 THEN CAST(CAST(round_even(value, 0) AS BIGINT) AS VARCHAR) || 'ms' END AS took FROM ev")
 def display_values(spark, sf_dir):
     df = datasets.event_logs(spark, sf_dir)
     v = F.col("fields")
-    return df.select("seq", display.iso_ns(F.col("ts_ns")).alias("at"), display.as_i64(v["user_id"]).alias("user"), display.as_f64(v["value"]).alias("number"), display.as_bool(v["big"]).alias("big"))
+    return df.select("seq", display.iso_ns(F.col("ts_ns")).alias("at"), display.as_i64(v["user_id"]).alias("user"), display.as_f64(v["value"]).alias("number"), display.as_bool(v["big"]).alias("big"), display.as_timestamp_ns(v["at"]).alias("at_ns"),
+                     F.when((F.col("fields")["value"]["f"] >= 31.62) & (F.col("fields")["value"]["f"] < 1000), display.shown(v["elapsed"])).alias("took"))
 
 
-@registered("q_fields", EVENTS + "SELECT seq, unnest(CASE WHEN k < 10 THEN ['at','big','elapsed','k','kind','mixed','note','user_id','value'] ELSE ['at','big','elapsed','k','kind','mixed','user_id','value'] END || CASE WHEN err_value IS NOT NULL THEN ['err_value'] ELSE [] END) AS key FROM ev WHERE k IS NOT NULL")
+@registered("q_fields", EVENTS + """, p AS (SELECT seq, 'n' AS key, 3 AS kind, CAST(event_id AS VARCHAR) AS v FROM ev UNION ALL SELECT seq, 'u', 3, CAST(user_id::HUGEINT + 9223372036854775808 AS VARCHAR) FROM ev
+  UNION ALL SELECT seq, 'ok', 5, CAST(value > 100 AS VARCHAR) FROM ev UNION ALL SELECT seq, 'at', 8, strftime(date_trunc('millisecond', ts), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' FROM ev
+  UNION ALL SELECT seq, 'raw', 2, hex(event_type) FROM ev UNION ALL SELECT seq, 'kind', 1, event_type FROM ev UNION ALL SELECT seq, 'none', 0, 'None' FROM ev WHERE k < 10
+  UNION ALL SELECT seq, 'id', 6, regexp_replace(md5(CAST(event_id AS VARCHAR)), '(.{8})(.{4})(.{4})(.{4})(.{12})', '\\1-\\2-\\3-\\4-\\5') FROM ev)
+  SELECT seq, key, kind, v FROM p""")
 def fields(spark, sf_dir):
-    df = where(datasets.event_logs(spark, sf_dir), "k")
-    return df.select("seq", F.explode("fields").alias("key", "v")).select("seq", "key")
+    """Every field as text; x and wait are left to q_display, since engines print floats in their own ways."""
+    df = datasets.typed_logs(spark, sf_dir).select("seq", F.explode("fields").alias("key", "v")).where(~F.col("key").isin("x", "wait"))
+    return df.select("seq", "key", F.col("v.kind").cast("int").alias("kind"), display.shown(F.col("v")).alias("v"))
+
+
+_TYPED = "'" + _uuid("5") + "'"
+
+
+@registered("q_dyn_uuid", EVENTS + f"SELECT seq FROM ev WHERE event_id = 5 OR regexp_replace(md5(CAST(event_id AS VARCHAR)), '(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})', '\\1-\\2-\\3-\\4-\\5') = {_TYPED}")
+def dyn_uuid(spark, sf_dir):
+    return where(datasets.typed_logs(spark, sf_dir), f'id = "{_uuid("5")}" && id is Uuid').select("seq")
+
+
+@registered("q_dyn_unsigned", EVENTS + "SELECT seq FROM ev WHERE user_id IN (2, 7)")
+def dyn_unsigned(spark, sf_dir):
+    """Numbers beyond the signed range."""
+    return where(datasets.typed_logs(spark, sf_dir), "u = 9_223_372_036_854_775_815 || u = 0x8000000000000002").select("seq")
+
+
+@registered("q_dyn_service", EVENTS + "SELECT seq FROM ev WHERE user_id % 3 = 0 OR user_id % 3 = 2 AND value > 50")
+def dyn_service(spark, sf_dir):
+    return where(datasets.typed_logs(spark, sf_dir), '$service = "api" || !($service = "web") && x > 50').select("seq")
+
+
+@registered("q_pred_constant", EVENTS + "SELECT event_id FROM ev WHERE value > 50")
+def pred_constant(spark, sf_dir):
+    """True and false as predicates, from the empty query and a range that nothing satisfies."""
+    df = datasets.events(spark, sf_dir)
+    return where(where(df, ""), Or((FALSE, And((TRUE, parse("value > 50")))))).select("event_id")
+
+
+@registered("q_ext_regex", EVENTS + "SELECT event_id FROM ev WHERE regexp_matches(event_type, '^(cl|VI)', 'i')")
+def ext_regex(spark, sf_dir):
+    return where(datasets.events(spark, sf_dir), Query.expr('event_type.matches_regex("^(cl|VI)", "i")', strict=False)).select("event_id")
+
+
+@registered("q_ext_bits", EVENTS + "SELECT event_id FROM ev WHERE (user_id & 5) = 5 AND ts_ns > 1704800000000000000")
+def ext_bits(spark, sf_dir):
+    return where(datasets.events(spark, sf_dir), Query.expr("user_id & 5 = 5 && $timestamp > 1_704_800_000_000_000_000", strict=False)).select("event_id")
+
+
+_WRONG = [("a is Nope", "UnknownType", 5, 9), ("a && 5", "NonPredicateExpression", 5, 6), ("a = 1 << 200", "InvalidShift", 6, 8)]
+
+
+@registered("q_errors", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{k}', {a}, {b})" for t, k, a, b in _WRONG) + ") v(query, kind, start_at, end_at)")
+def errors(spark, sf_dir):
+    """What is wrong with a query, and where."""
+    found = []
+    for text, *_ in _WRONG:
+        try:
+            parse(text)
+        except QueryParseError as e:
+            found.append((text, e.kind, e.start, e.end))
+    return spark.createDataFrame(found, "query string, kind string, start_at int, end_at int")
 
 
 # spans
@@ -309,10 +387,15 @@ def span_expand(spark, sf_dir):
     return spans.expand_spans(logs, where(logs, 'target = "lineitem" && amount > 90_000')).select("span_id", "target", "amount")
 
 
-@registered("q_span_grouped", SPANS + "SELECT span_id, count(*) AS n, sum(CASE WHEN target = 'orders' THEN 1 ELSE 0 END)::BIGINT AS heads FROM lg WHERE span_id IN (SELECT span_id FROM lg WHERE message = '1-URGENT') GROUP BY 1")
+_DEEP = EVENTS + ", hp AS (SELECT event_id + 1 AS span_id, CASE WHEN event_id + 1 >= 64 THEN (event_id + 1) // 2 END AS parent, ts_ns, ts_ns + CAST(floor(coalesce(value, 0) * 1000) AS BIGINT) * 1000 AS end_ns, level, event_id, CASE WHEN event_id + 1 < 64 THEN event_id + 1 ELSE (event_id + 1) >> (length(bin(event_id + 1)) - 6) END AS root FROM ev), hr AS (SELECT *, 2 * event_id AS seq, ts_ns AS moment FROM hp UNION ALL SELECT *, 2 * event_id + 1, end_ns FROM hp) "
+
+
+@registered("q_span_grouped", _DEEP + """, m AS (SELECT span_id, max(seq) AS newest FROM hr WHERE level = 3 GROUP BY span_id)
+  SELECT row_number() OVER (ORDER BY newest DESC, hr.span_id, seq DESC) AS place, hr.span_id, seq, newest FROM hr JOIN m ON hr.span_id = m.span_id""")
 def span_grouped(spark, sf_dir):
-    out = spans.grouped_by_spans(datasets.span_logs(spark, sf_dir), '$message = "1-URGENT"')
-    return out.groupBy("span_id").agg(F.count("*").alias("n"), F.count_if(F.col("target") == "orders").alias("heads"))
+    """With each row's place in the result's order, from partition offsets and the place within the partition."""
+    out = spans.grouped_by_spans(datasets.deep_logs(spark, sf_dir), '$level = "error"').select("span_id", "seq", F.col("span_place.seq").alias("newest"))
+    return with_place(out).select("place", "span_id", "seq", "newest")
 
 
 @registered("q_span_first_record", SPANS + "SELECT lg.span_id, lg.target, lg.amount, st.message AS first_message FROM lg JOIN st ON lg.span_id = st.span_id WHERE lg.amount > 80000")
@@ -342,14 +425,98 @@ def span_context(spark, sf_dir):
     return spans.context(logs, spans.span_table(logs), 42).select("span_id", "target", "amount")
 
 
-@registered("q_span_latency", SPANS + "SELECT message, count(*) AS n FROM st GROUP BY message")
+@registered("q_span_latency", SPANS + """SELECT message, count(*) AS n, quantile_disc(duration, 0.5) AS p50, quantile_disc(duration, 0.9) AS p90, quantile_disc(duration, 0.99) AS p99
+  FROM st JOIN sp USING (span_id) GROUP BY message""")
 def span_latency(spark, sf_dir):
-    return aggregates.span_latency(datasets.span_logs(spark, sf_dir), "message").select("message", "n")
+    """Approximate percentiles, which are exact while a group has fewer spans than the accuracy."""
+    out = aggregates.span_latency(datasets.span_logs(spark, sf_dir), "message")
+    return out.select("message", "n", *[F.col("duration_ns")[i].alias(c) for i, c in enumerate(("p50", "p90", "p99"))])
+
+
+# deep forest
+
+
+@registered("q_deep_ancestors", _DEEP + "SELECT span_id, CAST(d AS INTEGER) AS depth, span_id >> CAST(d AS BIGINT) AS ancestor FROM hp, range(1, 9) t(d) WHERE span_id >> CAST(d - 1 AS BIGINT) >= 64")
+def deep_ancestors(spark, sf_dir):
+    """Up to eight levels above every span."""
+    return spans.ancestors(spans.span_table(datasets.deep_logs(spark, sf_dir)))
+
+
+@registered("q_deep_components", _DEEP + "SELECT span_id, root FROM hp")
+def deep_components(spark, sf_dir):
+    return spans.components(spans.span_table(datasets.deep_logs(spark, sf_dir)))
+
+
+@registered("q_deep_context", _DEEP + "SELECT span_id, seq, moment AS ts_ns FROM hr WHERE root = 43")
+def deep_context(spark, sf_dir):
+    logs = datasets.deep_logs(spark, sf_dir)
+    return spans.context(logs, spans.span_table(logs), 700).select("span_id", "seq", "ts_ns")
+
+
+@registered("q_deep_growth", _DEEP + "SELECT span_id FROM hp WHERE root = 43")
+def deep_growth(spark, sf_dir):
+    """The component among the spans before number 500, then grown by all later ones at once."""
+    table = spans.span_table(datasets.deep_logs(spark, sf_dir)).select("span_id", "parent_span")
+    old = spans.component(table.where("span_id < 500"), 43)
+    return spans.extend_component(old, table.where("span_id >= 500"))
+
+
+@registered("q_deep_duration", _DEEP + "SELECT seq FROM hr WHERE end_ns - ts_ns > 100000000")
+def deep_duration(spark, sf_dir):
+    return where(datasets.deep_logs(spark, sf_dir), "$span_duration > 100ms").select("seq")
+
+
+@registered("q_deep_span_logs", _DEEP + "SELECT seq, moment AS ts_ns FROM hr WHERE span_id = 700")
+def deep_span_logs(spark, sf_dir):
+    return spans.span_logs(datasets.deep_logs(spark, sf_dir), 700).select("seq", "ts_ns")
+
+
+# more scans
+
+
+@registered("q_scan_both_ways", EVENTS + "SELECT seq, 'back' AS way FROM ev WHERE value > 50")
+def scan_both_ways(spark, sf_dir):
+    """Split at the last row: all that is there goes backwards, nothing is ahead yet."""
+    back, ahead = scans.bidirectional(datasets.events(spark, sf_dir), "value > 50")
+    return back.select("seq", F.lit("back").alias("way")).unionAll(ahead.select("seq", F.lit("ahead").alias("way")))
+
+
+@registered("q_scan_callback", EVENTS + "SELECT seq FROM ev WHERE value > 50 ORDER BY seq DESC LIMIT 50")
+def scan_callback(spark, sf_dir):
+    """The feature is that the callback ends the scan, here after fifty rows."""
+    seen: list[tuple[int]] = []
+    scans.each(datasets.events(spark, sf_dir), "value > 50", lambda r: seen.append((r["seq"],)) or len(seen) < 50)
+    return spark.createDataFrame(seen, "seq long")
+
+
+@registered("q_scan_iterate", "SELECT n_nationkey AS seq, n_name AS name, row_number() OVER (ORDER BY n_nationkey DESC) - 1 AS place FROM nation")
+def scan_iterate(spark, sf_dir):
+    """Rows one by one, newest first, over a table that is small by nature."""
+    nation = datasets.table(spark, sf_dir, "nation").select(F.lit(0).alias("generation"), F.col("n_nationkey").cast("long").alias("seq"), "n_name")
+    rows = [(r["seq"], r["n_name"], i) for i, r in enumerate(scans.iterate(nation, newest_first=True))]
+    return spark.createDataFrame(rows, "seq long, name string, place long")
+
+
+def with_place(df: DataFrame) -> DataFrame:
+    """Adds ``place`` from 1 in the order of a sorted table: partitions are counted, never gathered."""
+    numbered = materialise(df.withColumn("__m", F.monotonically_increasing_id()))
+    part = F.shiftright("__m", 33)
+    offset, offsets = 0, []
+    for row in numbered.groupBy(part.alias("p")).count().orderBy("p").collect():  # one row per partition
+        offsets.append((row["p"], offset))
+        offset += row["count"]
+    if not offsets:
+        return numbered.withColumn("place", F.lit(0).cast("long")).drop("__m")
+    start = F.element_at(F.create_map(*[F.lit(int(x)) for pair in offsets for x in pair]), part)
+    return numbered.withColumn("place", start + F.col("__m").bitwiseAND((1 << 33) - 1) + 1).drop("__m")
 
 
 def queries() -> dict[str, Run]:
+    from emberlog.plans import roundtrips  # noqa: F401  registers on import
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.functions.display import whole
 from emberlog.functions.model import KIND, LOGS
 
 HANDLERS = ("list_users", "get_user", "update_user", "create_order", "list_orders")
@@ -36,7 +37,7 @@ def workload(spark: SparkSession, spans: int, seed: int = 7, per_generation: int
         F.floor(F.col("seq") / per_generation).cast("int").alias("generation"),
         "seq",
         ts_ns.alias("ts_ns"),
-        F.timestamp_micros(F.floor(ts_ns / 1000).cast("long")).alias("ts"),
+        F.timestamp_micros(whole(ts_ns, 1000)).alias("ts"),
         F.when((step == 3) & (pick(20, 6) == 0), 3).otherwise(F.when(step == 0, 1).otherwise(0)).cast("byte").alias("level"),
         F.when(step.isin(1, 2), "app::db").otherwise("app::http").alias("target"),
         F.element_at(F.array(*map(F.lit, ("Request received", "Row fetched", "Row updated", "Request done"))), (step + 1).cast("int")).alias("message"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.functions.display import whole
 from emberlog.functions.model import KIND, LOGS
 from emberlog.operators.filters import where
 from emberlog.operators.scans import RETAINED
@@ -72,7 +73,7 @@ def validate(df: DataFrame) -> dict[str, int]:
         "parent": up.isNotNull() & (F.coalesce(kind, F.lit(9)) != 0),
         "fields": F.col("fields").isNull() | F.exists(F.map_values("fields"), lambda v: v.isNull() | ~v["kind"].between(0, 8)),
     }
-    rules |= {"time": F.col("ts").isNotNull() & (F.unix_micros("ts") != F.floor(F.col("ts_ns") / 1000)), "value": F.exists(F.map_values("fields"), lambda v: ~_fits(v))}
+    rules |= {"time": F.col("ts").isNotNull() & (F.unix_micros("ts") != whole(F.col("ts_ns"), 1000)), "value": F.exists(F.map_values("fields"), lambda v: ~_fits(v))}
     row = df.agg(*[F.count_if(F.coalesce(r, F.lit(False))).alias(k) for k, r in rules.items()]).first()
     repeated = df.groupBy("generation", "seq").count().where("count > 1").count()
     found = {k: row[k] for k in rules if row[k]}
