@@ -23,7 +23,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
 #: Names that operators use themselves.
-CLASHES = ["size", "key", "k", "c", "n", "id", "row", "score", "digest", "copies", "__i"]
+CLASHES = ["size", "key", "k", "c", "n", "id", "row", "rows", "score", "digest", "copies", "__i", "__t", "__n", "__score", "__k", "__fp", "__rows", "__copies", "__hk", "k0", "c0", "u", "q", "p", "bin", "tie", "digits", "root", "chars"]
 
 
 @pytest.fixture(scope="module")
@@ -812,6 +812,25 @@ def test_components_with_the_same_least_id_stay_apart(spark):
 # pipeline
 
 
+def test_pipeline_on_odd_tables(odd, labels, tmp_path):
+    """Nulls, empty and long texts, repeated rows, extra and clashing columns, and an empty table, stage by stage."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline", exc_type=ModuleNotFoundError)
+    spark = odd.sparkSession
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    more = odd.withColumn("tags", F.create_map(F.lit("a"), F.lit(1)))
+    for docs in (more, empty(more)):
+        names, before = docs.columns, docs.count()
+        for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = materialise(stage(spark, docs, str(tmp_path)))
+            if i + 1 < len(corpus_pipeline.STAGES):
+                assert docs.columns == names, name
+            if i < 3:
+                assert docs.count() <= before, name
+            before = docs.count()
+        assert docs.columns == ["doc_id", "source", "ids", "n_pieces", "n_bytes_fallback", "round_trip"]
+        assert all(r["round_trip"] for r in docs.collect())
+
+
 def test_pipeline(spark, sf_dir):
     corpus_pipeline = pytest.importorskip("corpus_pipeline", exc_type=ModuleNotFoundError)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
