@@ -276,7 +276,7 @@ def entry_counts(spark, sf_dir):
 # projections
 
 
-@registered("q_display", EVENTS + "SELECT seq, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '000Z' AS at, user_id AS user, value AS number, value > 100 AS big, epoch_us(ts) // 1000 * 1000000 AS at_ns, CASE WHEN value >= 31.62 AND value < 1000 THEN CAST(CAST(round_even(value, 0) AS BIGINT) AS VARCHAR) || 'ms' END AS took FROM ev")
+@registered("q_display", EVENTS + "SELECT seq, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '000Z' AS at, user_id AS user, value AS number, value > 100 AS big, epoch_us(ts) // 1000 * 1000000 AS at_ns, CASE WHEN value >= 31.62 AND value < 1000 THEN CAST(CAST(round(value / 1000.0 * 1000.0, 0) AS BIGINT) AS VARCHAR) || 'ms' END AS took FROM ev")
 def display_values(spark, sf_dir):
     df = datasets.event_logs(spark, sf_dir)
     v = F.col("fields")

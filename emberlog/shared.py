@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,10 +39,17 @@ def materialise(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_dir(spark))
+    with dropping_shuffles(spark):
+        return df.select("*").checkpoint(eager=True)
+
+
+@contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Results of plans made within drop their shuffle files when they are there."""
     before = spark.conf.get(CLEANUP_CONF, None)
+    spark.conf.set(CLEANUP_CONF, "true")
     try:
-        spark.conf.set(CLEANUP_CONF, "true")  # read when the plan is made, hence the new select
-        return df.select("*").checkpoint(eager=True)
+        yield
     finally:
         spark.conf.unset(CLEANUP_CONF) if before is None else spark.conf.set(CLEANUP_CONF, before)
 
