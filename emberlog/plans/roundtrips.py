@@ -309,9 +309,9 @@ def stream_open_spans(spark, sf_dir, path):
     """
     made = _last_batches(live.open_spans(_landed(spark, datasets.deep_logs(spark, sf_dir), path)), "update", path)
     last = made.groupBy("span_id").agg(F.max_by(F.struct("parent_span", "start_ts_ns", "span_duration_ns", "n_rows", "ended"), F.struct("batch", "closed")).alias("s"), F.bool_or("closed").alias("left"))
-    newest = datasets.events(spark, sf_dir).agg(F.max("ts_ns").alias("newest"))
-    due = F.col("s.start_ts_ns") <= F.col("newest") - 7_200_000_000_000
-    return last.crossJoin(F.broadcast(newest)).select("span_id", "s.parent_span", "s.span_duration_ns", "s.n_rows", "s.ended", (due & F.col("left")).alias("closed"))
+    newest = datasets.events(spark, sf_dir).agg(F.max("ts_ns")).first()[0]
+    due = F.col("s.start_ts_ns") <= F.lit((newest or 0) - 7_200_000_000_000)
+    return last.select("span_id", "s.parent_span", "s.span_duration_ns", "s.n_rows", "s.ended", (due & F.col("left")).alias("closed"))
 
 
 @registered("q_stream_growth", _DEEP + "SELECT span_id FROM hp WHERE root = 43")
