@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.shared import materialise, remove, shared_path
+from emberlog.shared import dropping_shuffles, materialise, remove, shared_path
 
-__all__ = ["arrow_map", "byte_values", "flat_bytes", "labelled_sample", "learnable", "lookup", "materialise", "release", "remove", "shared_path", "within"]
+__all__ = ["arrow_map", "byte_values", "dropping_shuffles", "flat_bytes", "labelled_sample", "learnable", "lookup", "materialise", "release", "remove", "shared_path", "within"]
 
 #: A key is hot when it stands for more than one in HOT_SHARE of all rows, or in the number of partitions where
 #: that is more; so at most as many keys are hot, and no other fills a partition.

@@ -29,16 +29,18 @@ rows score alike, an empty table gives an empty result, and other columns are no
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections import Counter
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, learnable, materialise, release
+from .common import dropping_shuffles, labelled_sample, learnable, materialise, release, remove, shared_path
+from .token_count import _balanced
 
 SAMPLE = 8000
 #: Lengths, in characters, of the beginnings of words that are terms.
@@ -54,8 +56,8 @@ FLOOR = 2.0
 STEPS = 60
 #: A walk ends when a step moves less than this part of it.
 SETTLED = 0.003
-#: Words of the corpus per bucket of edges, and pairs that a task holds before it passes them on.
-BUCKET_WORDS, HELD_PAIRS = 2_000_000, 6_000_000
+#: Words of the corpus per bucket of edges, pairs that a task holds before it passes them on, bytes of text taken at once.
+BUCKET_WORDS, HELD_PAIRS, SLICE = 1_000_000, 6_000_000, 4 << 20
 #: Log-likelihood ratio from which a term is a seed: among all documents, and among those left over.
 SIGNIFICANT = 24.0
 COVERING = 16.0
@@ -151,36 +153,55 @@ def _sample_terms(batches):
         )
 
 
-class Nodes(dict):
-    """Bounded memo from a word to the number of its node, or -1; the nodes are two arrays by hash."""
+def tokens(raws: list[str], once: bool = False) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words of some texts, the number of each word in order, and the words of each text; ``once``: a text's
+    words without repeats."""
+    lists = [set(words_of(r)) if once else words_of(r) for r in raws]
+    coded = pa.array(list(chain.from_iterable(lists)), pa.string()).dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64), np.fromiter(map(len, lists), np.int64, len(lists))
+
+
+class Nodes:
+    """Numbers of nodes by the hash of their term, in two arrays."""
 
     def __init__(self, hashes: np.ndarray) -> None:
-        super().__init__()
         order = np.argsort(hashes)
         self.hashes, self.numbers = hashes[order], order.astype(np.int32)
-        self.view = memoryview(self.hashes)
+        self.memo: dict[str, int] = {}
+
+    def find(self, terms: list[str]) -> np.ndarray:
+        """Numbers of terms, -1 where there is no such node."""
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, terms), np.uint64, len(terms))
+        if not len(self.hashes):
+            return np.full(len(terms), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.numbers[at], -1)
+
+    def resolve(self, words: list[str]) -> np.ndarray:
+        """The node of each word: its own, or that of its longest beginning that is one, or -1.
+
+        Words met lately are kept in a bounded memo.
+        """
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        out = np.fromiter(map(self.memo.get, words, repeat(-2)), np.int32, len(words))
+        at = np.flatnonzero(out == -2)
+        fresh = [words[i] for i in at.tolist()]
+        found = self.find(fresh)
+        for k in reversed(STEMS):
+            left = [i for i in np.flatnonzero(found < 0).tolist() if len(fresh[i]) > k]
+            found[left] = self.find([fresh[i][:k] + "*" for i in left])
+        out[at] = found
+        self.memo.update(zip(fresh, found.tolist()))
+        return out
 
     def __reduce__(self):
         back = np.empty_like(self.hashes)
         back[self.numbers] = self.hashes
         return Nodes, (back,)
 
-    def find(self, term: str) -> int:
-        h = xxhash.xxh3_64_intdigest(term)
-        at = bisect_left(self.view, h)
-        return int(self.numbers[at]) if at < len(self.view) and self.view[at] == h else -1
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > MEMO:
-            self.clear()
-        found = self.find(word)
-        for k in reversed(STEMS):
-            if found >= 0:
-                break
-            if len(word) > k:
-                found = self.find(word[:k] + "*")
-        self[word] = found
-        return found
+    def __getitem__(self, word: str) -> int:
+        return int(self.resolve([word])[0])
 
 
 def _word_counts(batches):
@@ -202,9 +223,10 @@ def _word_counts(batches):
             words = words_of(raw)
             docs.update(set(words))
             all_.update(words)
-            if len(all_) > 2 * MEMO:
+            if len(all_) > MEMO:
                 yield from rows()
     yield from rows()
+    release()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -243,11 +265,16 @@ def supported(docs: DataFrame, support: int | None = None) -> DataFrame:
     """(term, n, hash) of every node; a beginning ends in a star and counts the words that go by it."""
     if support is None:
         support = max(SUPPORT, int(np.ceil(SUPPORT_SHARE * docs.count())))
-    counts = materialise(word_counts(docs))
+    spark, path = docs.sparkSession, shared_path(docs.sparkSession, "words")
+    with dropping_shuffles(spark):
+        word_counts(docs).write.parquet(path)
+    counts = spark.read.parquet(path)
     rare = counts.where((F.col("docs") < support) & (F.length("term") > STEMS[0]))
     stems = rare.repartition(F.substring("term", 1, STEMS[0])).mapInArrow(_beginnings(support), "term string, n long")
     both = counts.where(F.col("docs") >= support).select("term", "n").unionByName(stems)
-    return materialise(both.mapInArrow(_hashed, "term string, n long, hash long"))
+    out = materialise(both.mapInArrow(_hashed, "term string, n long, hash long"))
+    remove(spark, path)
+    return out
 
 
 def _planes(values: np.ndarray) -> np.ndarray:
@@ -280,15 +307,13 @@ def folded(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[starts], np.add.reduceat(counts, starts)
+    return keys[starts], np.add.reduceat(counts, starts, dtype=np.int64)
 
 
 def _pairs(nodes: Nodes, buckets: int):
     """Per task: blobs of pair counts by bucket, x the smaller number."""
 
     def run(batches):
-        get = nodes.__getitem__
-        gap = np.full(WINDOW, -1)
         size = len(nodes.hashes)
         # sorted by bucket, then x, then y
         rows = -(-size // buckets)
@@ -296,17 +321,32 @@ def _pairs(nodes: Nodes, buckets: int):
         counts: list[np.ndarray] = []
 
         def flush():
-            k, n = folded(np.concatenate(keys), np.concatenate(counts))
+            """Folds what is held by runs of whole buckets, each a small part of all."""
+            bucket_keys = rows * size
+            blobs, at = [], []
+            step = max(1, buckets // 16)
+            for low in range(0, buckets, step):
+                edges = [(np.searchsorted(k, low * bucket_keys), np.searchsorted(k, (low + step) * bucket_keys)) for k in keys]
+                if not any(j > i for i, j in edges):
+                    continue
+                k, n = folded(np.concatenate([k[i:j] for k, (i, j) in zip(keys, edges)]), np.concatenate([c[i:j] for c, (i, j) in zip(counts, edges)]))
+                line, y = np.divmod(k, size)
+                bucket, row = np.divmod(line, rows)
+                cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+                for i, j in zip(cuts, cuts[1:]):
+                    at.append(int(bucket[i]))
+                    blobs.append(pack(row[i:j] * buckets + bucket[i], y[i:j], n[i:j], buckets))
             keys.clear()
             counts.clear()
-            line, y = np.divmod(k, size)
-            bucket, row = np.divmod(line, rows)
-            edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-            blobs = [pack(row[i:j] * buckets + bucket[i], y[i:j], n[i:j], buckets) for i, j in zip(edges, edges[1:])]
-            return pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "pairs"])
-
-        def count(held):
-            ids = np.concatenate(held)
+            return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "pairs"])
+
+        def count(raws):
+            words, at, sizes = tokens(raws)
+            if not words:
+                return
+            # words in a row, with a gap after each text
+            ids = np.full(len(at) + WINDOW * len(raws), -1, np.int64)
+            ids[np.arange(len(at)) + WINDOW * np.repeat(np.arange(len(raws)), sizes)] = nodes.resolve(words)[at]
             found = []
             for k in range(1, WINDOW + 1):
                 x, y = ids[:-k], ids[k:]
@@ -316,23 +356,16 @@ def _pairs(nodes: Nodes, buckets: int):
             k, n = np.unique(np.concatenate(found), return_counts=True)
             if len(k):
                 keys.append(k)
-                counts.append(n)
+                counts.append(n.astype(np.uint32))
 
-        held, weight = [], 0
         for b in batches:
-            for raw in texts_of(b.column(0)):
-                words = words_of(raw)
-                held += [np.fromiter(map(get, words), np.int64, len(words)), gap]
-                weight += len(words)
-                if weight > 500_000:
-                    count(held)
-                    held, weight = [], 0
-                    if sum(map(len, keys)) > HELD_PAIRS:
-                        yield flush()
-        if held:
-            count(held)
+            for at, part in _balanced(b.column(0), SLICE):
+                count(texts_of(b.column(0).slice(at, part)))
+                if sum(map(len, keys)) > HELD_PAIRS:
+                    yield flush()
         if keys:
             yield flush()
+        release()
 
     return run
 
@@ -376,7 +409,11 @@ def cooccurrence(docs: DataFrame, index: dict[str, int]) -> tuple[np.ndarray, np
 
 def edge_weights(x: np.ndarray, y: np.ndarray, n: np.ndarray, share: np.ndarray, level: float) -> np.ndarray:
     """Pointwise mutual information of pairs: log n - log of all pairs - the words' log shares."""
-    return np.log(n).astype(np.float32) + np.float32(level) - share[x] - share[y]
+    small = np.log(np.maximum(np.arange(1 << 12), 1)).astype(np.float32)
+    logs = small[np.minimum(n, len(small) - 1)]
+    large = np.flatnonzero(n >= len(small))
+    logs[large] = np.log(n[large])
+    return logs + np.float32(level) - share[x] - share[y]
 
 
 def _moved(buckets: int, share: np.ndarray, level: float, rates: np.ndarray):
@@ -389,12 +426,16 @@ def _moved(buckets: int, share: np.ndarray, level: float, rates: np.ndarray):
             for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 x, y, n = unpack(blob, k, buckets)
                 weight = edge_weights(x, y, n, share, level)
-                ok = weight > 0
+                ok = np.flatnonzero(weight > 0)
+                if not len(ok):
+                    continue
                 x, y, weight = x[ok], y[ok], weight[ok]
                 back = np.where(x != y, weight, 0)
+                runs = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))  # pairs are sorted by x
+                heads = x[runs]
                 for walk_, rate in zip(out, rates):
                     walk_ += np.bincount(y, weight * rate[x], size)
-                    walk_ += np.bincount(x, back * rate[y], size)
+                    walk_[heads] += np.add.reduceat(back * rate[y], runs, dtype=np.float64)
         for low in range(0, size, RANGE):
             part = out[:, low : low + RANGE]
             if part.any():
@@ -437,21 +478,29 @@ def walks(pairs: DataFrame, counts: np.ndarray, buckets: int, starts: np.ndarray
 
     def moved(rates: np.ndarray) -> np.ndarray:
         total = np.zeros(rates.shape)
-        each = tasks.mapInArrow(_moved(buckets, share, level, rates.astype(np.float32)), "part int, moved binary")
-        for r in each.repartition("part").mapInArrow(_added(len(rates)), "part int, moved binary").collect():
+        with dropping_shuffles(pairs.sparkSession):
+            each = tasks.mapInArrow(_moved(buckets, share, level, rates.astype(np.float32)), "part int, moved binary")
+            sums = each.repartition("part").mapInArrow(_added(len(rates)), "part int, moved binary").collect()
+        for r in sums:
             low = r["part"] * RANGE
             total[:, low : low + RANGE] = np.frombuffer(r["moved"], np.float32).reshape(len(rates), -1)
         return total
 
     out = moved(np.ones((1, len(counts))))[0]
     scale = np.divide(1.0, out, out=np.zeros_like(out), where=out > 0)
-    rates = starts
-    for _ in range(STEPS):
+    before = rates = starts
+    # Chebyshev semi-iteration (Golub and Varga, 1961): the graph is symmetric, so the walk's eigenvalues are real and
+    # at most 1 - RESTART in size; each step corrects the one before, and about half as many are needed
+    pull = 1.0
+    for k in range(STEPS):
         come = (1 - RESTART) * moved(rates * scale)
-        before, rates = rates, come + (1 - come.sum(axis=1, keepdims=True)) * starts
-        if np.abs(rates - before).sum(axis=1).max() < settled:
-            break
-    return rates
+        step = come + (1 - come.sum(axis=1, keepdims=True)) * starts
+        if np.abs(step - rates).sum(axis=1).max() < settled:
+            return step
+        if k:
+            pull = 1 / (1 - (1 - RESTART) ** 2 * pull / (2 if k == 1 else 4))
+        before, rates = rates, pull * (step - before) + before if k else step
+    return np.maximum(rates, 0.0)
 
 
 def polarities(up: np.ndarray, down: np.ndarray) -> np.ndarray:
@@ -484,23 +533,30 @@ class Lexicon:
         self.edge, self.model = edge, model
         self.held = np.where(self.polarity > 0, 1 / (1 + np.exp(-8.0 * (self.polarity - edge))), 0)
 
-    def inputs(self, hits: list[int], distinct: int) -> list[float]:
-        """From the nodes of a text's distinct words: the four strongest, their sum and its share of the words."""
-        held = self.held[hits] if len(hits) else np.zeros(0)
-        top = np.zeros(4)
-        best = np.sort(held)[::-1][:4]
-        top[: len(best)] = best
-        return [1.0, *top, np.log1p(held.sum()), min(5.0, 100 * held.sum() / max(distinct, 1))]
-
-    def hits(self, words) -> list[int]:
-        return sorted({i for i in map(self.nodes.__getitem__, words) if i >= 0})
+    def inputs(self, doc: np.ndarray, node: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+        """Of documents by number, from their distinct nodes, sorted by both, and their numbers of distinct words:
+        the four strongest, their sum and its share of the words."""
+        held = self.held[node]
+        out = np.zeros((len(distinct), INPUTS))
+        out[:, 0] = 1.0
+        order = np.lexsort((-held, doc))
+        sizes = np.bincount(doc, minlength=len(distinct))
+        place = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        top = place < 4
+        out[doc[top], 1 + place[top]] = held[order[top]]
+        total = np.bincount(doc, held, len(distinct))
+        out[:, 5], out[:, 6] = np.log1p(total), np.minimum(5.0, 100 * total / np.maximum(distinct, 1))
+        return out
 
     def score(self, raws: list[str]) -> np.ndarray:
-        rows = []
-        for raw in raws:
-            words = set(words_of(raw))
-            rows.append(self.inputs(self.hits(words), len(words)))
-        return 1 / (1 + np.exp(-np.clip(np.array(rows).reshape(-1, INPUTS) @ self.model, -30, 30)))
+        words, ids, sizes = tokens(raws, once=True)
+        node = self.nodes.resolve(words)[ids] if words else np.zeros(0, np.int64)
+        ok = np.flatnonzero(node >= 0)
+        ok = ok[self.held[node[ok]] > 0]  # others add nothing
+        size = max(len(self.polarity), 1)
+        both = np.unique(np.repeat(np.arange(len(raws)), sizes)[ok] * size + node[ok])
+        x = self.inputs(both // size, both % size, sizes)
+        return 1 / (1 + np.exp(-np.clip(x @ self.model, -30, 30)))
 
 
 def choose_seeds(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, terms: int) -> tuple[list[int], list[int]]:
@@ -543,6 +599,12 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     return beta
 
 
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The rows of a column of lists of ints, as views of one array."""
+    whole = column.combine_chunks()
+    return np.split(whole.flatten().to_numpy(), np.cumsum(pc.list_value_length(whole).to_numpy())[:-1])
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Lexicon | None:
     """Graph over all of ``docs``, seeds, polarities and score model; None without both labels."""
     sample = labelled_sample(docs.select("doc_id", "text"), labels, "toxic", MODULUS, HELD, rows)
@@ -563,7 +625,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Lexicon | N
     g = 2 * (term(F.col("a"), na, qa) + term(F.col("b"), nb, qb) - term(F.col("a"), na, p) - term(F.col("b"), nb, p))
     rated = per.withColumn("g", g).withColumn("toxic", qa > qb)
     noticed = rated.where((F.col("toxic") & (F.col("g") >= NOTICED)) | (F.col("b") >= COMMON * nb))
-    found = [(-r["g"], len(r["term"]), r["term"]) for r in noticed.select("term", "g").collect()]
+    terms = noticed.select("term", "g").toArrow()
+    found = [(-g, len(t), t) for t, g in zip(terms["term"].to_pylist(), terms["g"].to_pylist())]
     if not found:
         return None
     chosen = [t for _, _, t in sorted(found)]  # numbers follow strength
@@ -581,14 +644,16 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Lexicon | N
         for b in batches:
             words = b.column(1).to_pylist()
             found = [sorted({i for i in map(get, ws) if i >= 0}) for ws in words]
-            at = [sorted({i for i in map(nodes.__getitem__, ws) if i >= 0}) for ws in words]
+            each = list(set().union(*words))
+            node = dict(zip(each, nodes.resolve(each).tolist()))
+            at = [sorted({i for i in map(node.__getitem__, ws) if i >= 0}) for ws in words]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(2), pa.array(found, pa.list_(pa.int32())), pa.array(at, pa.list_(pa.int32())), pa.array([len(w) for w in words], pa.int32())], names=["y", "weight", "hits", "nodes", "distinct"]
             )
 
     made = sample.mapInArrow(hits, "y int, weight double, hits array<int>, nodes array<int>, distinct int").toArrow()
     y = made["y"].to_numpy()
-    toxic, neutral = choose_seeds([np.array(h, np.int32) for h in made["hits"].to_pylist()], y, made["weight"].to_numpy(), len(chosen))
+    toxic, neutral = choose_seeds(_lists(made["hits"]), y, made["weight"].to_numpy(), len(chosen))
     if not toxic or not neutral:
         return None
     # a seed's share of the restarts goes to its nodes by their counts
@@ -606,11 +671,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Lexicon | N
     buckets = 4 + int(counts.sum()) // BUCKET_WORDS
     up, down = walks(pair_table(docs, nodes, buckets), counts, buckets, starts)
     lexicon = Lexicon(nodes, polarities(up, down))
-    hits_of, distinct = [np.array(h, np.int64) for h in made["nodes"].to_pylist()], made["distinct"].to_pylist()
+    hits_of, distinct = _lists(made["nodes"]), made["distinct"].to_numpy()
+    doc = np.repeat(np.arange(len(hits_of)), [len(h) for h in hits_of])
+    node = np.concatenate(hits_of).astype(np.int64)
     best = -np.inf
     for edge in np.linspace(0.4, 2.2, 10):
         lexicon.fitted(float(edge), lexicon.model)
-        x = np.array([lexicon.inputs(h, n) for h, n in zip(hits_of, distinct)])
+        x = lexicon.inputs(doc, node, distinct)
         model = logistic(x, y.astype(float))
         p = np.clip(1 / (1 + np.exp(-x @ model)), 1e-9, 1 - 1e-9)
         fits = (y * np.log(p) + (1 - y) * np.log(1 - p)).sum()
@@ -622,10 +689,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Lexicon | N
 
 def _score(lexicon: Lexicon | None, extra: list[str]):
     def run(batches):
-        for b in batches:
-            raws = texts_of(b.column(0))
-            scores = np.full(len(raws), 0.5) if lexicon is None else lexicon.score(raws)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(scores, pa.float64())], names=[*extra, "__score"])
+        for whole in batches:
+            for at, size in _balanced(whole.column(0), SLICE):
+                b = whole.slice(at, size)
+                raws = texts_of(b.column(0))
+                scores = np.full(len(raws), 0.5) if lexicon is None else lexicon.score(raws)
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(scores, pa.float64())], names=[*extra, "__score"])
+        release()
 
     return run
 
