@@ -78,7 +78,8 @@ def keys_summary(df: DataFrame) -> DataFrame:
     drop the others before they travel, so no list and no task grows with a key's distinct values.
     """
     if "fields" in df.columns:
-        pairs = df.select(F.explode("fields").alias("key", "v")).select("key", F.col("v.kind").alias("kind"), display(F.col("v")).alias("value"))
+        # outer, since a plain explode makes the optimizer build the fields once more to see whether there are any
+        pairs = df.select(F.explode_outer("fields").alias("key", "v")).where(F.col("key").isNotNull()).select("key", F.col("v.kind").alias("kind"), display(F.col("v")).alias("value"))
     else:
         names = [f.name for f in df.schema if kind_of(f.dataType)]
         kinds = {f.name: KIND[kind_of(f.dataType)] for f in df.schema if f.name in names}
