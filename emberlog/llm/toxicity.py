@@ -30,6 +30,7 @@ rows score alike, an empty table gives an empty result, and other columns are no
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from itertools import chain, repeat
 
 import numpy as np
@@ -235,10 +236,14 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return each.groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
 
 
+def _with_hashes(term: pa.Array, n: pa.Array) -> pa.RecordBatch:
+    hashes = np.array([xxhash.xxh3_64_intdigest(t) for t in term.to_pylist()], np.uint64).view(np.int64)
+    return pa.RecordBatch.from_arrays([term, n, pa.array(hashes, pa.int64())], names=["term", "n", "hash"])
+
+
 def _hashed(batches):
     for b in batches:
-        hashes = np.array([xxhash.xxh3_64_intdigest(t) for t in b.column(0).to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hashes, pa.int64())], names=["term", "n", "hash"])
+        yield _with_hashes(b.column(0), b.column(1))
 
 
 def _beginnings(support: int):
@@ -256,7 +261,9 @@ def _beginnings(support: int):
                 if len(term) > k and docs[term[:k]] >= support:
                     n[term[:k] + "*"] += m
                     break
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
+        del words, docs
+        yield _with_hashes(pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()))
+        release()
 
     return run
 
@@ -270,25 +277,28 @@ def supported(docs: DataFrame, support: int | None = None) -> DataFrame:
         word_counts(docs).write.parquet(path)
     counts = spark.read.parquet(path)
     rare = counts.where((F.col("docs") < support) & (F.length("term") > STEMS[0]))
-    stems = rare.repartition(F.substring("term", 1, STEMS[0])).mapInArrow(_beginnings(support), "term string, n long")
-    both = counts.where(F.col("docs") >= support).select("term", "n").unionByName(stems)
-    out = materialise(both.mapInArrow(_hashed, "term string, n long, hash long"))
+    # both sides hash their own terms: a function over the union would be a second Python worker beside that of each task
+    kind = "term string, n long, hash long"
+    stems = rare.repartition(F.substring("term", 1, STEMS[0])).mapInArrow(_beginnings(support), kind)
+    out = materialise(counts.where(F.col("docs") >= support).select("term", "n").mapInArrow(_hashed, kind).unionByName(stems))
     remove(spark, path)
     return out
 
 
 def _planes(values: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).ravel()
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T
 
 
 def pack(x: np.ndarray, y: np.ndarray, n: np.ndarray, buckets: int) -> bytes:
     """Pairs of one bucket, sorted by x and y: differences by byte planes, compressed."""
-    row = x // buckets
-    dx = np.diff(row, prepend=0)
+    raw = np.empty((3, 4, len(x)), np.uint8)
+    dx = np.diff(x // buckets, prepend=0)
+    raw[0] = _planes(dx)
     dy = y.copy()
-    dy[1:] -= np.where(dx[1:] == 0, y[:-1], 0)
-    raw = np.concatenate([_planes(dx), _planes(dy), _planes(np.minimum(n, 0xFFFFFFFF))]).tobytes()
-    return len(x).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    np.subtract(dy[1:], y[:-1], out=dy[1:], where=dx[1:] == 0)
+    raw[1] = _planes(dy)
+    raw[2] = _planes(np.minimum(n, 0xFFFFFFFF))
+    return len(x).to_bytes(8, "little") + pa.compress(pa.py_buffer(raw), codec="zstd", asbytes=True)
 
 
 def unpack(blob: bytes, bucket: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -310,6 +320,15 @@ def folded(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[starts], np.add.reduceat(counts, starts, dtype=np.int64)
 
 
+def folded_runs(keys: list[np.ndarray], counts: list[np.ndarray], cuts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``folded`` of several arrays that are sorted, in runs of keys from one cut to the next, each a small part of all."""
+    ends = [np.searchsorted(k, cuts) for k in keys]
+    for r in range(len(cuts) - 1):
+        parts = [(a, e[r], e[r + 1]) for a, e in enumerate(ends) if e[r] < e[r + 1]]
+        if parts:
+            yield folded(np.concatenate([keys[a][i:j] for a, i, j in parts]), np.concatenate([counts[a][i:j] for a, i, j in parts]))
+
+
 def _pairs(nodes: Nodes, buckets: int):
     """Per task: blobs of pair counts by bucket, x the smaller number."""
 
@@ -321,50 +340,52 @@ def _pairs(nodes: Nodes, buckets: int):
         counts: list[np.ndarray] = []
 
         def flush():
-            """Folds what is held by runs of whole buckets, each a small part of all."""
-            bucket_keys = rows * size
-            blobs, at = [], []
+            """Folds what is held by runs of whole buckets and passes each run on before the next."""
             step = max(1, buckets // 16)
-            for low in range(0, buckets, step):
-                edges = [(np.searchsorted(k, low * bucket_keys), np.searchsorted(k, (low + step) * bucket_keys)) for k in keys]
-                if not any(j > i for i, j in edges):
-                    continue
-                k, n = folded(np.concatenate([k[i:j] for k, (i, j) in zip(keys, edges)]), np.concatenate([c[i:j] for c, (i, j) in zip(counts, edges)]))
+            for k, n in folded_runs(keys, counts, np.arange(0, buckets + step, step) * (rows * size)):
                 line, y = np.divmod(k, size)
                 bucket, row = np.divmod(line, rows)
                 cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-                for i, j in zip(cuts, cuts[1:]):
-                    at.append(int(bucket[i]))
-                    blobs.append(pack(row[i:j] * buckets + bucket[i], y[i:j], n[i:j], buckets))
+                at = [int(bucket[i]) for i in cuts[:-1]]
+                blobs = [pack(row[i:j] * buckets + bucket[i], y[i:j], n[i:j], buckets) for i, j in zip(cuts, cuts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "pairs"])
             keys.clear()
             counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "pairs"])
 
-        def count(raws):
+        def in_a_row(raws):
+            """Nodes of the words in a row, with a gap after each text."""
             words, at, sizes = tokens(raws)
-            if not words:
-                return
-            # words in a row, with a gap after each text
-            ids = np.full(len(at) + WINDOW * len(raws), -1, np.int64)
-            ids[np.arange(len(at)) + WINDOW * np.repeat(np.arange(len(raws)), sizes)] = nodes.resolve(words)[at]
-            found = []
+            ids = np.full(len(at) + WINDOW * len(raws), -1, np.int32)
+            if words:
+                ids[np.arange(len(at)) + WINDOW * np.repeat(np.arange(len(raws)), sizes)] = nodes.resolve(words)[at]
+            return ids
+
+        def count(texts):
+            # words are held as text for a part of the slice only
+            ids = np.concatenate([in_a_row(texts_of(texts.slice(at, part))) for at, part in _balanced(texts, SLICE // 8)])
+            found, end = np.empty(WINDOW * len(ids), np.int64), 0
             for k in range(1, WINDOW + 1):
                 x, y = ids[:-k], ids[k:]
                 ok = (x >= 0) & (y >= 0)
-                x, y = np.minimum(x[ok], y[ok]), np.maximum(x[ok], y[ok])
-                found.append((x % buckets * rows + x // buckets) * size + y)
-            k, n = np.unique(np.concatenate(found), return_counts=True)
-            if len(k):
-                keys.append(k)
-                counts.append(n.astype(np.uint32))
+                x, y = x[ok], y[ok]
+                low, high = np.minimum(x, y).astype(np.int64), np.maximum(x, y)
+                found[end : end + len(x)] = (low % buckets * rows + low // buckets) * size + high
+                end += len(x)
+            found = found[:end]
+            if end:
+                found.sort()
+                starts = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+                keys.append(found[starts])
+                counts.append(np.diff(starts, append=end).astype(np.uint32))
 
         for b in batches:
             for at, part in _balanced(b.column(0), SLICE):
-                count(texts_of(b.column(0).slice(at, part)))
+                count(b.column(0).slice(at, part))
                 if sum(map(len, keys)) > HELD_PAIRS:
-                    yield flush()
+                    yield from flush()
         if keys:
-            yield flush()
+            yield from flush()
+        nodes.memo.clear()
         release()
 
     return run
@@ -377,13 +398,27 @@ def _merged(buckets: int):
             for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 blobs.setdefault(k, []).append(blob)
         for k in sorted(blobs):
-            parts = [unpack(blob, k, buckets) for blob in blobs.pop(k)]
-            keys, n = folded(np.concatenate([(x << 32) | y for x, y, _ in parts]), np.concatenate([n for _, _, n in parts]))
-            x, y = keys >> 32, keys & 0xFFFFFFFF
+            keys, counts = [], []
+            for blob in blobs.pop(k):
+                x, y, n = unpack(blob, k, buckets)
+                keys.append((x << 32) | y)
+                counts.append(n.astype(np.uint32))
+            del x, y, n
+            # cut where the longest part has a sixteenth each
+            longest = max(keys, key=len)
+            cuts = np.unique(np.concatenate([[0], longest[:: len(longest) // 16 + 1], [np.iinfo(np.int64).max]]))
+            runs = list(folded_runs(keys, counts, cuts))
+            del keys, counts, longest
+            found, n = (np.concatenate(c) for c in zip(*runs))
+            del runs
+            x, y = found >> 32, found & 0xFFFFFFFF
+            del found
             ordered = int(n.sum() + n[x != y].sum())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k], pa.int32()), pa.array([pack(x, y, n, buckets)], pa.binary()), pa.array([ordered], pa.int64())], names=["bucket", "pairs", "ordered"]
             )
+            del x, y, n
+        release()
 
     return run
 

@@ -7,6 +7,7 @@ import gzip
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -485,6 +486,36 @@ def test_cooccurrence_counts(spark):
     assert (together == want).all() and single.tolist() == [3, 2, 2]
 
 
+def test_pair_counts_hold_little():
+    """Counting and merging pairs: right counts, and at most so many bytes at once for a byte of text and for a pair."""
+    rng = np.random.default_rng(5)
+    names = [f"w{i}" for i in range(3000)]
+    nodes = toxicity.Nodes(np.array([xxhash.xxh3_64_intdigest(w) for w in names], np.uint64))
+    drawn = (3000 * rng.random((400, 1000)) ** 2).astype(np.int64)
+    texts = pa.array([" ".join(names[i] for i in row) for row in drawn.tolist()], pa.string())
+
+    def peak(function, batches):
+        tracemalloc.start()
+        made = [r for b in function(batches) for r in b.to_pylist()]
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return made, most
+
+    blobs, counting = peak(toxicity._pairs(nodes, 4), [pa.RecordBatch.from_arrays([texts], names=["text"])])
+    sent = [b for b in blobs for _ in range(6)]  # as if six tasks had counted the same
+    merged, merging = peak(toxicity._merged(4), [pa.RecordBatch.from_pylist(sent, pa.schema([("bucket", pa.int32()), ("pairs", pa.binary())]))])
+    want = np.zeros((3000, 3000), np.int64)
+    for k in range(1, toxicity.WINDOW + 1):
+        np.add.at(want, (np.minimum(drawn[:, k:], drawn[:, :-k]), np.maximum(drawn[:, k:], drawn[:, :-k])), 1)
+    got = np.zeros_like(want)
+    for r in merged:
+        x, y, n = toxicity.unpack(r["pairs"], r["bucket"], 4)
+        got[x, y] = n
+    assert (got == 6 * want).all()
+    pairs = sum(int.from_bytes(b["pairs"][:8], "little") for b in sent) / 4
+    assert counting < 33 * texts.nbytes and merging < 45 * pairs
+
+
 def test_walks_solve_the_linear_equations(spark):
     """Weights, walks and polarities against counting pairs by hand and a linear solve, on a graph with a lone node."""
     rng = random.Random(3)
