@@ -64,7 +64,15 @@ def span_states(stream: DataFrame) -> DataFrame:
 
 
 STATES = "span_id long, parent_span long, start_ts_ns long, last_ts_ns long, n_rows long, ended boolean, span_duration_ns long, closed boolean"
-_KEPT = "parent_span long, parent_generation int, parent_seq long, start_generation int, start_seq long, start_ts_ns long, last_generation int, last_seq long, last_ts_ns long, n_rows long, ended boolean"
+#: Groups that spans are kept in by the hash of their id; a group's spans are one table in the state.
+BUCKETS = 256
+#: Columns of a kept span: the places of its parent's, its first and its last record, and when it leaves.  A record is a span of its own
+#: before spans are folded.  ``named`` is 0 while no Start has come, 1 for a Start without a parent, 2 for one with a parent.
+_KEPT = (
+    "span_id", "named", "parent", "parent_generation", "parent_seq", "start_generation", "start_seq", "start_ts_ns", "last_generation", "last_seq", "last_ts_ns", "n_rows", "ended", "due_ms",
+)
+#: Rows of a group that are held before they are folded.
+_HELD_ROWS = 65_536
 
 
 def open_spans(stream: DataFrame, ttl: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -72,44 +80,104 @@ def open_spans(stream: DataFrame, ttl: str = "1 hour", late: str = "10 minutes")
     ``ttl`` since its last record, with a last row that is ``closed``.
 
     State is kept per span, however long the span runs; ``late`` is how far behind records may come.
+    Spans are folded a group of ``BUCKETS`` at a time, by whole columns.
     """
     rows = stream.where(F.col("span_id").isNotNull()).withWatermark("ts", late)
     wait_ms = int(stream.sparkSession.sql(f"SELECT CAST(unix_millis(TIMESTAMP '1970-01-02' + INTERVAL {ttl}) - unix_millis(TIMESTAMP '1970-01-02') AS LONG)").first()[0])
-    narrow = rows.select("span_id", "generation", "seq", "ts_ns", "span_kind", "parent_span_id", "ts")
-    return narrow.groupBy("span_id").applyInPandasWithState(_span_state(wait_ms), STATES, _KEPT, "update", "EventTimeTimeout")
-
-
-def _span_state(wait_ms: int):
+    starts = F.coalesce(F.col("span_kind").isin(START_WITH_PARENT, START), F.lit(False))
+    named = F.when(~starts, 0).when(F.col("parent_span_id").isNull(), 1).otherwise(2)
+    # without nulls, so that no id passes through a double
+    narrow = rows.select(
+        F.pmod(F.xxhash64("span_id"), F.lit(BUCKETS)).alias("bucket"), "span_id", named.cast("long").alias("named"), F.coalesce("parent_span_id", F.lit(0)).alias("parent"),
+        F.col("generation").cast("long").alias("generation"), "seq", "ts_ns", F.coalesce(F.col("span_kind") == END, F.lit(False)).cast("long").alias("ended"), "ts",
+    )
+    return narrow.groupBy("bucket").applyInPandasWithState(_span_states(wait_ms), STATES, "spans binary", "update", "EventTimeTimeout")
+
+
+def _fold(spans):
+    """One row per span of a table of partial spans, in order of arrival; the first to come holds where places are equal."""
+    import numpy as np
+
+    n = len(spans["span_id"])
+    if not n:
+        return spans
+    came = np.arange(n)
+    order = np.argsort(spans["span_id"], kind="stable")
+    ids = spans["span_id"][order]
+    heads = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+
+    def least(*keys):
+        return np.lexsort((*keys[::-1], spans["span_id"]))[heads]
+
+    tails = np.append(heads[1:], n) - 1
+    parent = least(spans["named"] == 0, spans["parent_generation"], spans["parent_seq"])
+    start = least(spans["start_generation"], spans["start_seq"])
+    last = np.lexsort((-came, spans["last_seq"], spans["last_generation"], spans["span_id"]))[tails]
+    out = {c: spans[c][parent] for c in _KEPT[:5]} | {c: spans[c][start] for c in _KEPT[5:8]} | {c: spans[c][last] for c in _KEPT[8:11]}
+    return out | {
+        "n_rows": np.add.reduceat(spans["n_rows"][order], heads), "ended": np.maximum.reduceat(spans["ended"][order], heads), "due_ms": np.maximum.reduceat(spans["due_ms"][order], heads),
+    }
+
+
+def _span_states(wait_ms: int):
     def step(key, frames, state):
+        import numpy as np
         import pandas as pd
-
-        def row(kept: list, closed: bool):
-            up, start, last, n, ended = kept[0], kept[5], kept[8], kept[9], kept[10]
-            up = pd.array([up], dtype="Int64")
-            return pd.DataFrame({"span_id": [key[0]], "parent_span": up, "start_ts_ns": [start], "last_ts_ns": [last], "n_rows": [n], "ended": [ended], "span_duration_ns": [abs(last - start)], "closed": [closed]})
-
-        if state.hasTimedOut:
-            kept = list(state.get)
+        import pyarrow as pa
+
+        def joined(parts):
+            return {c: np.concatenate([p[c] for p in parts]) for c in _KEPT}
+
+        def only(spans, chosen):
+            return {c: x[chosen] for c, x in spans.items()}
+
+        def rows(spans, closed: bool):
+            parent = pd.arrays.IntegerArray(spans["parent"].copy(), spans["named"] != 2)
+            return pd.DataFrame(
+                {
+                    "span_id": spans["span_id"], "parent_span": parent, "start_ts_ns": spans["start_ts_ns"], "last_ts_ns": spans["last_ts_ns"], "n_rows": spans["n_rows"],
+                    "ended": spans["ended"] != 0, "span_duration_ns": np.abs(spans["last_ts_ns"] - spans["start_ts_ns"]), "closed": closed,
+                }
+            )
+
+        watermark = state.getCurrentWatermarkMs()
+        kept = {c: np.zeros(0, "int64") for c in _KEPT}
+        if state.exists:
+            table = pa.ipc.open_stream(state.get[0]).read_all()
+            kept = {c: table[c].to_numpy() for c in _KEPT}
+        fresh, held = [], 0
+        for frame in () if state.hasTimedOut else frames:
+            f = {c: frame[c].to_numpy("int64") for c in ("span_id", "named", "parent", "generation", "seq", "ts_ns", "ended")}
+            place = {f"{of}_{c}": f[c] for of in ("parent", "start", "last") for c in ("generation", "seq")}
+            fresh.append({c: f[c] for c in ("span_id", "named", "parent", "ended")} | place | {"start_ts_ns": f["ts_ns"], "last_ts_ns": f["ts_ns"], "n_rows": np.ones(len(frame), "int64"), "due_ms": np.zeros(len(frame), "int64")})
+            held += len(frame)
+            if held > _HELD_ROWS:
+                fresh = [_fold(joined(fresh))]
+                held = 0
+        if fresh:
+            fresh = _fold(joined(fresh))
+            again = np.isin(kept["span_id"], fresh["span_id"])
+            touched = _fold(joined([only(kept, again), fresh]))
+            # a span that is already past its time leaves with the next batch
+            touched["due_ms"] = np.maximum(touched["last_ts_ns"] // 10**6 + wait_ms, watermark + 1)
+            yield rows(touched, False)
+            kept = only(kept, ~again)
+        over = kept["due_ms"] < watermark
+        if over.any():
+            yield rows(only(kept, over), True)
+            kept = only(kept, ~over)
+        if fresh:
+            kept = joined([kept, touched])
+        if not len(kept["span_id"]):
             state.remove()
-            yield row(kept, True)
             return
-        kept = list(state.get) if state.exists else [None] * 9 + [0, False]
-        for frame in frames:
-            for r in frame.itertuples(index=False):
-                place = (int(r.generation), int(r.seq))
-                if r.span_kind in (START_WITH_PARENT, START) and (kept[1] is None or place < (kept[1], kept[2])):
-                    kept[0] = None if pd.isna(r.parent_span_id) else int(r.parent_span_id)
-                    kept[1], kept[2] = place
-                if kept[3] is None or place < (kept[3], kept[4]):
-                    kept[3], kept[4], kept[5] = *place, int(r.ts_ns)
-                if kept[6] is None or place > (kept[6], kept[7]):
-                    kept[6], kept[7], kept[8] = *place, int(r.ts_ns)
-                kept[9] += 1
-                kept[10] = kept[10] or r.span_kind == END
-        state.update(tuple(kept))
-        # a span that is already past its time leaves with the next batch
-        state.setTimeoutTimestamp(max(kept[8] // 10**6 + wait_ms, state.getCurrentWatermarkMs() + 1))
-        yield row(kept, False)
+        sink = pa.BufferOutputStream()
+        table = pa.table(kept)
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as f:
+            f.write_table(table)
+        state.update((sink.getvalue().to_pybytes(),))
+        # the group is called again when the first of its spans is over
+        state.setTimeoutTimestamp(max(int(kept["due_ms"].min()), watermark, 1))
 
     return step
 

@@ -352,3 +352,32 @@ def test_binary_stream(spark, tmp_path):
     (tmp_path / "a.log").write_bytes(binary_log.encode_record(1, 3, [("msg", "x")]) + binary_log.encode_record(2, 1, []))
     run(live.tail(live.binary_landing(spark, str(tmp_path)), '$level = "error"').select("message"), "binary_tail")
     assert [r[0] for r in spark.table("binary_tail").collect()] == ["x"]
+
+
+def test_open_spans_are_kept_in_groups(spark, tmp_path, monkeypatch):
+    """Many spans go through each group, which closes those that are over beside those that are not; ids and parents keep all their bits."""
+    big, n = 2**63 + 2**53 + 1, 3000
+    monkeypatch.setattr(live, "BUCKETS", 2, raising=False)
+    minute = 60_000_000_000
+    parts = [
+        [record(i, HOUR + i, span=Span(big + i, big - 1 - i if i % 2 else None, START)) for i in range(n)],
+        [record(n, 4 * HOUR, msg="later", span=Span(1, None, START))],
+        [record(n + 1 + i, 4 * HOUR + minute, span=Span(2 + i, None, START)) for i in range(9)] + [record(n + 10, 4 * HOUR + minute, span=Span(1, None, END))],
+        [record(n + 11, 4 * HOUR + 45 * minute, span=Span(1))],
+    ]
+    got, calls = [], []
+
+    def keep(batch, number):
+        rows = [tuple(r) for r in batch.collect()]
+        got.extend(rows)
+        calls.append(len(rows))
+
+    for part in parts:
+        logs(spark, part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = live.open_spans(live.landing(spark, str(tmp_path / "in")), "30 minutes", "1 minute")
+        stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(180)
+    low = big - 2**64
+    closed = sorted(r for r in got if r[-1])
+    assert closed == [(low + i, low - 1 - i if i % 2 else None, HOUR + i, HOUR + i, 1, False, 0, True) for i in range(n)] + [(2 + i, None, 4 * HOUR + minute, 4 * HOUR + minute, 1, False, 0, True) for i in range(9)]
+    assert [r for r in got if r[0] == 1][-1] == (1, None, 4 * HOUR, 4 * HOUR + 45 * minute, 3, True, 45 * minute, False)
+    assert len([r for r in got if not r[-1]]) == n + 12
