@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from emberlog.functions.binding import kind_of
 from emberlog.functions.model import KIND
 from emberlog.operators.filters import where
+from emberlog.shared import materialise
 
 MAX_KEYS = 4
 #: A key's values are listed only when there are fewer than this, each at most SMALL_BYTES long.
@@ -111,13 +113,46 @@ def entry_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("generation").agg(F.count("*").alias("n"))
 
 
-def span_latency(df: DataFrame, by: str, percentiles: Sequence[float] = (0.5, 0.9, 0.99), accuracy: int = 10_000) -> DataFrame:
-    """Percentiles of span durations by a column of the span's first record."""
+def span_latency(df: DataFrame, by: str, percentiles: Sequence[float] = (0.5, 0.9, 0.99)) -> DataFrame:
+    """Exact percentiles of span durations by a column of the span's first record."""
     from emberlog.operators.spans import span_table, with_first_record
 
     firsts = with_first_record(df, [by]).where(F.col("span_id").isNotNull()).groupBy("span_id").agg(F.first(f"first_{by}").alias(by))
     spans = span_table(df).where("n_rows > 0").select("span_id", "span_duration_ns")
     joined = firsts.join(spans, "span_id")
-    return joined.groupBy(by).agg(
-        F.count("*").alias("n"), F.percentile_approx("span_duration_ns", F.array(*map(F.lit, percentiles)), accuracy).alias("duration_ns")
-    )
+    return discrete_percentiles(joined, by, "span_duration_ns", percentiles).withColumnRenamed("values", "duration_ns")
+
+
+#: Bits of a value that are settled in one round.
+DIGIT_BITS = 16
+
+
+def discrete_percentiles(df: DataFrame, by: str, value: str, percentiles: Sequence[float]) -> DataFrame:
+    """(by, n, values): per group the smallest values that a share of the group's rows does not exceed.
+
+    Equal values are counted once for all.  Then the value at each rank is found digit by digit, from the
+    highest: a round counts the rows by their next digit, so no task holds or sorts a group.  Nulls count
+    in ``n`` only.
+    """
+    counted = materialise(df.groupBy(F.col(by).alias("__by"), F.col(value).cast("long").alias("__v")).agg(F.count("*").alias("__n")))
+    totals = materialise(counted.groupBy("__by").agg(F.sum("__n").alias("n"), F.sum(F.when(F.col("__v").isNotNull(), F.col("__n"))).alias("__rows")))
+    # shares are decimals: a product of doubles can pass a whole number
+    shares = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(Decimal(str(p))).cast("decimal(18,17)").alias("share")) for i, p in enumerate(percentiles)])
+    wanted = totals.where(F.col("__rows").isNotNull()).select("__by", "__rows", F.explode(shares).alias("s"))
+    rank = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("__rows").cast("decimal(19,0)") * F.col("s.share")).cast("long"))
+    wanted = wanted.select(F.col("__by").alias("__of"), F.col("s.at").alias("__at"), rank.alias("__rank"), F.lit(0).cast("long").alias("__high"))
+    # with the sign turned, the order of values is that of their bits
+    left = counted.where(F.col("__v").isNotNull()).select("__by", F.col("__v").bitwiseXOR(F.lit(-(2**63))).alias("__v"), "__n")
+    for shift in range(64 - DIGIT_BITS, -1, -DIGIT_BITS):
+        above = F.lit(0).cast("long") if shift + DIGIT_BITS == 64 else F.shiftrightunsigned("__v", shift + DIGIT_BITS)
+        digits = left.groupBy("__by", above.alias("__up"), F.shiftrightunsigned("__v", shift).bitwiseAND(F.lit(2**DIGIT_BITS - 1)).alias("__digit")).agg(F.sum("__n").alias("__n"))
+        met = digits.join(wanted, F.col("__by").eqNullSafe(F.col("__of")) & (F.col("__up") == F.col("__high")))
+        within = Window.partitionBy("__of", "__at").orderBy("__digit")
+        summed = met.withColumn("__sum", F.sum("__n").over(within))
+        found = summed.where((F.col("__sum") >= F.col("__rank")) & (F.col("__sum") - F.col("__n") < F.col("__rank")))
+        wanted = materialise(
+            found.select("__of", "__at", (F.col("__rank") - F.col("__sum") + F.col("__n")).alias("__rank"), F.shiftleft("__high", DIGIT_BITS).bitwiseOR(F.col("__digit")).alias("__high"))
+        )
+    value_ = F.struct("__at", F.col("__high").bitwiseXOR(F.lit(-(2**63))).alias("v"))
+    settled = wanted.groupBy("__of").agg(F.transform(F.array_sort(F.collect_list(value_)), lambda x: x["v"]).alias("values"))
+    return totals.join(settled, F.col("__by").eqNullSafe(F.col("__of")), "left").select(F.col("__by").alias(by), "n", "values")

@@ -428,7 +428,7 @@ def span_context(spark, sf_dir):
 @registered("q_span_latency", SPANS + """SELECT message, count(*) AS n, quantile_disc(duration, 0.5) AS p50, quantile_disc(duration, 0.9) AS p90, quantile_disc(duration, 0.99) AS p99
   FROM st JOIN sp USING (span_id) GROUP BY message""")
 def span_latency(spark, sf_dir):
-    """Approximate percentiles, which are exact while a group has fewer spans than the accuracy."""
+    """Exact percentiles, found digit by digit."""
     out = aggregates.span_latency(datasets.span_logs(spark, sf_dir), "message")
     return out.select("message", "n", *[F.col("duration_ns")[i].alias(c) for i, c in enumerate(("p50", "p90", "p99"))])
 

@@ -381,3 +381,15 @@ def test_open_spans_are_kept_in_groups(spark, tmp_path, monkeypatch):
     assert closed == [(low + i, low - 1 - i if i % 2 else None, HOUR + i, HOUR + i, 1, False, 0, True) for i in range(n)] + [(2 + i, None, 4 * HOUR + minute, 4 * HOUR + minute, 1, False, 0, True) for i in range(9)]
     assert [r for r in got if r[0] == 1][-1] == (1, None, 4 * HOUR, 4 * HOUR + 45 * minute, 3, True, 45 * minute, False)
     assert len([r for r in got if not r[-1]]) == n + 12
+
+
+def test_percentiles_are_exact_in_large_groups(spark):
+    """More different values than an approximation of ten thousand keeps apart; negative ones, extremes, nulls, a null group and one row."""
+    df = spark.range(60_000).selectExpr("'a' AS g", "(id * 7919) % 60000 * 1000003 - 9000000000 AS v")
+    df = df.unionAll(spark.sql("SELECT * FROM VALUES ('b', 9223372036854775807L), ('b', -9223372036854775808L), ('b', NULL), (NULL, 5L), ('c', CAST(NULL AS BIGINT)) t(g, v)"))
+    got = {r["g"]: (r["n"], r["values"]) for r in aggregates.discrete_percentiles(df, "g", "v", (0.5, 0.9, 0.99, 0.0)).collect()}
+    at = lambda i: i * 1000003 - 9000000000
+    assert got == {"a": (60_000, [at(29_999), at(53_999), at(59_399), at(0)]), "b": (3, [-(2**63), 2**63 - 1, 2**63 - 1, -(2**63)]), None: (1, [5] * 4), "c": (1, None)}
+    spread = [record(2 * i + k, HOUR + i + k * (i * 1_000_003 + 1), span=Span(i + 1, None, START if k == 0 else END), msg="m") for i in range(25_000) for k in (0, 1)]
+    (row,) = aggregates.span_latency(logs(spark, spread), "message").collect()
+    assert (row["n"], row["duration_ns"]) == (25_000, [12_499 * 1_000_003 + 1, 22_499 * 1_000_003 + 1, 24_749 * 1_000_003 + 1])
