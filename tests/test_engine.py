@@ -393,3 +393,44 @@ def test_percentiles_are_exact_in_large_groups(spark):
     spread = [record(2 * i + k, HOUR + i + k * (i * 1_000_003 + 1), span=Span(i + 1, None, START if k == 0 else END), msg="m") for i in range(25_000) for k in (0, 1)]
     (row,) = aggregates.span_latency(logs(spark, spread), "message").collect()
     assert (row["n"], row["duration_ns"]) == (25_000, [12_499 * 1_000_003 + 1, 22_499 * 1_000_003 + 1, 24_749 * 1_000_003 + 1])
+
+
+def test_columns_read_and_write_as_single_records_do():
+    """Whole batches against one record at a time: every kind, repeated and reserved keys, long records, bad bytes."""
+    import pyarrow as pa
+    from pyspark.sql.conversion import LocalDataToArrowConversion
+
+    from emberlog.functions.model import LOGS
+    from emberlog.sources import record_columns
+
+    rnd = random.Random(3)
+    kinds = [None, True, False, -(2**63), 2**64 - 1, 0, 1.5, "", "x" * 127, "y" * 128, "é🙂" * 50, b"", b"\xff\0" * 90, uuid.UUID(int=5), Duration(-0.25), Stamp(1_700_000_000_123), binary_log.Typed(binary_log.I32, -5), binary_log.Typed(binary_log.F32, 0.5)]
+    keys = ["a", "msg", "target", "seq", "level", "é", "k" * 127, "status", *[f"z{i}" for i in range(100)]]
+    spans_ = [None, Span(2**64 - 1, None, END), Span(5, 2**63 + 1, START), Span(7), Span(9, None, START)]
+    made = [binary_log.encode_record(rnd.randrange(2**62), rnd.randrange(4), [(rnd.choice(keys), rnd.choice(kinds)) for _ in range(rnd.choice([0, 1, 5, 12, 80]))], rnd.choice(spans_)) for _ in range(600)]
+    made += [binary_log.encode_record(1, 1, [("a", 1)])[:-1] + bytes([x]) for x in (0x1E, 0x7F, 0xFF)] + [bytes([3, 0, 0, binary_log.MAGIC]) + b"abc", binary_log.encode_record(1, 1, [("a", "xy")]).replace(b"xy", b"\xffy")]
+    want = []
+    for x in made:
+        try:
+            want.append(binary_log.to_row(10 + len(want), x, "api", 4))
+        except binary_log.FormatError:
+            continue
+    got = record_columns.decode_batch(made, ["api"] * len(made), 10, 4)
+    table = LocalDataToArrowConversion.convert(want, LOGS, use_large_var_types=False).cast(record_columns.schema())
+    assert 600 < len(want) < len(made) and repr(pa.Table.from_batches([got]).to_pylist()) == repr(table.to_pylist())
+    assert record_columns.counts((None, x) for x in made) == (len(made), len(made) - len(want))
+    again, sizes = record_columns.encode_batch(got)
+    single = [binary_log.from_row(r | {"fields": dict(r["fields"])}) for r in got.to_pylist()]
+    assert again.tobytes() == b"".join(single) and sizes.tolist() == list(map(len, single))
+    assert record_columns.encode_batch(got.slice(3, 0))[0].tobytes() == b""
+
+
+def test_writers_begin_new_files(spark, tmp_path):
+    """One partition of 24 MiB: files of 16 MiB, read by a task each."""
+    big = logs(spark, [record(i, i, msg="m" * 60_000) for i in range(420)]).coalesce(1)
+    binary_log.write_files(big, str(tmp_path / "bin"))
+    sizes = [p.stat().st_size for p in sorted((tmp_path / "bin").glob("*.log"))]
+    assert len(sizes) == 2 and max(sizes) <= binary_log.FILE_BYTES + 60_100
+    got = binary_log.read_files(spark, str(tmp_path / "bin"))
+    assert got.rdd.getNumPartitions() == 2
+    assert sorted(r[0] for r in got.select("ts_ns").collect()) == list(range(420)) and got.select("generation", "seq").distinct().count() == 420
