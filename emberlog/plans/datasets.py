@@ -20,12 +20,15 @@ def ns(ts) -> F.Column:
     return F.unix_micros(ts.cast("timestamp")) * 1000
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """Typed columns; the level follows from the type of event, which is also the target.
 
-    ``err_value`` is ``value`` on errors and missing elsewhere.
+    ``err_value`` is ``value`` on errors and missing elsewhere.  ``spread`` deals the narrow rows of the
+    table out to all cores, however few pieces its file comes in, for queries that do much with each.
     """
     e = table(spark, sf_dir, "events")
+    if spread:
+        e = e.repartition("event_id")
     kind = F.col("event_type")
     level = F.when(kind == "error", 3).when(kind == "purchase", 2).when(kind.isin("signup", "view"), 1).otherwise(0)
     return e.select(
@@ -80,11 +83,11 @@ def uuid_text(text: F.Column) -> F.Column:
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
 
 
-def typed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def typed_logs(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """The events with one field of every kind: n (int), u (int beyond the signed range), x (float), id (uuid),
     ok (bool), wait (duration), at (timestamp), raw (bytes), kind (string) and none (null where k is below 10).
     A third each has the service api, the service web, and none."""
-    e = events(spark, sf_dir)
+    e = events(spark, sf_dir, spread)
     unsigned = F.col("user_id").cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)")
     pairs = F.array(
         _pair(F.lit("n"), tagged("int", i=F.col("event_id"))),
@@ -111,12 +114,12 @@ def typed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 ROOTS = 64
 
 
-def deep_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def deep_logs(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """A forest of deep trees: every event is a span, below the span of half its number down to ``ROOTS``.
 
     A span has a Start and an End record, ``value`` milliseconds apart.
     """
-    e = events(spark, sf_dir).withColumn("span_id", F.col("event_id") + 1)
+    e = events(spark, sf_dir, spread).withColumn("span_id", F.col("event_id") + 1)
     parent = F.when(F.col("span_id") >= ROOTS, F.floor(F.col("span_id") / 2).cast("long"))
     took = F.floor(F.coalesce("value", F.lit(0.0)) * 1000).cast("long") * 1000
     common = [F.lit(0).alias("generation"), F.col("span_id"), F.col("level"), F.col("target"), F.col("message")]

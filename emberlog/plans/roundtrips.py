@@ -49,7 +49,7 @@ _UUID = "regexp_replace(md5(CAST(event_id AS VARCHAR)), '(.{8})(.{4})(.{4})(.{4}
 @cleared("binary")
 def binary_round_trip(spark, sf_dir, path):
     """Every kind of value through the binary files; a duration keeps the four bytes the format has for it."""
-    binary_log.write_files(datasets.typed_logs(spark, sf_dir), path)
+    binary_log.write_files(datasets.typed_logs(spark, sf_dir, spread=True), path)
     v = F.col("fields")
     return binary_log.read_files(spark, path).select(
         "ts_ns", F.col("level").cast("int").alias("level"), "target", "message", display.as_i64(v["n"]).alias("n"), v["u"]["i"].cast("string").alias("u"), display.as_f64(v["x"]).alias("x"),
@@ -62,14 +62,14 @@ def binary_round_trip(spark, sf_dir, path):
 @cleared("binary")
 def binary_spans(spark, sf_dir, path):
     """Spans, their kinds and parents through the binary files."""
-    binary_log.write_files(datasets.deep_logs(spark, sf_dir), path)
+    binary_log.write_files(datasets.deep_logs(spark, sf_dir, spread=True), path)
     return binary_log.read_files(spark, path).select("span_id", "ts_ns", "parent_span_id", F.col("span_kind").cast("int").alias("span_kind"))
 
 
 @registered("q_binary_rejected", "SELECT count(*) AS records, CAST(0 AS BIGINT) AS rejected FROM events")
 @cleared("binary")
 def binary_rejected(spark, sf_dir, path):
-    binary_log.write_files(datasets.typed_logs(spark, sf_dir), path)
+    binary_log.write_files(datasets.typed_logs(spark, sf_dir, spread=True), path)
     return binary_log.rejected(spark, path).agg(F.sum("records").alias("records"), F.sum("rejected").alias("rejected"))
 
 
@@ -259,7 +259,7 @@ def stream_ingest(spark, sf_dir, path):
 @cleared("stream")
 def stream_binary(spark, sf_dir, path):
     """A stream of binary files."""
-    binary_log.write_files(datasets.typed_logs(spark, sf_dir), f"{path}/in")
+    binary_log.write_files(datasets.typed_logs(spark, sf_dir, spread=True), f"{path}/in")
     found = live.tail(live.binary_landing(spark, f"{path}/in"), '$target = "view"')
     return _appended(found.select("ts_ns", display.as_i64(F.col("fields")["n"]).alias("n")), path)
 

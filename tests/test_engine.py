@@ -434,3 +434,16 @@ def test_writers_begin_new_files(spark, tmp_path):
     got = binary_log.read_files(spark, str(tmp_path / "bin"))
     assert got.rdd.getNumPartitions() == 2
     assert sorted(r[0] for r in got.select("ts_ns").collect()) == list(range(420)) and got.select("generation", "seq").distinct().count() == 420
+
+
+def test_binary_queries_write_by_all_cores(spark, sf_dir, tmp_path):
+    """The table is a file of one piece; its rows are dealt out before they are built and written."""
+    from emberlog.plans import datasets
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for i, made in enumerate((datasets.typed_logs, datasets.deep_logs)):
+            binary_log.write_files(made(spark, sf_dir, spread=True), str(tmp_path / str(i)))
+            assert len(list((tmp_path / str(i)).glob("*.log"))) == (4, 8)[i]  # deep logs are a union of two
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
